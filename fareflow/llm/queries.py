@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm import bpe, token_files
+from fareflow.llm import bpe, langid, simhash, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id="doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def language_model(docs: DataFrame) -> langid.Network | None:
+    return langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
+
+
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
 def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
     return token_files.read(spark, folder).select(
@@ -31,7 +50,12 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op7_token_files": token_files_query, "op10_bpe": bpe_query}
+    return {
+        "op1_language_id": language_id_query,
+        "op2_simhash": simhash_query,
+        "op7_token_files": token_files_query,
+        "op10_bpe": bpe_query,
+    }
 
 
 def oracle_sql():
