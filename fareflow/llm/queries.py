@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm import bpe, langid, simhash, token_files
+from fareflow.llm import bpe, chat, embed_dedup, langid, simhash, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,15 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
+    return chat.digests(chat.formatted(chat.conversations(rows)))
+
+
 def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
     return token_files.read(spark, folder).select(
@@ -53,6 +62,8 @@ def queries():
     return {
         "op1_language_id": language_id_query,
         "op2_simhash": simhash_query,
+        "op4_embedding_dedup": embedding_query,
+        "op6_chat_format": chat_query,
         "op7_token_files": token_files_query,
         "op10_bpe": bpe_query,
     }
