@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm import bpe, chat, embed_dedup, langid, simhash, token_files
+from fareflow.llm import bpe, chat, decontam, embed_dedup, langid, line_dedup, simhash, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,10 +36,20 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
     return chat.digests(chat.formatted(chat.conversations(rows)))
@@ -62,7 +72,9 @@ def queries():
     return {
         "op1_language_id": language_id_query,
         "op2_simhash": simhash_query,
+        "op3_decontamination": decontamination_query,
         "op4_embedding_dedup": embedding_query,
+        "op5_line_dedup": line_dedup_query,
         "op6_chat_format": chat_query,
         "op7_token_files": token_files_query,
         "op10_bpe": bpe_query,
@@ -70,4 +82,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op3_decontamination": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
