@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm import bpe, chat, decontam, embed_dedup, langid, line_dedup, simhash, token_files
+from fareflow.llm import bpe, chat, chunk_dedup, decontam, embed_dedup, langid, license_scan, line_dedup, simhash, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,16 @@ def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def chunk_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = chunk_dedup.annotated(docs)
+    return found.select("doc_id", F.col("_repeated").alias("repeated_bytes"), F.col("_removed").alias("removed_bytes"), F.col("_spans").alias("removed_spans"))
+
+
+def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.matches(table(spark, sf_dir, "documents"))
+
+
 def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return ids.select(
@@ -77,9 +87,11 @@ def queries():
         "op5_line_dedup": line_dedup_query,
         "op6_chat_format": chat_query,
         "op7_token_files": token_files_query,
+        "op8_chunk_dedup": chunk_dedup_query,
+        "op9_license_scan": license_query,
         "op10_bpe": bpe_query,
     }
 
 
 def oracle_sql():
-    return {"op3_decontamination": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
+    return {"op3_decontamination": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_license_scan": license_scan.oracle()}
