@@ -1,2 +1,83 @@
-ORACLE_SQL=None
-def run(s,d): ...
+"""A training-corpus pipeline: five stages over `documents`, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the encoded
+documents. A document is a row; a stage leaves out rows or rewrites texts, and adds none.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fareflow.llm import bpe, decontam, langid, line_dedup, queries, simhash
+from fareflow.llm.common import shared_dir
+
+#: Below this probability, the language is not known well enough.
+LEAST_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go: no text, no letter, or a score below LEAST_SCORE."""
+    found = langid.predict(docs, queries.language_model(docs), pred="_pred", score="_score")
+    return found.where((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go; n_chars follows. Documents of which no line stays go, too."""
+    found = line_dedup.deduplicated(docs)
+    emptied = (F.col("_n_dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    return found.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, the one of smallest doc_id; of rows that share that id, one.
+
+    Rows without an id can't be told apart: one stays for each component that has no id at all.
+    """
+    found = simhash.near_duplicates(docs)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
+    keyed = docs.withColumn("_print", simhash.fingerprint(F.col("text")))
+    stays = stays.groupBy("_id").agg(F.min("_fp").alias("_fp"), F.count("*").alias("_n"))
+    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed["_print"] == stays["_fp"]), "left_semi").select(*docs.columns)
+    # only ids that several rows share need a choice, so only their rows are shuffled
+    several = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    same_id = kept["doc_id"].eqNullSafe(several["_id"])
+    chosen = kept.join(several, same_id, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(several, same_id, "left_anti").unionByName(chosen)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    items = queries.table(spark, sf_dir, "benchmark")
+    bad = decontam.contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens, and whether they decode to the text."""
+    ids = bpe.encode(docs, queries.RANKS, public_tokenizers.PATTERN, keep=("doc_id", "text"))
+    back = bpe.decode_udf(queries.RANKS, public_tokenizers.PATTERN)("ids")
+    same = back == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return ids.select("doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_deduplication", line_deduplication),
+    ("near_deduplication", near_deduplication),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
+
+#: Language identification is learned, so SQL can't express the rows; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = queries.table(spark, sf_dir, "documents"), shared_dir(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
