@@ -31,32 +31,19 @@ from fareflow.llm.common import shared_dir
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
-CACHE = 400_000
+CACHE = 700_000
 #: Where a space is next to white space, a text is not cut at spaces.
 UNSAFE = re.compile(r"\x20\s|\s\x20")
 MANIFEST = "part int, path string, first_ids long, n_ids long, n_docs long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
 
 
-class _Words(dict):
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(f" {word}", add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     """The tokenizers library, with a memo of words.
 
     The byte-level pre-tokenizer always begins a new piece at a space that stands between two
-    characters other than white space; so texts are cut there and each word is encoded once.
+    characters other than white space; so texts are cut there. The words that are not known yet are
+    encoded together, as one text: a word's ids are those from one token that begins with a space to the next.
     """
 
     def __init__(self, path: str):
@@ -64,16 +51,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = _Words(self.tokenizer)
-
-    def encode(self, text: str) -> bytes:
-        if UNSAFE.search(text):
-            return self._plain(text)
-        first, *words = text.split(" ")
-        return self._plain(first) + b"".join(map(self.words.__getitem__, words))
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+        space = self.tokenizer.id_to_token(self._ids(" ")[0])
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(self.tokenizer.get_vocab_size())])
+        self.marks = {c: self._ids(c).tobytes() for c in ".,"}
+        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], "<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        """Adds words to the memo. When it is full, those that weren't used since it was last full are forgotten."""
+        if len(self.words) + len(words) > CACHE:
+            self.before, self.words = self.words, {}
+        new = [w for w in words if w not in self.words]
+        if self.before:
+            self.words.update((w, self.before[w]) for w in new if w in self.before)
+            new = [w for w in new if w not in self.words]
+        # a letter and the comma or full stop that ends a word are never in one piece
+        marked = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
+        new = [*{w[:-1] for w in marked if w[:-1] not in self.words}, *set(new).difference(marked)]
+        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        ids = self._ids(f" {' '.join(plain)}" if plain else "")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) == len(plain):
+            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            self.words.update((w, raw[s:e]) for w, s, e in zip(plain, (4 * starts).tolist(), ends, strict=True))
+            new = [w for w in new if w not in self.words]
+        self.words.update((w, self._ids(f" {w}").tobytes()) for w in new)
+        self.words.update((w, self.words[w[:-1]] + self.marks[w[-1]]) for w in marked)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
+        self._learn(set().union(*(words[1:] for words in cut if words)))
+        get = self.words.__getitem__
+        return [self._ids(t).tobytes() if words is None else self._ids(words[0]).tobytes() + b"".join(map(get, words[1:])) for t, words in zip(texts, cut, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -161,7 +173,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 out = out or SequenceFile(path, dtype, length)
-                out.add(some.column(0), [own.encode(t) + last for t in some.column(1).to_pylist()])
+                out.add(some.column(0), [ids + last for ids in own.encode(some.column(1).to_pylist())])
                 n_docs += some.num_rows
         if out:
             out.close()
