@@ -111,10 +111,12 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def annotated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with _repeated, _removed (bytes) and _spans (array of start and end)."""
     runs = repeated_runs(docs, doc_id, text).select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("repeated").alias("_r"), F.col("removed").alias("_g"), F.col("spans").alias("_s"))
-    joined = docs.join(runs, (F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)) == F.col("_d")) & (F.hash(F.col(text)) == F.col("_k")), "left")
+    # the keys are columns of their own, so that texts are only shuffled where they are used later
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)), "_hash": F.hash(F.col(text))})
+    joined = keyed.join(runs, (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_k")), "left")
     zero = F.lit(0).cast("long")
     spans = F.coalesce("_s", F.array().cast("array<struct<start: int, end: int>>"))
-    return joined.withColumns({"_repeated": F.coalesce("_r", zero), "_removed": F.coalesce("_g", zero), "_spans": spans}).drop("_d", "_k", "_r", "_g", "_s")
+    return joined.withColumns({"_repeated": F.coalesce("_r", zero), "_removed": F.coalesce("_g", zero), "_spans": spans}).drop("_id", "_hash", "_d", "_k", "_r", "_g", "_s")
 
 
 @F.arrow_udf(T.StringType())
