@@ -30,7 +30,7 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where a space is next to other white space, cutting a text at spaces could cut a match.
 UNSAFE = re.compile(f"[ ][{SPACE}]|[{SPACE}][ ]")
 LEAF = 16
-CACHE = 400_000
+CACHE = 300_000
 
 
 def compiled(pattern: str):
@@ -157,6 +157,10 @@ class TextEncoder:
         self.by_match = _Memo(lambda m: np.array(self.pairs.encode(m.encode()), "<u4").tobytes())
         self.by_word = _Memo(lambda w: self._matches(f" {w}"))
 
+    def forget(self) -> None:
+        self.by_match.clear()
+        self.by_word.clear()
+
     def _matches(self, text: str) -> bytes:
         return b"".join(map(self.by_match.__getitem__, self.pattern.findall(text)))
 
@@ -186,11 +190,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [own.encode(t) if t else b"" for t in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ids, pa.binary())], [*keep, out])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    ids = [own.encode(t) if t else b"" for t in part.column(len(keep)).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ids, pa.binary())], [*keep, out])
+        finally:
+            own.forget()  # a worker may stay idle for long
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
