@@ -1,9 +1,12 @@
 """All registered queries and oracles of the transit library."""
 
+from fareflow.plans import demand, taps, times  # noqa: F401
+from fareflow.plans.registry import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return QUERIES
 
 
 def oracle_sql():
-    return {}
+    return ORACLES
