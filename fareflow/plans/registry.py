@@ -71,7 +71,7 @@ BLOCKS |= {
       from (select *, try_strptime(dep, '%Y-%m-%d %H:%M:%S') as d, try_strptime(arr, '%Y-%m-%d %H:%M:%S') as a from fx_taps where {THERE} and {BOX}) where d is not null and a is not null)""",
     "clean": f"""select substr(card, 1, 12) as card, case o_mode when '公交' then 'bus' else 'subway' end as mode, o_line as line_raw, o_name, d_name, o_lon, o_lat, d_lon, d_lat, dep_s, arr_s, tt_s,
       case when o_mode = '地铁' then tt_s - 30 else tt_s end as tt_adj_s, {KEYS} from timed where {VALID}""",
-    "stations": "select distinct concat(node_type, ':', node_id) as key, node_id as raw_id, node_type as mode, station_name as name, x as lon, y as lat, case node_type when 'subway' then 240.0 else 60.0 end as transfer_time from fx_nodes",
+    "stations": "select distinct concat(node_type, ':', node_id) as key, node_id as raw_id, node_type as mode, station_name as name, x as lon, y as lat, cast(case node_type when 'subway' then 240 else 60 end as double) as transfer_time from fx_nodes",
     "ride_edges": """select e.*, edge_type as mode, concat(edge_type, ':', from_id) as f, concat(edge_type, ':', to_id) as t from fx_edges e
       where edge_type in ('subway', 'bus') and concat(edge_type, ':', from_id) in (select key from stations) and concat(edge_type, ':', to_id) in (select key from stations)""",
     "line_stops": """select line, mode, line_seq, row_number() over (partition by line order by seq, k) - 1 as pos, node, seg, sum(seg) over (partition by line order by seq, k) as cum, count(*) over (partition by line) as n

@@ -252,7 +252,7 @@ def net_shared_id_edges(spark, sf):
     return network.shared_id_edges(base.known(spark, sf), walks(spark, sf)).withColumn("time", F.round("time", 6))
 
 
-@query("net_speed_lookup", "select * from line_speeds")
+@query("net_speed_lookup", "select * replace (cast(speed_kmh as double) as speed_kmh, cast(dwell_s as double) as dwell_s) from line_speeds")
 def net_speed_lookup(spark, sf):
     return line_speeds(spark, sf)
 

@@ -65,7 +65,7 @@ def headway_top_stops(spark, sf):
     return headway.top_stops(base.matched(spark, sf))
 
 
-@query("headway_tap_clusters", "select * from clusters")
+@query("headway_tap_clusters", "select * replace (cast(cluster as bigint) as cluster) from clusters")
 def headway_tap_clusters(spark, sf):
     return clusters(spark, sf)
 
@@ -91,7 +91,7 @@ def headway_access_egress(spark, sf):
     return rounded(headway.access_egress(base.matched(spark, sf), 35.0, 35.0), "q")
 
 
-@query("headway_subway", "select scope, key, hour, headway_s, round(access_egress_s, 6) as access_egress_s, n_obs, method from subway_headways")
+@query("headway_subway", "select scope, key, hour, cast(headway_s as double) as headway_s, round(access_egress_s, 6) as access_egress_s, n_obs, method from subway_headways")
 def headway_subway(spark, sf):
     return rounded(headway.subway(subway_fits(spark, sf), 120.0))
 
