@@ -205,8 +205,9 @@ def timetable_next_vehicle(spark, sf):
 
 @query("stream_demand_buckets", """select time_bucket(interval '1 hour', ts) as start, event_type as mode, count(*) as trips from events group by all having time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select max(ts) from events) - interval '1 hour'""")
 def stream_demand_buckets(spark, sf):
-    schema = fixtures.given(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet")
+    events, folder = fixtures.given(spark, sf, "events").select("ts", "event_type"), base.folder(spark)
+    events.write.parquet(folder)  # a stream reads a folder
+    rows = spark.readStream.schema(events.schema).parquet(folder)
     rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("mode"))
     out = base.folder(spark)
     streams.run_available(streams.stream_buckets(rows, step="1 hour"), out, f"{out}-checkpoint")
