@@ -8,8 +8,8 @@ With `BANDS` bands of one MinHash each, such a window meets its notice in some b
 1 - (1 - J)^BANDS, over 0.999997. Met notices are verified: the share of the notice's shingles that
 are in the window must be 0.8 or more.
 
-Before windowing, texts that can't hold 0.8 of any notice are passed by: each notice has anchor words
-that occur in more than a fifth of its shingles, so a match has at least one of them.
+Texts and windows that can't hold 0.8 of any notice are passed by before hashing: each notice has anchor
+words that occur in more than a fifth of its shingles, so a match has at least one of them.
 
 The notices are a fixed list, so their bands are part of the plan. A match is a row: doc_id, license,
 containment (the best window's) and word (where that window begins; the first if several). A row is
@@ -94,11 +94,16 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     for word in sorted({a for t in NOTICES.values() for a in anchors(notice_words(t))}):
         may = may | F.contains("low", F.lit(word))
     words = low.where(may).select("doc_id", "h", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    shape = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(window_shape(m)[0]).alias("size"), F.lit(window_shape(m)[1]).alias("stride")) for m, k in shapes]))
+    chosen = {(len(w), min(SHINGLE, len(w))): set() for w in map(notice_words, NOTICES.values())}
+    for w in map(notice_words, NOTICES.values()):
+        chosen[len(w), min(SHINGLE, len(w))].update(anchors(w))
+    shape = F.explode(F.array(*[F.struct(
+        F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(window_shape(m)[0]).alias("size"), F.lit(window_shape(m)[1]).alias("stride"), F.array(*map(F.lit, sorted(chosen[m, k]))).alias("anchors"),
+    ) for m, k in shapes]))
     cut = words.select("doc_id", "h", "w", shape.alias("s")).select("doc_id", "h", "w", "s.*")
     n = F.floor(F.greatest(F.size("w") - F.col("size") + F.col("stride") - 1, F.lit(0)) / F.col("stride")).cast("int")
     made = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((i * F.col("stride")).cast("int").alias("word"), F.slice("w", (i * F.col("stride")).cast("int") + 1, F.col("size")).alias("part")))
-    windows = cut.select("doc_id", "h", "m", "k", F.explode(made).alias("x")).select("doc_id", "h", "m", "k", "x.word", shingles(F.col("x.part"), F.col("k")).alias("of")).where(F.size("of") > 0)
+    windows = cut.select("doc_id", "h", "m", "k", F.explode(F.filter(made, lambda x: F.arrays_overlap(x["part"], F.col("anchors")))).alias("x")).select("doc_id", "h", "m", "k", "x.word", shingles(F.col("x.part"), F.col("k")).alias("of")).where(F.size("of") > 0)
     index = notices.select("license", "m", F.col("shingles"), F.explode(bands(F.col("shingles"))).alias("band"))
     # the notices are a fixed list, so this table has a few hundred rows whatever the input
     met = windows.select("doc_id", "h", "m", "word", "of", F.explode(bands(F.col("of"))).alias("band")).join(F.broadcast(index), ["m", "band"])
