@@ -203,7 +203,8 @@ def timetable_next_vehicle(spark, sf):
 # ---- streams, readers and writers
 
 
-@query("stream_demand_buckets", """select time_bucket(interval '1 hour', ts) as start, event_type as mode, count(*) as trips from events group by all having time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select max(ts) from events) - interval '1 hour'""")
+@query("stream_demand_buckets", """select start, mode, count(*) as trips from (select time_bucket(interval '1 hour', ts) as start, event_type as mode from events)
+  where start + interval '1 hour' <= (select max(ts) from events) - interval '1 hour' group by start, mode""")
 def stream_demand_buckets(spark, sf):
     events, folder = fixtures.given(spark, sf, "events").select("ts", "event_type"), base.folder(spark)
     events.write.parquet(folder)  # a stream reads a folder
