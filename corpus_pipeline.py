@@ -56,9 +56,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens, and whether they decode to the text."""
-    ids = bpe.encode(docs, queries.RANKS, public_tokenizers.PATTERN, keep=("doc_id", "text"))
-    back = bpe.decode_udf(queries.RANKS, public_tokenizers.PATTERN)("ids")
-    same = back == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    ids = bpe.encode(docs, queries.RANKS, public_tokenizers.PATTERN, keep=("doc_id", "text"), decoded="decoded")
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return ids.select("doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 

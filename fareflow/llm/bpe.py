@@ -93,6 +93,9 @@ class PairEncoder:
             i = nxt[i]
         return out
 
+    def forget(self) -> None:
+        self._stays.clear()
+
     def stays(self, a: int, b: int) -> bool:
         """True if these two tokens are the encoding of their joined bytes."""
         known = self._stays.get((a, b))
@@ -160,6 +163,10 @@ class TextEncoder:
     def forget(self) -> None:
         self.by_match.clear()
         self.by_word.clear()
+        self.pairs.forget()
+
+    def decode(self, ids: bytes) -> bytes:
+        return self.pairs.decode(np.frombuffer(ids, "<u4").tolist())
 
     def _matches(self, text: str) -> bytes:
         return b"".join(map(self.by_match.__getitem__, self.pattern.findall(text)))
@@ -183,10 +190,16 @@ def encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(PairEncoder(read_ranks(path)), pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids") -> DataFrame:
-    """The kept columns and `out`, binary: the ids as little-endian unsigned 32-bit integers."""
-    kept = docs.select(*keep)
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType(), False)])
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """The kept columns and `out`, binary: the ids as little-endian unsigned 32-bit integers.
+
+    With `decoded`, a column of that name follows: the bytes that the ids decode to. It is made in the
+    same pass, as a second Python step would start a second worker, with tables of its own, per task.
+    """
+    kept, made = docs.select(*keep), [out] if decoded is None else [out, decoded]
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(name, T.BinaryType(), False) for name in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
@@ -194,10 +207,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    ids = [own.encode(t) if t else b"" for t in part.column(len(keep)).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ids, pa.binary())], [*keep, out])
+                    columns = [[own.encode(t) if t else b"" for t in part.column(len(keep)).to_pylist()]]
+                    if decoded is not None:
+                        columns.append([own.decode(ids) for ids in columns[0]])
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(c, pa.binary()) for c in columns)], [*keep, *made])
         finally:
             own.forget()  # a worker may stay idle for long
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -207,7 +223,7 @@ def decode_udf(ranks_path: str, pattern: str):
 
     @F.arrow_udf(T.BinaryType())
     def decoded(ids: pa.Array) -> pa.Array:
-        table = encoder(ranks_path, pattern).pairs
-        return pa.array([None if x is None else table.decode(np.frombuffer(x, "<u4").tolist()) for x in ids.to_pylist()], pa.binary())
+        own = encoder(ranks_path, pattern)
+        return pa.array([None if x is None else own.decode(x) for x in ids.to_pylist()], pa.binary())
 
     return decoded

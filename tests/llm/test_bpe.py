@@ -57,6 +57,8 @@ def test_columns(spark, public):
     got = {(r["doc_id"], bytes(r["ids"]), bytes(r["back"])) for r in out.collect()}
     assert got == {(d, np.array(public.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in rows}
     assert out.count() == len(rows)
+    once = bpe.encode(docs, PATH, PATTERN, decoded="back")
+    assert once.columns == ["doc_id", "ids", "back"] and got == {(r["doc_id"], bytes(r["ids"]), bytes(r["back"])) for r in once.collect()}
     assert bpe.encode(docs.limit(0), PATH, PATTERN).count() == 0
 
 
