@@ -31,20 +31,24 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one of smallest doc_id; of rows that share that id, one.
+    """One document of each component stays, the one of smallest doc_id; of rows that share that id, the one of least text hash.
 
-    Rows without an id can't be told apart: one stays for each component that has no id at all.
+    Rows without an id come last, so one stays for each component that has no id at all. An id that several components
+    have keeps a row in each that it names.
     """
-    found = simhash.near_duplicates(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
-    keyed = docs.withColumn("_print", simhash.fingerprint(F.col("text")))
-    stays = stays.groupBy("_id").agg(F.min("_fp").alias("_fp"), F.count("*").alias("_n"))
-    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed["_print"] == stays["_fp"]), "left_semi").select(*docs.columns)
-    # only ids that several rows share need a choice, so only their rows are shuffled
-    several = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    same_id = kept["doc_id"].eqNullSafe(several["_id"])
-    chosen = kept.join(several, same_id, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(several, same_id, "left_anti").unionByName(chosen)
+    found = simhash.near_duplicates(docs, roots=True)
+    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "root")
+    stays = named.groupBy("root").agg(F.min("_id").alias("_id"), F.min("_h").alias("_h")).drop("root")
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col("text")))
+
+    def at(keys: DataFrame):
+        return keyed["doc_id"].eqNullSafe(keys["_id"]) & (keyed["_hash"] == keys["_h"])
+
+    kept = keyed.join(stays, at(stays), "left_semi")
+    # only equal rows need a choice now, so only they are shuffled again
+    several = named.groupBy("_id", "_h").count().where("count > 1").select("_id", "_h")
+    chosen = kept.join(several, at(several), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return kept.join(several, at(several), "left_anti").unionByName(chosen).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

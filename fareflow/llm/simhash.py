@@ -196,16 +196,20 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return small_links.unionByName(_links_in(dealt))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", roots: bool = False) -> DataFrame:
     """One row per document: doc_id, fp (long), component_id, the smallest doc_id of its component.
 
     Null ids get a component but never name one, unless all its ids are null. Repeated ids keep a row each.
+    Components without an id share the name null, and a repeated id may name several; with `roots`, rows also
+    have root, the least fingerprint of the component, which tells components apart, and h, the text's hash.
     """
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
+    hashed = [F.xxhash64(F.col(text)).alias("h")] if roots else []
+    more = ["root"] if roots else []
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp"), *hashed), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = components(fingerprint_links(distinct.select("fp")))
-    roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    roots = written(roots, "roots")
-    least = written(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    named = written(roots.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    rooted = written(rooted, "roots")
+    least = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    named = written(rooted.join(least, "root").select("fp", "component_id", *more), "named")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", *more, *(["h"] if roots else []))

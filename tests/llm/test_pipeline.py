@@ -58,3 +58,15 @@ def test_odd_rows(spark):
     got = docs.collect()
     assert all(r["round_trip"] for r in got) and {r["doc_id"] for r in got} <= {None, 5, 6} and len(got) >= 3
     assert langid.UNKNOWN == "und"
+
+
+def test_ids_do_not_merge_components(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(90)], 60)) for _ in range(6)]
+    # three unlike texts without an id, one of them twice; two unlike texts of one id; a component with an id and without
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5]), (None, texts[5]), (8, texts[5] + " "), (8, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pipeline.near_deduplication(spark, docs, PATH)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"].strip()) for r in out.collect()), key=str)
+    assert got == sorted([*[(None, t) for t in texts[:3]], (7, texts[3]), (7, texts[4]), (8, texts[5])], key=str)
