@@ -5,11 +5,14 @@ depends on its neighbourhood only and an insertion shifts no later cut. A cut th
 within `LEAST` bytes doesn't count, and cuts move on to the next character's beginning; both rules
 look at the neighbourhood only, too. Chunks are compared by a 64-bit digest over all documents.
 
-A chunk is repeated if its digest occurs in two documents at least. Chance repeats of a few words are
-no passages: only runs of neighbouring repeated chunks with `RUN_WORDS` words or more count. A passage
-of over 50 words has such a run for all but about one in a hundred of the shortest, since only its
-first and last chunk mix with the surroundings. In runs, each chunk stays in the document of the
-smallest doc_id and is removed elsewhere.
+A passage is a row of neighbouring chunks with `RUN_WORDS` words or more that two documents have
+together, in this order. Chance repeats of a few words are no passages, however many follow each other.
+Only runs of chunks whose digests occur in two documents each are looked at: in these, the shortest
+passages that begin and that end with each chunk are compared by a digest of their chunks' digests. A
+passage of over 50 words is found for all but about one in a hundred of the shortest, since only its
+first and last chunk mix with the surroundings. One chunk of the run at each side of a passage goes
+with it; more of the run doesn't, so what chance adds has a bound in any corpus. In passages, each chunk
+stays in the document of the smallest doc_id and is removed elsewhere. In scripts without spaces, two characters count as a word.
 
 Null and empty texts have no chunks. Null ids count as one document, the first. Rows are identified by
 doc_id and text; rows that share a doc_id are one document, and repeated rows get equal results.
@@ -18,7 +21,7 @@ Other columns are ignored, or kept by `deduplicated`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -52,38 +55,108 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.unique(np.append(ends, len(data)))
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where a character begins of Thai, Lao, Tibetan, Burmese, Khmer, Chinese or Japanese."""
+    after = np.append(data[1:], np.uint8(0))
+    found = (data >= 0xE3) & (data <= 0xE9) | (data == 0xE0) & (after >= 0xB8) | (data == 0xF0) & (after >= 0xA0)
+    return found | (data == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
+
+
 def chunked(text: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Each chunk's end, the words that begin in it, and its digest."""
     data = np.frombuffer(text, np.uint8)
     ends = cuts(data)
     inside = data > 32
     begins = np.cumsum(inside & ~np.r_[False, inside[:-1]])
-    words = np.diff(begins[ends - 1], prepend=0)
+    words = np.diff(begins[ends - 1], prepend=0) + np.diff(np.cumsum(unspaced(data))[ends - 1], prepend=0) // 2
     digest, at = xxhash.xxh3_64_intdigest, ends.tolist()
     return ends, words, [digest(text[s:e]) for s, e in zip([0, *at[:-1]], at, strict=True)]
 
 
-_FIELDS = {"start": np.int32, "end": np.int32, "words": np.int32, "digest": np.int64}
+_FIELDS = {"start": np.int32, "end": np.int32, "words": np.int32, "split": np.int32, "digest": np.int64}
 _CHUNKS = T.ArrayType(T.StructType([T.StructField(k, T.LongType() if k == "digest" else T.IntegerType()) for k in _FIELDS]))
+_PLACES = ["start", "end", "left", "right"]
+_PASSAGES = T.ArrayType(T.StructType([*(T.StructField(k, T.IntegerType()) for k in _PLACES), T.StructField("gone", T.ArrayType(T.IntegerType())), T.StructField("digest", T.LongType())]))
+_UNION = T.StructType([T.StructField("repeated", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
 
 
 @F.arrow_udf(_CHUNKS)
 def chunks(texts: pa.Array) -> pa.Array:
-    """Each text's chunks: bytes [start, end), words and digest."""
+    """Each text's chunks: bytes [start, end), words, 1 if it begins within a word, and digest."""
     columns: list[list[np.ndarray]] = [[] for _ in _FIELDS]
     sizes = []
     for text in texts.to_pylist():
         if not text:
             sizes.append(0)
             continue
-        ends, words, digests = chunked(text.encode())
+        data = text.encode()
+        ends, words, digests = chunked(data)
         sizes.append(len(ends))
-        for column, x in zip(columns, (np.r_[0, ends[:-1]], ends, words, np.array(digests, np.uint64).view(np.int64)), strict=True):
+        starts, inside = np.r_[0, ends[:-1]], np.r_[False, np.frombuffer(data, np.uint8) > 32]
+        for column, x in zip(columns, (starts, ends, words, inside[starts] & inside[starts + 1], np.array(digests, np.uint64).view(np.int64)), strict=True):
             column.append(x)
     arrays = [pa.array(np.concatenate([*c, np.empty(0, kind)]).astype(kind)) for c, kind in zip(columns, _FIELDS.values(), strict=True)]
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.StructArray.from_arrays(arrays, list(_FIELDS)))
 
 
+def shortest_passages(run: list[dict]) -> list[dict]:
+    """The shortest passages of RUN_WORDS words that begin and that end with each chunk of a run.
+
+    A word that a passage's beginning cuts counts, so that the same chunks are a passage in any document.
+    left and right are where the chunks beside it begin and end; gone has the ends of its and their chunks to remove.
+    """
+    total = np.cumsum([0, *(c["words"] for c in run)])
+    # chunks i to j - 1 have total[j] - before[i] words; a split word began earlier, so before never decreases
+    before = np.maximum.accumulate(total[:-1] - np.array([c["split"] for c in run]))
+    place = np.arange(len(run))
+    stop = np.maximum(np.searchsorted(total, before + RUN_WORDS), place + 1)
+    first = np.minimum(np.searchsorted(before, total[1:] - RUN_WORDS, side="right") - 1, place)
+    found = {(i, j) for i, j in zip(place.tolist(), stop.tolist(), strict=True) if j <= len(run)}
+    found |= {(i, j) for i, j in zip(first.tolist(), (place + 1).tolist(), strict=True) if i >= 0}
+    digests = np.array([c["digest"] for c in run], np.int64)
+    out = []
+    for i, j in sorted(found):
+        near = run[max(i - 1, 0) : j + 1]
+        digest = np.uint64(xxhash.xxh3_64_intdigest(digests[i:j].tobytes())).view(np.int64)
+        gone = [at for c in near if c["gone"] for at in (c["start"], c["end"])]
+        out.append({"start": run[i]["start"], "end": run[j - 1]["end"], "left": near[0]["start"], "right": near[-1]["end"], "gone": gone, "digest": int(digest)})
+    return out
+
+
+@F.arrow_udf(_PASSAGES)
+def passages(runs: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([*((k, pa.int32()) for k in _PLACES), ("gone", pa.list_(pa.int32())), ("digest", pa.int64())]))
+    return pa.array([shortest_passages(run) for run in runs.to_pylist()], kind)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[dict]:
+    """Spans without overlap that cover the same bytes."""
+    out: list[dict] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        elif start < end:
+            out.append({"start": start, "end": end})
+    return out
+
+
+@F.arrow_udf(_UNION)
+def union(found: pa.Array) -> pa.Array:
+    """Of a text's passages: the bytes repeated and removed, and where."""
+    out = []
+    for row in found.to_pylist():
+        # what lies beside a passage inside another one is covered by that one
+        inner = merged([(p["start"], p["end"]) for p in row])
+        starts, ends = {s["start"] for s in inner}, {s["end"] for s in inner}
+        every = merged([(p["left"] if p["start"] in starts else p["start"], p["right"] if p["end"] in ends else p["end"]) for p in row])
+        pieces = {x for p in row for x in zip(p["gone"][::2], p["gone"][1::2], strict=True)}
+        begins = [s["start"] for s in every]
+        gone = merged([x for x in pieces if (k := bisect_right(begins, x[0])) and x[0] < every[k - 1]["end"]])
+        out.append({"repeated": sum(s["end"] - s["start"] for s in every), "removed": sum(s["end"] - s["start"] for s in gone), "spans": gone})
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return pa.array(out, pa.struct([("repeated", pa.int64()), ("removed", pa.int64()), ("spans", spans)]))
+
+
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, k, repeated, removed, spans): bytes in repeated runs, bytes to remove, and where, in order.
 
@@ -93,19 +166,18 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = written(rows.select("doc_id", "k", "c.*"), "chunks")
     places = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     places = written(places.select("digest", "first"), "repeated")
-    found = rows.join(places, "digest").select("doc_id", "k", "start", "end", "words", (F.col("doc_id") > F.col("first")).alias("gone"))
+    found = rows.join(places, "digest").select("doc_id", "k", *_FIELDS, (F.col("doc_id") > F.col("first")).cast("int").alias("gone"))
     in_doc = Window.partitionBy("doc_id", "k").orderBy("start")
-    before = in_doc.rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumns({"reached": F.coalesce(F.max("end").over(before), F.lit(-1)), "other": F.coalesce(F.lag("gone").over(in_doc) != F.col("gone"), F.lit(False))})
+    found = found.withColumn("reached", F.coalesce(F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
     found = found.where(F.col("start") >= F.col("reached"))  # repeated rows have each chunk several times
-    begins = (F.col("start") > F.col("reached")).cast("int")
-    found = found.withColumns({"run": F.sum(begins).over(in_doc), "piece": F.sum((F.col("other") | (begins == 1)).cast("int")).over(in_doc)})
-    pieces = found.groupBy("doc_id", "k", "run", "piece", "gone").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
-    pieces = pieces.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "k", "run"))).where(F.col("run_words") >= RUN_WORDS)
-    length = (F.col("end") - F.col("start")).cast("long")
-    return pieces.groupBy("doc_id", "k").agg(
-        F.sum(length).alias("repeated"), F.sum(F.when(F.col("gone"), length).otherwise(0)).alias("removed"),
-        F.sort_array(F.collect_list(F.when(F.col("gone"), F.struct("start", "end")))).alias("spans"))
+    found = found.withColumn("run", F.sum((F.col("start") > F.col("reached")).cast("int")).over(in_doc))
+    runs = found.groupBy("doc_id", "k", "run").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct(*_FIELDS, "gone"))).alias("chunks"))
+    runs = runs.where(F.col("words") >= RUN_WORDS).select("doc_id", "k", passages("chunks").alias("p"))
+    candidates = written(runs.select("doc_id", "k", F.explode("p").alias("p")).select("doc_id", "k", "p.*"), "passages")
+    twice = candidates.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    twice = written(twice.select("digest"), "twice")
+    met = candidates.join(twice, "digest").select("doc_id", "k", F.struct(*_PLACES, "gone").alias("p"))
+    return met.groupBy("doc_id", "k").agg(F.collect_list("p").alias("p")).select("doc_id", "k", union("p").alias("u")).select("doc_id", "k", "u.*")
 
 
 def annotated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -90,3 +90,29 @@ def test_odd_rows(spark):
     check(spark, rows, docs)
     assert chunk_dedup.deduplicated(docs).columns == docs.columns
     assert chunk_dedup.annotated(docs.limit(0)).count() == 0
+
+
+def test_only_what_recurs_together_counts(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    data = np.frombuffer(passage.encode(), np.uint8)
+    ends = chunk_dedup.cuts(data).tolist()
+    parts = [passage.encode()[s:e].decode() for s, e in zip([0, *ends[:-1]], ends)]
+    # document 1 has each chunk of document 2, but no more than two of them together
+    rows = [(1, "".join(f"{prose(rng, 9)} {p}{q} {prose(rng, 9)} " for p, q in zip(parts, parts[1:]) if len((p + q).split()) < 11)), (2, passage)]
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(200))
+    other = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(80)) for _ in range(4)]
+    rows += [(3, other[0] + han + other[1]), (4, other[2] + han + other[3])]
+    got = {r["doc_id"]: r for r in chunk_dedup.annotated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2]["_removed"] == 0
+    assert got[3]["_removed"] == 0 and 450 <= got[4]["_removed"] <= 600
+
+
+def test_shortest_passages_cover_any_shared_run():
+    rng = random.Random(6)
+    run = [{"start": i, "end": i + 1, "words": rng.randint(0, 7), "split": rng.randint(0, 1), "digest": i, "gone": 0} for i in range(60)]
+    of = {(p["start"], p["end"]) for p in chunk_dedup.shortest_passages(run)}
+    for i in range(60):
+        for j in range(i + 1, 61):
+            if sum(c["words"] for c in run[i:j]) >= chunk_dedup.RUN_WORDS:
+                assert {b for s, e in of if i <= s and e <= j for b in range(s, e)} == set(range(i, j))
