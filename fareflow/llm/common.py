@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,19 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows, and of at most so many bytes of one text column where rows allow."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for k, n in enumerate(lengths.tolist()):
+        if k > begin and (k - begin == rows or held + n > size):
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(begin)
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"]

@@ -7,7 +7,7 @@ file). A file can be memory-mapped, and any sequence is a zero-copy slice of its
 file, an index file has doc_id, start (in the file) and n_tokens per document. The folder's manifest
 has one row per file with the number of ids before it, so starts are global.
 
-Rows are ordered by doc_id, then by text; null ids come first, null texts count as empty. Repeated
+Rows are ordered by doc_id, then by the text's hash, then by text; null ids come first, null texts count as empty. Repeated
 rows are written once each. An empty table gives an empty manifest and no rows. Files of attempts that failed
 are not in the manifest, so they are never read.
 """
@@ -15,6 +15,7 @@ are not in the manifest, so they are never read.
 from __future__ import annotations
 
 import functools
+import os
 import posixpath
 import re
 import uuid
@@ -27,65 +28,108 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm.common import shared_dir
+from fareflow.llm.common import shared_dir, slices
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
-CACHE = 700_000
-#: Where a space is next to white space, a text is not cut at spaces.
-UNSAFE = re.compile(r"\x20\s|\s\x20")
+#: Words in a generation of the memo.
+CACHE = 500_000
+#: Every white space character of the library's pattern, and a few more.
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+OTHERS = [c for c in SPACES if c not in " \n"]
+#: Ends of words that are never in one piece with a letter.
+MARKS = ".,;:!?$&%#*)]"
 MANIFEST = "part int, path string, first_ids long, n_ids long, n_docs long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
 
 
+def unsafe(text: str) -> bool:
+    """True where a space is next to white space, so that the text can't be cut at spaces."""
+    return any(f" {c}" in text or f"{c} " in text for c in SPACES if c in text)
+
+
 class Encoder:
     """The tokenizers library, with a memo of words.
 
-    The byte-level pre-tokenizer always begins a new piece at a space that stands between two
+    The byte-level pre-tokenizer always begins a new piece at a space or a line feed that stands between two
     characters other than white space; so texts are cut there. The words that are not known yet are
-    encoded together, as one text: a word's ids are those from one token that begins with a space to the next.
+    encoded together, as one text: a word's ids are those from one token that begins with a space or
+    line feed to the next. White space at a text's end is a piece of its own, and so are the marks that end
+    a word. Texts that hold an added token (such as an end mark) go to the library whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        space = self.tokenizer.id_to_token(self._ids(" ")[0])
-        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(self.tokenizer.get_vocab_size())])
-        self.marks = {c: self._ids(c).tobytes() for c in ".,"}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        heads = tuple(self.tokenizer.id_to_token(self._ids(c)[0]) for c in " \n")
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(heads) for i in range(self.tokenizer.get_vocab_size())])
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _all_ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], "<u4")
+        return np.frombuffer(self._all_ids([text])[0], "<u4")
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[mark] = self._all_ids([mark])[0]
+        return self.marks[mark]
 
-    def _learn(self, words: set[str]) -> None:
-        """Adds words to the memo. When it is full, those that weren't used since it was last full are forgotten."""
+    def _learn(self, words: set[str], odd: set[str]) -> None:
+        """Adds words to the memo; odd ones hold white space. When it is full, those that weren't used since it was last full are forgotten."""
         if len(self.words) + len(words) > CACHE:
             self.before, self.words = self.words, {}
         new = [w for w in words if w not in self.words]
         if self.before:
             self.words.update((w, self.before[w]) for w in new if w in self.before)
             new = [w for w in new if w not in self.words]
-        # a letter and the comma or full stop that ends a word are never in one piece
-        marked = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
-        new = [*{w[:-1] for w in marked if w[:-1] not in self.words}, *set(new).difference(marked)]
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        ids = self._ids(f" {' '.join(plain)}" if plain else "")
-        starts = np.flatnonzero(self.begins[ids])
-        if len(starts) == len(plain):
-            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-            self.words.update((w, raw[s:e]) for w, s, e in zip(plain, (4 * starts).tolist(), ends, strict=True))
-            new = [w for w in new if w not in self.words]
-        self.words.update((w, self._ids(f" {w}").tobytes()) for w in new)
-        self.words.update((w, self.words[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        # marks after a letter are a piece of their own
+        stems = [w.rstrip(MARKS) for w in new]
+        stems = [s if s[-1:].isalpha() else w for w, s in zip(new, stems, strict=True)]
+        asked = set(stems).difference(self.words)
+        plain = [*asked.difference(odd)]
+        if plain:
+            ids = self._ids("".join([w if w[:1] == "\n" else f" {w}" for w in plain]))
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(plain):
+                raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                self.words.update((w, raw[s:e]) for w, s, e in zip(plain, at[:-1], at[1:], strict=True))
+            else:
+                odd = odd.union(plain)
+        alone = [*asked.intersection(odd)]
+        if alone:
+            self.words.update(zip(alone, self._all_ids([w if w[:1] == "\n" else f" {w}" for w in alone]), strict=True))
+        self.words.update((w, self.words[s] + self._mark(w[len(s) :])) for w, s in zip(new, stems, strict=True) if len(s) < len(w))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
-        self._learn(set().union(*(words[1:] for words in cut if words)))
+        firsts, rests, tails, odd = [], [], [], set()
+        for t in texts:
+            if any(a in t for a in self.added) or unsafe(t):
+                firsts.append(t)
+                rests.append([])
+                tails.append("")
+                continue
+            body = t.rstrip()
+            if "\n\n\n" in body or any(c in body for c in OTHERS):
+                first, *rest = body.split(" ")
+                odd.update(w for w in rest if len(w.split()) > 1)
+            else:
+                first, *rest = body.replace("\n", " \n").split(" ")
+            firsts.append(first)
+            rests.append(rest)
+            tails.append(t[len(body) :])
+        self._learn(set().union(*rests), odd)
         get = self.words.__getitem__
-        return [self._ids(t).tobytes() if words is None else self._ids(words[0]).tobytes() + b"".join(map(get, words[1:])) for t, words in zip(texts, cut, strict=True)]
+        ends = map(self._all_ids, (firsts, tails))
+        return [b"".join([a, *map(get, rest), z]) for a, rest, z in zip(next(ends), rests, next(ends), strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -93,11 +137,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it. Arrow knows s3, gs, hdfs and local paths; Hadoop's names of S3 are taken for its own."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
+
+
 class SequenceFile:
     """Writes one Arrow file and its index."""
 
     def __init__(self, path: str, dtype: np.dtype, length: int):
-        store, at = fs.FileSystem.from_uri(path)
+        store, at = _store(path)
         store.create_dir(posixpath.dirname(at), recursive=True)
         self.dtype, self.length, self.n, self.rest = dtype, length, 0, np.empty(0, dtype)
         self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
@@ -135,7 +184,7 @@ class SequenceReader:
     """Random access to a file's ids; a local file is mapped, so batches are not copied."""
 
     def __init__(self, path: str):
-        store, at = fs.FileSystem.from_uri(path)
+        store, at = _store(path)
         local = isinstance(store, fs.LocalFileSystem)
         opened = (lambda p: pa.memory_map(p)) if local else store.open_input_file
         self.tokens, self.docs = pa.ipc.open_file(opened(at)), pa.ipc.open_file(opened(f"{at}.index"))
@@ -170,8 +219,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
         part, out, n_docs = TaskContext.get().partitionId(), None, 0
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, 1):
                 out = out or SequenceFile(path, dtype, length)
                 out.add(some.column(0), [ids + last for ids in own.encode(some.column(1).to_pylist())])
                 n_docs += some.num_rows

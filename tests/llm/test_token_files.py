@@ -3,17 +3,20 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fareflow.llm import queries, token_files
+from fareflow.llm.common import slices
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY, SHARED = Tokenizer.from_file(PATH), token_files.Encoder(PATH)
 
 
 def plain(texts):
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     return [[*x.ids, 2] for x in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -50,6 +53,46 @@ def test_fixed_size_lists(spark, tmp_path):
     assert n == sum(map(len, plain(["some words here"] * 50)))
 
 
+def test_encoder_against_the_library():
+    own = Tokenizer.from_file(PATH)
+    texts = [
+        "hello", "", " ", "\n", "a\nb c\n\nd. e\n\n\nf g", "\n x", "x\n", "x \n", "a\tb c\td", "a\r\nb c", "don't won't' x'", "Wort,*** zwei.## 12.%% x)) y$", "a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>",
+        "\u00a0a b\u00a0c", "a\u2003 b", "a\x1cb c", "日本語 です\n日本", "é è. ö,\nü", "x\n\ny\n", " lead\ntwo", "tail ", "Ġ Ċ Ġa b", "\n\n", "a \u0301b c\u0301. d",
+    ]
+    for some in (texts, texts[::-1], [texts[0]] * 600, [""] * 3, *([t] for t in texts)):
+        encoder = token_files.Encoder(PATH)
+        for _ in range(2):  # the second time from the memo
+            got = encoder.encode(some)
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in some]
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r.,'!$aBéĠ1中<|>\u00a0\u0301"), max_size=12), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_encoder_on_any_text(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in SHARED.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_little_memo(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 5)
+    encoder = token_files.Encoder(PATH)
+    for some in ["one two three. four"], ["two five six"], ["one seven, two"], ["three four five six seven eight"]:
+        assert np.frombuffer(encoder.encode(some)[0], "<u4").tolist() == LIBRARY.encode(some[0], add_special_tokens=False).ids
+
+
+def test_copies_and_nulls(spark, tmp_path):
+    texts = ["some words here"] * 600 + [None] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = token_files.read(spark, token_files.write(docs, PATH, 2, f"file://{tmp_path}/files")).orderBy("doc_id").collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == plain(texts)
+
+
+def test_slices_by_size():
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, None, "b" * 30, "", "c", "d" * 5]})
+    assert [s.num_rows for s in slices(batch, 0, 2, 100)] == [2, 2, 2]
+    assert [s.num_rows for s in slices(batch, 0, 9, 12)] == [2, 1, 3]
+    assert [*slices(batch.slice(0, 0), 0)] == []
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read(spark, token_files.write(docs, PATH, 2, f"file://{tmp_path}/files")).count() == 0
