@@ -30,7 +30,8 @@ def in_bbox(df: DataFrame, bbox=BBOX) -> DataFrame:
 def with_times(df: DataFrame) -> DataFrame:
     """dep_s, arr_s and tt_s in seconds of the departure's day; rows with unreadable times go."""
     read = lambda c: F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd HH:mm:ss"))
-    parsed = df.withColumns({"_dep": read("dep"), "_arr": read("arr")}).where("_dep is not null and _arr is not null")
+    # by a generator, so that later filters don't have the times read again
+    parsed = df.select("*", F.inline(F.array(F.struct(read("dep").alias("_dep"), read("arr").alias("_arr"))))).where("_dep is not null and _arr is not null")
     day = F.unix_timestamp(F.to_date("_dep").cast("timestamp"))
     timed = parsed.withColumns({"dep_s": (F.unix_timestamp("_dep") - day).cast("double"), "arr_s": (F.unix_timestamp("_arr") - day).cast("double")})
     return timed.withColumn("tt_s", F.col("arr_s") - F.col("dep_s")).drop("_dep", "_arr")

@@ -42,10 +42,12 @@ def forget() -> None:
     _SHARED.clear()
 
 
+@shared
 def raw(spark, sf):
     return fixtures.load(spark, sf, "fx_taps")
 
 
+@shared
 def taps(spark, sf):
     return clean.clean_taps(raw(spark, sf), keep=ROW)
 
