@@ -3,36 +3,35 @@
 Text bytes (UTF-8) are cut where a gear rolling hash of the last 16 bytes is low, so that a cut
 depends on its neighbourhood only and an insertion shifts no later cut. A cut that follows another
 within `LEAST` bytes doesn't count, and cuts move on to the next character's beginning; both rules
-look at the neighbourhood only, too. Chunks are compared by a 64-bit digest over all documents.
-
-A passage is a row of neighbouring chunks with `RUN_WORDS` words or more that two documents have
-together, in this order. Chance repeats of a few words are no passages, however many follow each other.
-Only runs of chunks whose digests occur in two documents each are looked at: in these, the shortest
-passages that begin and that end with each chunk are compared by a digest of their chunks' digests. A
-passage of over 50 words is found for all but about one in a hundred of the shortest, since only its
-first and last chunk mix with the surroundings. One chunk of the run at each side of a passage goes
-with it; more of the run doesn't, so what chance adds has a bound in any corpus. In passages, each chunk
-stays in the document of the smallest doc_id and is removed elsewhere. In scripts without spaces, two characters count as a word.
+look at the neighbourhood only, too.
+
+One chunk holds four or five words, and sequences that short recur by chance. So the unit that is
+deduplicated is a passage: from each chunk's beginning, the fewest whole chunks that hold `RUN_WORDS`
+words or more. Its bytes alone decide where it ends, so two texts that share the chunks share the
+passage. Passages are compared by a 64-bit digest of their bytes over all documents. A shared run of
+text is found by the passages inside it, which overlap; of a run of over 50 words, all but the parts of
+chunks at both ends is marked, for all but about one in a thousand of the shortest runs. A passage stays in
+the document of the smallest doc_id and is removed elsewhere; so each byte stays in some document.
+In scripts without spaces, two characters count as a word. Two different passages have one digest
+with a chance of one in 2^64.
 
 Null and empty texts have no chunks. Null ids count as one document, the first. Rows are identified by
-doc_id and text; rows that share a doc_id are one document, and repeated rows get equal results.
-Other columns are ignored, or kept by `deduplicated`.
+doc_id and a 64-bit hash of the text; rows that share a doc_id are one document, and repeated rows get
+equal results. Other columns are ignored, or kept by `deduplicated`.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fareflow.llm.common import written
+from fareflow.llm.common import unused, written
 
-#: Bytes from one low hash to the next on average; bytes between cuts that count; words in a run at least.
+#: Bytes from one low hash to the next on average; bytes between cuts that count; words in a passage at least.
 EVERY, LEAST, RUN_WORDS = 20, 8, 12
 LOWEST = -(1 << 63)
 GEAR = np.random.default_rng(11).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -62,133 +61,98 @@ def unspaced(data: np.ndarray) -> np.ndarray:
     return found | (data == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
 
 
-def chunked(text: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Each chunk's end, the words that begin in it, and its digest."""
+def passages(text: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Where each passage begins and ends, and its digest; none from the last chunks, which hold too few words."""
     data = np.frombuffer(text, np.uint8)
     ends = cuts(data)
+    starts = np.r_[0, ends[:-1]]
     inside = data > 32
-    begins = np.cumsum(inside & ~np.r_[False, inside[:-1]])
-    words = np.diff(begins[ends - 1], prepend=0) + np.diff(np.cumsum(unspaced(data))[ends - 1], prepend=0) // 2
-    digest, at = xxhash.xxh3_64_intdigest, ends.tolist()
-    return ends, words, [digest(text[s:e]) for s, e in zip([0, *at[:-1]], at, strict=True)]
-
-
-_FIELDS = {"start": np.int32, "end": np.int32, "words": np.int32, "split": np.int32, "digest": np.int64}
-_CHUNKS = T.ArrayType(T.StructType([T.StructField(k, T.LongType() if k == "digest" else T.IntegerType()) for k in _FIELDS]))
-_PLACES = ["start", "end", "left", "right"]
-_PASSAGES = T.ArrayType(T.StructType([*(T.StructField(k, T.IntegerType()) for k in _PLACES), T.StructField("gone", T.ArrayType(T.IntegerType())), T.StructField("digest", T.LongType())]))
+    # halves of words that begin before each byte; a word that the passage's beginning cuts counts in whole
+    halves = np.r_[0, np.cumsum(2 * (inside & ~np.r_[False, inside[:-1]]) + unspaced(data))]
+    begun = halves[starts + 1] - unspaced(data)[starts] - 2 * inside[starts]
+    last = np.searchsorted(halves[ends], begun + 2 * RUN_WORDS)
+    last = np.maximum(last, np.arange(len(ends)))[last < len(ends)]
+    starts, ends = starts[: len(last)], ends[last]
+    digest = xxhash.xxh3_64_intdigest
+    return starts, ends, [digest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+_FIELDS = {"start": np.int32, "end": np.int32, "digest": np.int64}
+_PASSAGES = T.ArrayType(T.StructType([T.StructField(k, T.LongType() if k == "digest" else T.IntegerType()) for k in _FIELDS]))
 _UNION = T.StructType([T.StructField("repeated", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
 
 
-@F.arrow_udf(_CHUNKS)
-def chunks(texts: pa.Array) -> pa.Array:
-    """Each text's chunks: bytes [start, end), words, 1 if it begins within a word, and digest."""
+@F.arrow_udf(_PASSAGES)
+def passages_of(texts: pa.Array) -> pa.Array:
+    """Each text's passages: bytes [start, end), and digest."""
     columns: list[list[np.ndarray]] = [[] for _ in _FIELDS]
     sizes = []
-    for text in texts.to_pylist():
+    for text in texts:
+        text = text.as_py()
         if not text:
             sizes.append(0)
             continue
-        data = text.encode()
-        ends, words, digests = chunked(data)
-        sizes.append(len(ends))
-        starts, inside = np.r_[0, ends[:-1]], np.r_[False, np.frombuffer(data, np.uint8) > 32]
-        for column, x in zip(columns, (starts, ends, words, inside[starts] & inside[starts + 1], np.array(digests, np.uint64).view(np.int64)), strict=True):
-            column.append(x)
-    arrays = [pa.array(np.concatenate([*c, np.empty(0, kind)]).astype(kind)) for c, kind in zip(columns, _FIELDS.values(), strict=True)]
+        starts, ends, digests = passages(text.encode())
+        sizes.append(len(starts))
+        for column, x in zip(columns, (starts, ends, np.array(digests, np.uint64).view(np.int64)), strict=True):
+            column.append(x.astype(np.int64 if column is columns[2] else np.int32))
+    arrays = [pa.array(np.concatenate([*c, np.empty(0, kind)]).astype(kind, copy=False)) for c, kind in zip(columns, _FIELDS.values(), strict=True)]
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.StructArray.from_arrays(arrays, list(_FIELDS)))
 
 
-def shortest_passages(run: list[dict]) -> list[dict]:
-    """The shortest passages of RUN_WORDS words that begin and that end with each chunk of a run.
-
-    A word that a passage's beginning cuts counts, so that the same chunks are a passage in any document.
-    left and right are where the chunks beside it begin and end; gone has the ends of its and their chunks to remove.
-    """
-    total = np.cumsum([0, *(c["words"] for c in run)])
-    # chunks i to j - 1 have total[j] - before[i] words; a split word began earlier, so before never decreases
-    before = np.maximum.accumulate(total[:-1] - np.array([c["split"] for c in run]))
-    place = np.arange(len(run))
-    stop = np.maximum(np.searchsorted(total, before + RUN_WORDS), place + 1)
-    first = np.minimum(np.searchsorted(before, total[1:] - RUN_WORDS, side="right") - 1, place)
-    found = {(i, j) for i, j in zip(place.tolist(), stop.tolist(), strict=True) if j <= len(run)}
-    found |= {(i, j) for i, j in zip(first.tolist(), (place + 1).tolist(), strict=True) if i >= 0}
-    digests = np.array([c["digest"] for c in run], np.int64)
-    out = []
-    for i, j in sorted(found):
-        near = run[max(i - 1, 0) : j + 1]
-        digest = np.uint64(xxhash.xxh3_64_intdigest(digests[i:j].tobytes())).view(np.int64)
-        gone = [at for c in near if c["gone"] for at in (c["start"], c["end"])]
-        out.append({"start": run[i]["start"], "end": run[j - 1]["end"], "left": near[0]["start"], "right": near[-1]["end"], "gone": gone, "digest": int(digest)})
-    return out
-
-
-@F.arrow_udf(_PASSAGES)
-def passages(runs: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([*((k, pa.int32()) for k in _PLACES), ("gone", pa.list_(pa.int32())), ("digest", pa.int64())]))
-    return pa.array([shortest_passages(run) for run in runs.to_pylist()], kind)
-
-
-def merged(spans: list[tuple[int, int]]) -> list[dict]:
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans without overlap that cover the same bytes."""
-    out: list[dict] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], end)
-        elif start < end:
-            out.append({"start": start, "end": end})
-    return out
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]])
+    return starts[new], reach[np.r_[new[1:] - 1, len(reach) - 1]]
 
 
 @F.arrow_udf(_UNION)
 def union(found: pa.Array) -> pa.Array:
     """Of a text's passages: the bytes repeated and removed, and where."""
-    out = []
-    for row in found.to_pylist():
-        # what lies beside a passage inside another one is covered by that one
-        inner = merged([(p["start"], p["end"]) for p in row])
-        starts, ends = {s["start"] for s in inner}, {s["end"] for s in inner}
-        every = merged([(p["left"] if p["start"] in starts else p["start"], p["right"] if p["end"] in ends else p["end"]) for p in row])
-        pieces = {x for p in row for x in zip(p["gone"][::2], p["gone"][1::2], strict=True)}
-        begins = [s["start"] for s in every]
-        gone = merged([x for x in pieces if (k := bisect_right(begins, x[0])) and x[0] < every[k - 1]["end"]])
-        out.append({"repeated": sum(s["end"] - s["start"] for s in every), "removed": sum(s["end"] - s["start"] for s in gone), "spans": gone})
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    return pa.array(out, pa.struct([("repeated", pa.int64()), ("removed", pa.int64()), ("spans", spans)]))
+    offsets, flat = found.offsets.to_numpy(), found.values
+    start, end, gone = (np.asarray(flat.field(k).to_numpy(zero_copy_only=False)) for k in range(3))
+    repeated, removed, sizes, cut = [], [], [0], []
+    for at, to in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        s, e = merged(start[at:to], end[at:to])
+        repeated.append(int((e - s).sum()))
+        s, e = merged(start[at:to][gone[at:to]], end[at:to][gone[at:to]])
+        removed.append(int((e - s).sum()))
+        sizes.append(sizes[-1] + len(s))
+        cut.append((s, e))
+    sides = [pa.array(np.concatenate([*(c[k] for c in cut), np.empty(0, np.int32)]).astype(np.int32)) for k in range(2)]
+    spans = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(sides, ["start", "end"]))
+    return pa.StructArray.from_arrays([pa.array(repeated, pa.int64()), pa.array(removed, pa.int64()), spans], ["repeated", "removed", "spans"])
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, k, repeated, removed, spans): bytes in repeated runs, bytes to remove, and where, in order.
+    """(doc_id, k, repeated, removed, spans): bytes in repeated passages, bytes to remove, and where, in order.
 
-    k is a hash of the text. Documents without a repeated run have no row.
+    k is a hash of the text. Documents without a repeated passage have no row.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.hash(F.col(text)).alias("k"), F.explode(chunks(F.col(text))).alias("c"))
-    rows = written(rows.select("doc_id", "k", "c.*"), "chunks")
-    places = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    places = written(places.select("digest", "first"), "repeated")
-    found = rows.join(places, "digest").select("doc_id", "k", *_FIELDS, (F.col("doc_id") > F.col("first")).cast("int").alias("gone"))
-    in_doc = Window.partitionBy("doc_id", "k").orderBy("start")
-    found = found.withColumn("reached", F.coalesce(F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
-    found = found.where(F.col("start") >= F.col("reached"))  # repeated rows have each chunk several times
-    found = found.withColumn("run", F.sum((F.col("start") > F.col("reached")).cast("int")).over(in_doc))
-    runs = found.groupBy("doc_id", "k", "run").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct(*_FIELDS, "gone"))).alias("chunks"))
-    runs = runs.where(F.col("words") >= RUN_WORDS).select("doc_id", "k", passages("chunks").alias("p"))
-    candidates = written(runs.select("doc_id", "k", F.explode("p").alias("p")).select("doc_id", "k", "p.*"), "passages")
-    twice = candidates.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    twice = written(twice.select("digest"), "twice")
-    met = candidates.join(twice, "digest").select("doc_id", "k", F.struct(*_PLACES, "gone").alias("p"))
-    return met.groupBy("doc_id", "k").agg(F.collect_list("p").alias("p")).select("doc_id", "k", union("p").alias("u")).select("doc_id", "k", "u.*")
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.explode(passages_of(F.col(text))).alias("c"))
+    rows = written(rows.select("doc_id", "k", "c.*"), "passages")
+    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    shared = written(shared.select("digest", "first"), "shared")
+    met = rows.join(shared, "digest").select("doc_id", "k", F.struct("start", "end", (F.col("doc_id") > F.col("first")).alias("gone")).alias("p"))
+    # a set, as repeated rows have each passage several times
+    return met.groupBy("doc_id", "k").agg(F.collect_set("p").alias("p")).select("doc_id", "k", union("p").alias("u")).select("doc_id", "k", "u.*")
 
 
 def annotated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with _repeated, _removed (bytes) and _spans (array of start and end)."""
-    runs = repeated_runs(docs, doc_id, text).select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("repeated").alias("_r"), F.col("removed").alias("_g"), F.col("spans").alias("_s"))
+    """docs with _repeated, _removed (bytes) and _spans (array of start and end), which replace columns of these names."""
+    docs = docs.drop("_repeated", "_removed", "_spans")
     # the keys are columns of their own, so that texts are only shuffled where they are used later
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)), "_hash": F.hash(F.col(text))})
-    joined = keyed.join(runs, (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_k")), "left")
+    own, h, d, k, u = unused(docs, "id", "hash", "d", "k", "u")
+    runs = repeated_runs(docs, doc_id, text).select(F.col("doc_id").alias(d), F.col("k").alias(k), F.struct("repeated", "removed", "spans").alias(u))
+    keyed = docs.withColumns({own: F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)), h: F.xxhash64(F.col(text))})
+    joined = keyed.join(runs, (F.col(own) == F.col(d)) & (F.col(h) == F.col(k)), "left")
     zero = F.lit(0).cast("long")
-    spans = F.coalesce("_s", F.array().cast("array<struct<start: int, end: int>>"))
-    return joined.withColumns({"_repeated": F.coalesce("_r", zero), "_removed": F.coalesce("_g", zero), "_spans": spans}).drop("_id", "_hash", "_d", "_k", "_r", "_g", "_s")
+    spans = F.coalesce(F.col(u)["spans"], F.array().cast("array<struct<start: int, end: int>>"))
+    return joined.withColumns({"_repeated": F.coalesce(F.col(u)["repeated"], zero), "_removed": F.coalesce(F.col(u)["removed"], zero), "_spans": spans}).drop(own, h, d, k, u)
 
 
 @F.arrow_udf(T.StringType())
@@ -209,4 +173,7 @@ def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with texts less what is repeated elsewhere."""
-    return annotated(docs, doc_id, text).withColumn(text, without(F.col(text), F.col("_spans"))).drop("_repeated", "_removed", "_spans")
+    (whole,) = unused(docs, "row")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = annotated(rows).withColumn("text", without(F.col("text"), F.col("_spans")))
+    return found.select(*(F.col("text").alias(c) if c == text else F.col(whole)[c].alias(c) for c in docs.columns))

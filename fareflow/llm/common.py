@@ -31,6 +31,18 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has; Spark's names don't tell cases apart."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        made = f"_{name}"
+        while made in taken:
+            made = f"_{made}"
+        taken.add(made)
+        out.append(made)
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most so many rows, and of at most so many bytes of one text column where rows allow."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -27,28 +28,38 @@ def test_cuts_resist_insertions():
     assert all(text[s:e].decode() for s, e in zip([0, *ends[:-1]], ends))
 
 
+def shortest(text):
+    """A text's passages, by plain counting of words."""
+    data = text.encode()
+    ends = chunk_dedup.cuts(np.frombuffer(data, np.uint8)).tolist()
+    starts = [0, *ends[:-1]]
+    out = []
+    for i, s in enumerate(starts):
+        for e in ends[i:]:
+            part = data[s:e].decode()
+            words = len(re.findall(r"[^\x00-\x20]+", part))
+            han = sum("\u3000" <= c <= "\u9fff" for c in part)
+            if 2 * words + han >= 2 * chunk_dedup.RUN_WORDS:
+                out.append((s, e))
+                break
+    return out
+
+
 def plain(rows):
-    """By (doc_id, text): the bytes to remove, by plain dictionaries."""
+    """By (doc_id, text): the bytes repeated and to remove, by plain dictionaries."""
     low = chunk_dedup.LOWEST
     where, cut = {}, {}
     for d, t in rows:
         if t:
-            ends, words, digests = chunk_dedup.chunked(t.encode())
-            cut[d, t] = list(zip([0, *ends[:-1].tolist()], ends.tolist(), words.tolist(), digests, strict=True))
-            for c in cut[d, t]:
-                where.setdefault(c[3], set()).add(low if d is None else d)
+            cut[d, t] = [(s, e, t.encode()[s:e]) for s, e in shortest(t)]
+            for _, _, p in cut[d, t]:
+                where.setdefault(p, set()).add(low if d is None else d)
     out = {}
-    for (d, t), cs in cut.items():
-        run, gone, repeated = [], set(), 0
-        for c in [*cs, None]:
-            if c and len(where[c[3]]) > 1:
-                run.append(c)
-                continue
-            if sum(x[2] for x in run) >= chunk_dedup.RUN_WORDS:
-                repeated += sum(x[1] - x[0] for x in run)
-                gone |= {b for x in run if (low if d is None else d) > min(where[x[3]]) for b in range(x[0], x[1])}
-            run = []
-        out[d, t] = repeated, gone
+    for (d, t), ps in cut.items():
+        met = [(s, e, min(where[p])) for s, e, p in ps if len(where[p]) > 1]
+        repeated = {b for s, e, _ in met for b in range(s, e)}
+        gone = {b for s, e, first in met if (low if d is None else d) > first for b in range(s, e)}
+        out[d, t] = len(repeated), gone
     return out
 
 
@@ -108,11 +119,33 @@ def test_only_what_recurs_together_counts(spark):
     assert got[3]["_removed"] == 0 and 450 <= got[4]["_removed"] <= 600
 
 
-def test_shortest_passages_cover_any_shared_run():
+def test_long_runs_are_covered():
     rng = random.Random(6)
-    run = [{"start": i, "end": i + 1, "words": rng.randint(0, 7), "split": rng.randint(0, 1), "digest": i, "gone": 0} for i in range(60)]
-    of = {(p["start"], p["end"]) for p in chunk_dedup.shortest_passages(run)}
-    for i in range(60):
-        for j in range(i + 1, 61):
-            if sum(c["words"] for c in run[i:j]) >= chunk_dedup.RUN_WORDS:
-                assert {b for s, e in of if i <= s and e <= j for b in range(s, e)} == set(range(i, j))
+    missed = []
+    for _ in range(300):
+        shared = prose(rng, 51)
+        sides = [prose(rng, 20) + " " + shared + " " + prose(rng, 20) for _ in range(2)]
+        a, b = ({t.encode()[s:e] for s, e in shortest(t)} for t in sides)
+        text = sides[0].encode()
+        both = {i for s, e in shortest(sides[0]) if text[s:e] in a & b for i in range(s, e)}
+        missed.append(1 - len(both) / len(shared.encode()))
+    assert np.mean(np.array(missed) < 1) >= 0.99 and np.mean(missed) < 0.3
+
+
+def test_rows_of_one_id_and_any_columns(spark):
+    rng = random.Random(3)
+    p, q = prose(rng, 60), prose(rng, 60)
+    rows = [(1, f"{p} {q}"), (7, p), (7, q), (7, q)] + [(None, "null id " + p)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(5) for c in ("_id", "_hash", "_d", "_k", "_u", "_row", "_ROW2")})
+    check(spark, rows, docs)
+    assert chunk_dedup.annotated(docs).columns == [*docs.columns, "_repeated", "_removed", "_spans"]
+    got = chunk_dedup.deduplicated(docs)
+    assert got.columns == docs.columns and got.where("_id = 5 and _hash = 5 and _row = 5").count() == len(rows)
+
+
+def test_any_text_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice(["a ", "bc", " d", "\n", "é", "漢", "字", "xyz "]) for _ in range(rng.randint(1, 400)))
+        starts, ends, _ = chunk_dedup.passages(text.encode())
+        assert list(zip(starts.tolist(), ends.tolist())) == shortest(text)
