@@ -5,12 +5,13 @@ depends on its neighbourhood only and an insertion shifts no later cut. A cut th
 within `LEAST` bytes doesn't count, and cuts move on to the next character's beginning; both rules
 look at the neighbourhood only, too.
 
-One chunk holds four or five words, and sequences that short recur by chance. So the unit that is
+One chunk holds four or five words, and sequences that short recur by chance; single recurring lines are the
+business of line deduplication. So the unit that is
 deduplicated is a passage: from each chunk's beginning, the fewest whole chunks that hold `RUN_WORDS`
 words or more. Its bytes alone decide where it ends, so two texts that share the chunks share the
 passage. Passages are compared by a 64-bit digest of their bytes over all documents. A shared run of
 text is found by the passages inside it, which overlap; of a run of over 50 words, all but the parts of
-chunks at both ends is marked, for all but about one in a thousand of the shortest runs. A passage stays in
+chunks at both ends is marked, for all but about one in a hundred of the shortest runs. A passage stays in
 the document of the smallest doc_id and is removed elsewhere; so each byte stays in some document.
 In scripts without spaces, two characters count as a word. Two different passages have one digest
 with a chance of one in 2^64.
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from fareflow.llm.common import unused, written
 
 #: Bytes from one low hash to the next on average; bytes between cuts that count; words in a passage at least.
-EVERY, LEAST, RUN_WORDS = 20, 8, 12
+EVERY, LEAST, RUN_WORDS = 20, 8, 20
 LOWEST = -(1 << 63)
 GEAR = np.random.default_rng(11).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -133,8 +134,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     k is a hash of the text. Documents without a repeated passage have no row.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.explode(passages_of(F.col(text))).alias("c"))
-    rows = written(rows.select("doc_id", "k", "c.*"), "passages")
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), passages_of(F.col(text)).alias("p"))
+    # in two steps, so that the text does not go along with each of its passages
+    rows = written(rows.select("doc_id", "k", F.inline("p")), "passages")
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     shared = written(shared.select("digest", "first"), "shared")
     met = rows.join(shared, "digest").select("doc_id", "k", F.struct("start", "end", (F.col("doc_id") > F.col("first")).alias("gone")).alias("p"))
