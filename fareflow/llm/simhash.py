@@ -5,19 +5,20 @@ shingles of three words with repeats (fewer words: the whole sequence). A featur
 its UTF-8 bytes with seed 42; a fingerprint bit is 1 if set in over half the hashes. Null texts and
 texts without words have the fingerprint zero, which links like any other.
 
-Distinct fingerprints that differ in few bits are found in groups that share two of four 16-bit
-blocks: two differing bits leave at least two blocks alone. A group of more than `SPLIT` fingerprints
-is dealt again by two of four blocks of its other 32 bits, which leaves 2^16 fingerprints at most in
-a group, so no group grows with the data, none is capped, and no pair is lost. Within a group,
-fingerprints are sorted by Gray rank and indexed by levels of nodes: a node holds the bits that all
-below it share, less those its parent holds. A query adds up the differing bits on the way down and
-leaves out a node, with all below it, when the sum is over the limit. A group gives one link per
-fingerprint that has a partner (to the least of its local component), not all pairs. Copies share one
-fingerprint and are never expanded.
+All distinct fingerprints are sorted by Gray rank, in which neighbours share their leading bits, and
+range-partitioned into leaves of about `LEAF`. A leaf holds the bits that all its fingerprints share;
+upper nodes hold the bits that all below them share, less those of their parent. A query adds up the
+differing bits on its way down and leaves out a node, with all below it, when the sum is over the limit.
+The upper nodes, `MOST_LEAVES` leaves at most, go to every task: there each fingerprint is sent on to
+the later leaves that are not ruled out, and meets a leaf's fingerprints, which are indexed in the same
+way down to single fingerprints. A leaf's queries are dealt to `SALTS` tasks by a hash, so that a dense
+region is shared out. A batch gives one link per fingerprint that has a partner (to the least of its
+local component), not all pairs. Copies share one fingerprint and are never expanded.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,10 @@ from pyspark.sql import types as T
 from fareflow.llm.common import components, written
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
-#: Fingerprints in a group that is not dealt again.
-SPLIT = 4096
+#: Fingerprints in a leaf, while there are no more than so many leaves; tasks that share a leaf's queries.
+LEAF, MOST_LEAVES, SALTS = 1024, 1 << 14, 4
 #: Children of a node.
 FAN = 8
-PAIRS = [(a, b) for a in range(4) for b in range(a)]
 
 
 def _hashes(text: bytes) -> np.ndarray:
@@ -79,45 +79,41 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _nodes(group: np.ndarray, pattern: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next level up: each FAN neighbours of a group make a node. Gives (first child, group, pattern, mask)."""
-    new_group = np.r_[True, group[1:] != group[:-1]]
-    first = np.flatnonzero(new_group)
-    inside = np.arange(len(group)) - first[np.cumsum(new_group) - 1]
-    begins = np.flatnonzero(inside % FAN == 0)
-    own = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(group)]))
-    shared = mask & ~(pattern ^ pattern[begins][own])
-    up = np.bitwise_and.reduceat(shared, begins)
-    return begins, group[begins], pattern[begins] & up, up
-
-
-def linked(group: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of fingerprints of one group that differ in 1 to `limit` bits.
-
-    group is sorted and prints are sorted by Gray rank within it.
-    """
-    everything = np.full(len(prints), ~np.uint64(0))
-    levels = [(np.arange(len(prints)), group, prints, everything)]
-    while len(levels[-1][1]) > len(np.unique(group)):
-        levels.append(_nodes(*levels[-1][1:]))
-    found = []
-    for at in range(0, len(prints), 1 << 14):
-        query = np.arange(at, min(len(prints), at + (1 << 14)))
-        node = np.searchsorted(levels[-1][1], group[query])
-        differ = np.bitwise_count((prints[query] ^ levels[-1][2][node]) & levels[-1][3][node]).astype(np.int64)
-        for up, (_, _, pattern, mask) in zip(levels[:0:-1], levels[-2::-1], strict=True):
-            begins, parent_mask = up[0], up[3]
+class GrayTree:
+    """Nodes over Gray-ordered bit patterns. A node holds the bits that all below it share, less those its parent holds."""
+
+    def __init__(self, pattern: np.ndarray, mask: np.ndarray):
+        """pattern and mask of the leaves, in Gray order; a fingerprint is a leaf that holds all bits."""
+        self.levels, self.compared = [(np.arange(len(pattern)), pattern & mask, mask)], 0
+        while len(self.levels[-1][1]) > 1:
+            _, pattern, mask = self.levels[-1]
+            begins = np.arange(0, len(pattern), FAN)
+            own = np.arange(len(pattern)) // FAN
+            up = np.bitwise_and.reduceat(mask & ~(pattern ^ pattern[begins][own]), begins)
+            self.levels.append((begins, pattern[begins] & up, up))
+
+    def reach(self, prints: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) positions where a query differs from the leaf's bits in `limit` at most.
+
+        Differing bits are added up on the way down; where the sum is over the limit, a node goes with all below it.
+        """
+        _, pattern, mask = self.levels[-1]
+        differ = np.bitwise_count((prints ^ pattern[0]) & mask[0]).astype(np.int64)
+        query = np.flatnonzero(differ <= limit)
+        node, differ = np.zeros(len(query), np.int64), differ[query]
+        for (begins, _, parent), (_, pattern, mask) in zip(self.levels[:0:-1], self.levels[-2::-1], strict=True):
             n = np.diff(np.r_[begins, len(pattern)])[node]
             rows = np.repeat(np.arange(len(node)), n)
             child = begins[node][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-            q, parent = query[rows], node[rows]
-            own = np.bitwise_count((prints[q] ^ pattern[child]) & mask[child] & ~parent_mask[parent])
-            total = differ[rows] + own
+            q = query[rows]
+            total = differ[rows] + np.bitwise_count((prints[q] ^ pattern[child]) & mask[child] & ~parent[node][rows])
+            self.compared += len(rows)
             keep = total <= limit
             query, node, differ = q[keep], child[keep], total[keep]
-        later = node > query
-        found.append((query[later], node[later]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
+        return query, node
+
+
+ALL = ~np.uint64(0)
 
 
 def _stars(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,63 +133,94 @@ def _stars(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
     return signed[far], signed[order[label[far]]]
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by key; keeps the last key's rows for the next batch, as its group may go on."""
-    kept: tuple[np.ndarray, np.ndarray] | None = None
-
-    def links(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        same = np.r_[False, keys[1:] == keys[:-1]]
-        in_group = same | np.r_[same[1:], False]
-        group, prints = np.cumsum(~same)[in_group], prints[in_group].view(np.uint64)
-        if len(prints):
-            order = np.lexsort((gray_rank(prints), group))
-            group, prints = group[order], prints[order]
-            u, v = _stars(prints, *linked(group, prints))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+def _routed(leaves: np.ndarray, pattern: np.ndarray, mask: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sends each fingerprint to its own leaf, and on to the later leaves that the upper nodes don't rule out."""
+    tree = GrayTree(pattern, mask)
+
+    def made(target: np.ndarray, salt: np.ndarray, own: bool, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(leaves[target].astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.full(len(fp), own)), pa.array(fp)], ["target", "salt", "own", "fp"])
 
     for batch in batches:
-        keys, prints = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
-        if not len(keys):
-            continue
-        if kept is not None:
-            keys, prints = np.r_[kept[0], keys], np.r_[kept[1], prints]
-        last = np.searchsorted(keys, keys[-1])
-        yield from links(keys[:last], prints[:last])
-        kept = keys[last:], prints[last:]
-    if kept is not None:
-        yield from links(*kept)
+        for at in range(0, batch.num_rows, 1 << 12):
+            leaf, fp = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.slice(at, 1 << 12).columns)
+            at_leaf = np.searchsorted(leaves, leaf)
+            for salt in range(SALTS):
+                yield made(at_leaf, np.full(len(fp), salt), True, fp)
+            query, target = tree.reach(fp.view(np.uint64))
+            later = target > at_leaf[query]
+            query, target = query[later], target[later]
+            yield made(target, _salt(fp[query]), False, fp[query])
+
 
+def _salt(fp: np.ndarray) -> np.ndarray:
+    """A share of the queries of a leaf. The multiplier spreads fingerprints that differ in few bits."""
+    return (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SALTS)
 
-def _block(fp, k: int, width: int):
-    return F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1))
 
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads rows by target and salt, a leaf's own fingerprints before its queries, and gives links (u, v)."""
+    key, own, tree, members = None, [], None, np.empty(0, np.uint64)
+
+    def links(queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(64, (1 << 20) // max(1, len(members)))
+        for at in range(0, len(queries), step):
+            some = queries[at : at + step]
+            i, j = tree.reach(some)
+            differs = some[i] != members[j]
+            if differs.any():
+                prints, place = np.unique(np.r_[some, members], return_inverse=True)
+                u, v = _stars(prints, place[i[differs]], place[len(some) + j[differs]])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def built(salt: int) -> Iterator[pa.RecordBatch]:
+        """The leaf's tree; its own fingerprints of this salt are queries, too."""
+        nonlocal tree, members
+        members = np.concatenate(own).view(np.uint64)
+        members = members[np.argsort(gray_rank(members))]
+        tree = GrayTree(members, np.full(len(members), ALL))
+        yield from links(members[_salt(members.view(np.int64)) == salt])
 
-def _packed(head, high, low, width: int):
-    return F.shiftleft(head, 2 * width).bitwiseOR(F.shiftleft(high, width)).bitwiseOR(low)
+    for batch in batches:
+        target, salt, is_own, fp = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
+        turns = np.flatnonzero((np.diff(target) != 0) | (np.diff(salt) != 0) | (np.diff(is_own.astype(np.int8)) != 0)) + 1
+        for s, e in zip([0, *turns.tolist()], [*turns.tolist(), len(fp)], strict=True):
+            if s == e:
+                continue
+            if key != (target[s], salt[s]):
+                if own:
+                    yield from built(key[1])
+                key, own, tree = (target[s], salt[s]), [], None
+            if is_own[s]:
+                own.append(fp[s:e])
+            else:
+                if tree is None:
+                    yield from built(key[1])
+                    own = []
+                yield from links(fp[s:e].view(np.uint64))
+    if own:
+        yield from built(key[1])
 
 
-def _links_in(keyed: DataFrame) -> DataFrame:
-    """keyed: (key, fp), a group by key."""
-    return keyed.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_search, "u long, v long")
+@F.arrow_udf(T.LongType())
+def gray_order(prints: pa.Array) -> pa.Array:
+    """A long that sorts as the Gray rank does."""
+    rank = gray_rank(prints.to_numpy().view(np.uint64))
+    return pa.array((rank ^ np.uint64(1 << 63)).view(np.int64))
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints (column fp) within two differing bits."""
-    fp = F.col("fp")
-    keyed = written(prints.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("pair"), _packed(F.lit(k).cast("long"), _block(fp, a, 16), _block(fp, b, 16), 16).alias("key")) for k, (a, b) in enumerate(PAIRS)
-    ])).alias("k")).select("fp", "k.*"), "keyed")
-    large = written(keyed.groupBy("key").count().where(F.col("count") > SPLIT).select("key"), "large")
-    small_links = _links_in(keyed.join(large, "key", "left_anti"))
-    # the 32 bits that the key leaves, side by side
-    rest = F.lit(0).cast("long")
-    for k, (a, b) in enumerate(PAIRS):
-        lo, hi = sorted({0, 1, 2, 3} - {a, b})
-        rest = F.when(F.col("pair") == k, _block(fp, lo, 16).bitwiseOR(F.shiftleft(_block(fp, hi, 16), 16))).otherwise(rest)
-    dealt = keyed.join(large, "key").withColumn("r", rest).select("fp", F.explode(F.array(*[
-        _packed(F.shiftleft("key", 3) + k, _block(F.col("r"), a, 8), _block(F.col("r"), b, 8), 8) for k, (a, b) in enumerate(PAIRS)
-    ])).alias("key"))
-    return small_links.unionByName(_links_in(dealt))
+    n_leaves = max(1, min(MOST_LEAVES, -(-prints.count() // LEAF)))
+    ordered = prints.select("fp", gray_order("fp").alias("rank")).repartitionByRange(n_leaves, "rank").select(F.spark_partition_id().alias("leaf"), "fp")
+    ordered = written(ordered, "leaves")
+    shared = ordered.groupBy("leaf").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any"))
+    found = sorted((r["leaf"], r["ones"], r["any"]) for r in shared.collect())  # MOST_LEAVES rows at most
+    leaves, ones, any_ = (np.array([r[k] for r in found], np.int64) for k in range(3))
+    mask = ~(ones ^ any_).view(np.uint64)
+    route = functools.partial(_routed, leaves, ones.view(np.uint64), mask)
+    routed = ordered.mapInArrow(route, "target int, salt int, own boolean, fp long")
+    dealt = routed.repartition("target", "salt").sortWithinPartitions("target", "salt", F.desc("own"))
+    return dealt.mapInArrow(_search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", roots: bool = False) -> DataFrame:

@@ -1,6 +1,8 @@
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
-import re
 import xxhash
 from pyspark.sql import functions as F
 
@@ -51,8 +53,9 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_groups_that_are_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SPLIT", 8)
+@pytest.mark.parametrize("leaf", [4, 40, 5000])
+def test_dense_groups_over_many_leaves(spark, monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
     prints = {int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 4), replace=False)) for b in base for _ in range(150)}
@@ -63,6 +66,27 @@ def test_groups_that_are_dealt_again(spark, monkeypatch):
     assert {x: got.get(x, x) for x in signed} == want
 
 
+def test_tree_finds_all_and_prunes():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    x = np.unique(np.r_[x, x[:3000] ^ np.uint64(1 << 40), x[:3000] ^ np.uint64((1 << 63) + 2)])
+    x = x[np.argsort(simhash.gray_rank(x))]
+    tree = simhash.GrayTree(x, np.full(len(x), simhash.ALL))
+    i, j = tree.reach(x[:2000])
+    assert set(zip(i.tolist(), j.tolist())) == {(k, int(m)) for k in range(2000) for m in np.flatnonzero(np.bitwise_count(x[k] ^ x) <= 2)}
+    assert tree.compared < 0.1 * 2000 * len(x)
+
+
+def test_whole_leaves_are_pruned():
+    x = np.random.default_rng(6).integers(0, 1 << 63, 64 * 128, dtype=np.uint64)
+    x = np.unique(x)[np.argsort(simhash.gray_rank(np.unique(x)))]
+    leaves = np.arange(0, len(x), 16)
+    ones, any_ = np.bitwise_and.reduceat(x, leaves), np.bitwise_or.reduceat(x, leaves)
+    batch = pa.RecordBatch.from_arrays([pa.array((np.arange(len(x)) // 16).astype(np.int32)), pa.array(x.view(np.int64))], ["leaf", "fp"])
+    sent = sum(int((~np.asarray(b["own"])).sum()) for b in simhash._routed(np.arange(len(leaves)), ones, ~(ones ^ any_), iter([batch])))
+    assert 0 < sent < 0.2 * len(x) * len(leaves) / 2
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (7, 7), (None, 3)], "u long, v long")
