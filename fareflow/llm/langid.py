@@ -11,8 +11,8 @@ Since the embedding and a filter's first two bytes only depend on a pair of clas
 evaluated as sums of rows of pair tables, which gives the same numbers as the convolution.
 
 Null texts and texts without a letter are `und` with score 0. So is everything when there was no
-labelled text to learn from. Ties go to the label that sorts first. Other columns, also of the same
-names as the output, don't matter: the output replaces them.
+labelled text to learn from. Ties go to the label that sorts first. Columns of the names of the output
+are replaced; all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fareflow.llm.common import unused
+
 #: Bytes in a window.
 WINDOW = 256
 #: Filters by width. The widest is twice a pair of bytes.
@@ -138,23 +140,21 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 12, batch: int =
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", windows_per_label: int = 1500, chars: int = 200) -> Network | None:
-    """Trains on `windows_per_label` windows of each label at most, about; None without labelled text.
+    """Trains on `windows_per_label` windows of each label at most; None without labelled text.
 
-    The bound is on the sample only: rows are taken by a hash of their text, below a share that comes
-    from each label's count over all rows, and one window is cut from each at a place given by the hash.
-    The sample, a few hundred bytes a window, goes to the driver.
+    The bound is on the sample only. Distinct texts are taken by their hash, below a share that comes from each
+    label's number of distinct texts, so copies count once; one window is cut from each at a place given by the hash.
+    The sample, a few hundred bytes a window, goes to the driver; like the network, it grows with the number of labels.
     """
-    usable = labelled.select(F.col(text).alias("t"), F.col(lang).alias("y")).where(r"y is not null and t rlike '\\p{L}'")
-    counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
-    if not counts:
-        return None
-    share = F.lit(1.0)
-    for y, n in counts.items():
-        share = F.when(F.col("y") == y, F.lit(windows_per_label / n)).otherwise(share)
-    h = F.xxhash64("t")
-    start = F.lit(1) + F.pmod(h, F.greatest(F.length("t") - chars, F.lit(1)).cast("long")).cast("int")
-    sample = usable.where(F.pmod(F.xxhash64(h), F.lit(1 << 30)) < share * (1 << 30)).select("y", F.substring(F.col("t"), start, F.lit(chars)).alias("t"))
-    rows = sorted((r["t"].encode(), r["y"]) for r in sample.collect())
+    usable = labelled.select(F.col(text).alias("t"), F.col(lang).alias("y")).where(r"y is not null and t rlike '\\p{L}'").withColumn("h", F.xxhash64("t"))
+    sizes = usable.groupBy("y").agg(F.approx_count_distinct("h", 0.02).alias("n"))  # a row for each label, as the network has
+    start = F.lit(1) + F.pmod("h", F.greatest(F.length("t") - chars, F.lit(1)).cast("long")).cast("int")
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / (1 << 30)
+    # a fifth more than is wanted, as shares are not met exactly; the rank then keeps to the bound
+    near = usable.join(F.broadcast(sizes), "y").where(place < 1.2 * windows_per_label / F.col("n")).select("y", "h", F.substring(F.col("t"), start, F.lit(chars)).alias("t"))
+    once = near.groupBy("y", "h").agg(F.min("t").alias("t"))
+    ranked = once.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("h"), "h"))).where(F.col("k") <= windows_per_label)
+    rows = sorted((r["t"].encode(), r["y"]) for r in ranked.collect())
     return train([t for t, _ in rows], [y for _, y in rows]) if rows else None
 
 
@@ -202,7 +202,8 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", pred: str
             yield pa.StructArray.from_arrays([pa.array(np.array(net.labels, object)[best], pa.string()), pa.array(p[np.arange(len(p)), best])], ["label", "score"])
 
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    found = docs.withColumn("_found", predicted(F.col(text)))
+    (name,) = unused(docs, "found")
+    found = docs.withColumn(name, predicted(F.col(text)))
     return found.withColumns({
-        pred: F.when(has_letter, F.col("_found.label")).otherwise(UNKNOWN), score: F.when(has_letter, F.col("_found.score")).otherwise(0.0),
-    }).drop("_found")
+        pred: F.when(has_letter, F.col(name)["label"]).otherwise(UNKNOWN), score: F.when(has_letter, F.col(name)["score"]).otherwise(0.0),
+    }).drop(name)
