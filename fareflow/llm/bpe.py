@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fareflow.llm.common import slices, words_of
+
 #: Fixed value: Unicode White_Space, what \s is for the pattern's own library.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Where a space is next to other white space, cutting a text at spaces could cut a match.
-UNSAFE = re.compile(f"[ ][{SPACE}]|[{SPACE}][ ]")
 LEAF = 16
-CACHE = 300_000
+#: Entries in a generation of a memo, and pairs of tokens that are remembered.
+CACHE, PAIRS = 150_000, 400_000
+NEVER = 1 << 62
 
 
 def compiled(pattern: str):
@@ -39,30 +41,46 @@ def compiled(pattern: str):
     return regex.compile(spelled)
 
 
+class _Joined(dict):
+    """By two tokens, the rank of their joined bytes; NEVER where these are no token."""
+
+    def __init__(self, ranks: dict[bytes, int], of: dict[int, bytes]):
+        super().__init__()
+        self.ranks, self.of = ranks, of
+
+    def __missing__(self, key: int) -> int:
+        rank = self[key] = self.ranks.get(self.of[key >> 32] + self.of[key & 0xFFFFFFFF], NEVER)
+        return rank
+
+
 class PairEncoder:
     """BPE over bytes by a table of ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.of = ranks, {v: k for k, v in ranks.items()}
-        self._stays: dict[tuple[int, int], bool] = {}
+        self.joined, self.single = _Joined(ranks, self.of), [ranks.get(bytes([c]), -1) for c in range(256)]
+        self._stays: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by the plain rule: merge the pair of least rank, the leftmost first."""
         n = len(data)
         if n > 4 * LEAF:
             return self._merged_long(data)
-        parts = [data[i : i + 1] for i in range(n)]
-        get = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        joined = self.joined
+        if len(joined) > PAIRS:
+            joined.clear()
+        ids = [self.single[c] for c in data]
+        # of each token joined with the next; tokens are ranks
+        ranks = [joined[a << 32 | b] for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            ids[i] = least
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = joined[ids[i - 1] << 32 | least]
+            if i < len(ranks):
+                ranks[i] = joined[least << 32 | ids[i + 1]]
+        return ids
 
     def _merged_long(self, data: bytes) -> list[int]:
         """The same rule with a heap, for windows that grew long."""
@@ -95,14 +113,15 @@ class PairEncoder:
 
     def forget(self) -> None:
         self._stays.clear()
+        self.joined.clear()
 
     def stays(self, a: int, b: int) -> bool:
         """True if these two tokens are the encoding of their joined bytes."""
-        known = self._stays.get((a, b))
+        known = self._stays.get(key := a << 32 | b)
         if known is None:
-            if len(self._stays) > CACHE:
+            if len(self._stays) > PAIRS:
                 self._stays.clear()
-            known = self._stays[a, b] = self.merged(self.of[a] + self.of[b]) == [a, b]
+            known = self._stays[key] = self.merged(self.of[a] + self.of[b]) == [a, b]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -137,32 +156,39 @@ class PairEncoder:
 
 
 class _Memo(dict):
-    """Bytes of ids by string; forgets all when full, so that its memory is bounded."""
+    """Bytes of ids by string. When full, what wasn't used since it was last full is forgotten, so its memory is bounded."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
-        value = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) < 64:
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
 
 class TextEncoder:
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, pairs: PairEncoder, pattern: str):
         self.pairs, self.pattern = pairs, compiled(pattern)
-        self.by_match = _Memo(lambda m: np.array(self.pairs.encode(m.encode()), "<u4").tobytes())
-        self.by_word = _Memo(lambda w: self._matches(f" {w}"))
+        self.by_match = _Memo(lambda m: struct.pack(f"<{len(ids := self.pairs.encode(m.encode()))}I", *ids))
+        self.by_word = _Memo(lambda w: self._matches(w if w[:1] == "\n" else f" {w}"))
 
     def forget(self) -> None:
-        self.by_match.clear()
-        self.by_word.clear()
+        self.by_match.forget()
+        self.by_word.forget()
         self.pairs.forget()
 
     def decode(self, ids: bytes) -> bytes:
@@ -172,12 +198,12 @@ class TextEncoder:
         return b"".join(map(self.by_match.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
-        """A space between two characters that aren't white space always begins a match, so such
-        texts are cut there and each word, with its space, is looked up."""
-        if UNSAFE.search(text):
+        """Words, with the space or line feed before them, are looked up; the pattern must begin a match there."""
+        cut = words_of(text)
+        if cut is None:
             return self._matches(text)
-        first, *words = text.split(" ")
-        return self._matches(first) + b"".join(map(self.by_word.__getitem__, words))
+        first, rest, tail = cut
+        return b"".join([self._matches(first), *map(self.by_word.__getitem__, rest), self._matches(tail)])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -205,8 +231,7 @@ def encode(
         own = encoder(ranks_path, pattern)
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for part in slices(batch, len(keep)):
                     columns = [[own.encode(t) if t else b"" for t in part.column(len(keep)).to_pylist()]]
                     if decoded is not None:
                         columns.append([own.decode(ids) for ids in columns[0]])

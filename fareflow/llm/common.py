@@ -12,6 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Unicode White_Space; Python's isspace also takes four control characters.
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+BLANKS = "".join(SPACES)
+OTHERS = [c for c in SPACES if c not in " \n"]
+
+
+def words_of(text: str) -> tuple[str, list[str], str] | None:
+    """A text cut before each space and line feed: the first word, the rest, and the white space at the end.
+
+    A byte-level pattern always begins a new match there, as long as no other white space is next to it. A word of
+    the rest begins with its line feed, or else follows a space. Where a text has other white space, or three line feeds in a row,
+    it is cut at spaces only. None where a space is next to white space.
+    """
+    if any(f" {c}" in text or f"{c} " in text for c in SPACES if c in text):
+        return None
+    body = text.rstrip(BLANKS)
+    if "\n" in body and "\n\n\n" not in body and not any(c in body for c in OTHERS):
+        body, tail = body.replace("\n", " \n"), text[len(body) :]
+    else:
+        tail = text[len(body) :]
+    first, *rest = body.split(" ")
+    return first, rest, tail
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir; where that is unset (tests), under a temp folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -28,26 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm.common import shared_dir, slices
+from fareflow.llm.common import OTHERS, shared_dir, slices, words_of
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
 #: Words in a generation of the memo.
 CACHE = 500_000
-#: Every white space character of the library's pattern, and a few more.
-SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-OTHERS = [c for c in SPACES if c not in " \n"]
 #: Ends of words that are never in one piece with a letter.
 MARKS = ".,;:!?$&%#*)]"
 MANIFEST = "part int, path string, first_ids long, n_ids long, n_docs long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
 
 
-def unsafe(text: str) -> bool:
-    """True where a space is next to white space, so that the text can't be cut at spaces."""
-    return any(f" {c}" in text or f"{c} " in text for c in SPACES if c in text)
-
-
 class Encoder:
     """The tokenizers library, with a memo of words.
 
@@ -112,20 +104,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         firsts, rests, tails, odd = [], [], [], set()
         for t in texts:
-            if any(a in t for a in self.added) or unsafe(t):
-                firsts.append(t)
-                rests.append([])
-                tails.append("")
-                continue
-            body = t.rstrip()
-            if "\n\n\n" in body or any(c in body for c in OTHERS):
-                first, *rest = body.split(" ")
+            cut = None if any(a in t for a in self.added) else words_of(t)
+            first, rest, tail = cut or (t, [], "")
+            if any(c in t for c in OTHERS) or "\n\n\n" in t:
                 odd.update(w for w in rest if len(w.split()) > 1)
-            else:
-                first, *rest = body.replace("\n", " \n").split(" ")
             firsts.append(first)
             rests.append(rest)
-            tails.append(t[len(body) :])
+            tails.append(tail)
         self._learn(set().union(*rests), odd)
         get = self.words.__getitem__
         ends = map(self._all_ids, (firsts, tails))
