@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from fareflow.llm import license_scan, queries
@@ -29,8 +31,48 @@ def test_anchors_leave_no_match_out():
         shingles, chosen = license_scan.notice_shingles(words), license_scan.anchors(words)
         without = [s for s in shingles if not set(chosen) & set(s.split())]
         assert len(without) < -(-4 * len(shingles) // 5)
-        size, _ = license_scan.window_shape(len(words))
+        size, _ = license_scan.window_shape(words)
         k = min(license_scan.SHINGLE, len(words))
         need = -(-4 * len(shingles) // 5)
         similar = need / (len(shingles) + size - k + 1 - need)
         assert 1 - (1 - similar) ** license_scan.BANDS > 0.999997
+
+
+def best_span(words, notice):
+    """The greatest share of the notice's shingles in a span of any place, as long as such spans may be."""
+    of = set(license_scan.notice_shingles(notice))
+    k, span = min(license_scan.SHINGLE, len(notice)), len(notice) + len(notice) // 2
+    return max(len(of & {" ".join(words[j : j + k]) for j in range(i, min(i + span, len(words)) - k + 1)}) / len(of) for i in range(len(words)))
+
+
+def test_edited_notices_at_every_place(spark):
+    text = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    rows = [(i, "pad " * i + text + " pad" * 40) for i in range(40)]
+    rng = random.Random(4)
+    for i in range(100, 160):
+        words = license_scan.NOTICES["Apache-2.0-text"].split()
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(words))
+            words[at:at] = ["pad"] * rng.randint(1, 6)
+        rows.append((i, "pad " * rng.randrange(40) + " ".join(words)))
+    notices = {n: license_scan.NOTICES[n] for n in ("MIT-text", "Apache-2.0-text")}
+    found = {(r["doc_id"], r["license"]) for r in license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string"), notices=notices).collect()}
+    for i, t in rows:
+        name = "MIT-text" if i < 100 else "Apache-2.0-text"
+        assert (i, name) in found or best_span(license_scan.notice_words(t), license_scan.notice_words(notices[name])) < license_scan.CONTAINED
+    assert {(i, "MIT-text") for i in range(40)} <= found
+
+
+def test_own_notices_of_hundreds_of_words(spark):
+    rng = random.Random(8)
+    notices = {f"n{k}": " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "may", "not", "copy", "grant"]) + str(rng.randrange(50)) for _ in range(300 + k)) for k in range(5)}
+    rows = []
+    for k, t in enumerate(notices.values()):
+        words = t.split()
+        rows.append((k, "intro " * (31 * k) + " ".join(words[:100] + ["put", "in"] + words[100:250] + words[252:])))
+        rows.append((k + 10, " ".join(words[:120])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = connection("/nowhere")
+    con.register("documents", docs.toPandas())
+    assert same(license_scan.matches(docs, notices=notices), license_scan.oracle(notices), None, con) == 5
+    assert license_scan.matches(docs, notices={}).count() == 0
