@@ -15,7 +15,7 @@ def test_odd_rows(spark):
     fill = "some other words that mean nothing here "
     rows = [(i, f"{fill * (i % 5)}{text.upper() if i % 2 else text}\n{fill * 3}") for i, text in enumerate(license_scan.NOTICES.values())]
     long = license_scan.NOTICES["GPL-text"].split()
-    rows += [(20, None), (21, ""), (22, fill * 5000 + license_scan.NOTICES["MIT"]), (22, "All rights reserved"), (22, "All rights reserved"), (None, "all RIGHTS\n\nreserved!"), (23, " ".join(long[:25])), (24, " ".join(long[:5] + ["x"] + long[5:])), (25, "licensed"), (26, "rights")]
+    rows += [(20, None), (21, ""), (22, fill * 500 + license_scan.NOTICES["MIT"]), (22, "All rights reserved"), (22, "All rights reserved"), (None, "all RIGHTS\n\nreserved!"), (23, " ".join(long[:25])), (24, " ".join(long[:5] + ["x"] + long[5:])), (25, "licensed"), (26, "rights")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"license": F.lit("clash"), "word": F.lit(1), "m": F.lit(2)})
     con = connection("/nowhere")
     con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
@@ -25,6 +25,12 @@ def test_odd_rows(spark):
     assert license_scan.matches(docs.limit(0)).count() == 0
 
 
+def test_long_text(spark):
+    fill = "some other words that mean nothing here "
+    docs = spark.createDataFrame([(22, fill * 5000 + license_scan.NOTICES["MIT"])], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"], r["containment"]) for r in license_scan.matches(docs).collect()] == [(22, "MIT", 1.0)]
+
+
 def test_anchors_leave_no_match_out():
     for text in license_scan.NOTICES.values():
         words = license_scan.notice_words(text)
