@@ -57,12 +57,14 @@ def adjust_tt(df: DataFrame, subway_adj_s: float = -30.0) -> DataFrame:
 
 
 CANONICAL = ["card", "mode", "line_raw", "o_name", "d_name", "o_lon", "o_lat", "d_lon", "d_lat", "dep_s", "arr_s", "tt_s", "tt_adj_s"]
+#: As in the raw records, where these have them.
+CARRIED = {"o_line": "string", "d_line": "string", "o_dir": "smallint", "o_stopno": "smallint", "d_stopno": "smallint"}
 
 
 def clean_taps(df: DataFrame, bbox=BBOX, max_tt_s: float = 10800, keep: tuple[str, ...] = ()) -> DataFrame:
     """The whole chain and the canonical columns; `keep` names further columns to carry."""
     trips = adjust_tt(valid_trips(with_times(in_bbox(drop_missing(df), bbox)), max_tt_s))
-    return trips.withColumns({"card": F.substring("card", 1, 12), "line_raw": F.col("o_line").cast("string")}).select(*CANONICAL, *keep)
+    return trips.withColumns({"card": F.substring("card", 1, 12), "line_raw": F.col("o_line").cast("string")}).select(*CANONICAL, *(F.col(c).cast(t).alias(c) for c, t in CARRIED.items() if c in df.columns), *keep)
 
 
 def funnel(df: DataFrame, bbox=BBOX, max_tt_s: float = 10800) -> DataFrame:

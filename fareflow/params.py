@@ -1,7 +1,8 @@
 """Fixed values and default parameters."""
 
-#: The study area (least and greatest latitude and longitude), the mode names in the raw
-#: records, station aliases, and prior headways and dwell times.
+#: All that follows. The study area (least and greatest latitude and longitude), the mode names in the
+#: raw records, station aliases, prior headways, the hours of periods, speeds and dwell times, and the patterns of names:
+#: brackets, terminals, spellings of line variants that are shortened, variants after a line's number, and the ends of bus names.
 BBOX = (39.833217, 116.271581, 39.989478, 116.487437)
 MODES = {"公交": "bus", "地铁": "subway"}
 STATION_ALIASES = {"灵镜胡同": "灵境胡同", "T2航站楼": "2号航站楼", "T3航站楼": "3号航站楼"}
@@ -19,3 +20,8 @@ INTERMODAL_S = 180.0
 MODE_SPEED_KMH = {"subway": 35.0, "bus": 18.0}
 MODE_DWELL_S = {"subway": 35.0, "bus": 25.0}
 HEADWAY_BY_HOUR = {"subway": {7: 180.0, 12: 360.0, 17: 180.0, 22: 480.0}, "bus": {7: 420.0, 12: 600.0, 22: 900.0}}
+BRACKETS = "[（(].*?[）)]"
+TERMINALS = r"^(.*?)[（(](.*?)--(.*?)[）)]\s*$"
+SHORTENED = {"内环": "内", "外环": "外", "快车": "快", "路": ""}
+VARIANTS = "(内|外|快|区间|支|定班)+$"
+BUS_ENDS = "(内|外|内环|外环|快|快车|区间|支|支线|夜|定班)$"

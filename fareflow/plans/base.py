@@ -7,6 +7,7 @@ stay short, and a lost executor costs nothing. `forget` has them written anew, f
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -18,8 +19,12 @@ _SHARED: dict = {}
 
 
 def folder(spark) -> str:
-    """A new folder in the cluster's shared one; where none is set (tests), in the temp folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/fareflow"
+    """A new folder in the cluster's shared one. Only a local session, as in tests, may go without: it has one machine's temp folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/fareflow"
     return f"{base.rstrip('/')}/fareflow-{uuid.uuid4().hex}"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from fareflow.params import BBOX
+from fareflow.params import BBOX, BRACKETS, SHORTENED, VARIANTS
 from fareflow.sources.fixtures import MAPPING, with_clause
 
 QUERIES: dict = {}
@@ -42,13 +42,14 @@ def ora_station(c: str) -> str:
 
 
 def ora_variant(c: str) -> str:
-    s = f"regexp_replace({ora_given(c)}, '[（(].*?[）)]', '', 'g')"
-    s = f"replace(replace(replace(replace({s}, '内环', '内'), '外环', '外'), '快车', '快'), '路', '')"
+    s = f"regexp_replace({ora_given(c)}, '{BRACKETS}', '', 'g')"
+    for long, short in SHORTENED.items():
+        s = f"replace({s}, '{long}', '{short}')"
     return rf"nullif(regexp_replace({s}, '([0-9])线$', '\1'), '')"
 
 
 def ora_core(c: str) -> str:
-    return f"regexp_replace({ora_variant(c)}, '(内|外|快|区间|支|定班)+$', '')"
+    return f"regexp_replace({ora_variant(c)}, '{VARIANTS}', '')"
 
 
 def ora_haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
@@ -69,7 +70,7 @@ VALID = "o_mode in ('公交', '地铁') and o_mode = d_mode and tt_s > 0 and tt_
 BLOCKS |= {
     "timed": f"""select *, arr_s - dep_s as tt_s from (select *, epoch(a) - epoch(date_trunc('day', d)) as arr_s, epoch(d) - epoch(date_trunc('day', d)) as dep_s
       from (select *, try_strptime(dep, '%Y-%m-%d %H:%M:%S') as d, try_strptime(arr, '%Y-%m-%d %H:%M:%S') as a from fx_taps where {THERE} and {BOX}) where d is not null and a is not null)""",
-    "clean": f"""select substr(card, 1, 12) as card, case o_mode when '公交' then 'bus' else 'subway' end as mode, o_line as line_raw, o_name, d_name, o_lon, o_lat, d_lon, d_lat, dep_s, arr_s, tt_s,
+    "clean": f"""select substr(card, 1, 12) as card, case o_mode when '公交' then 'bus' else 'subway' end as mode, o_line as line_raw, o_line, d_line, cast(o_dir as smallint) as o_dir, cast(o_stopno as smallint) as o_stopno, cast(d_stopno as smallint) as d_stopno, o_name, d_name, o_lon, o_lat, d_lon, d_lat, dep_s, arr_s, tt_s,
       case when o_mode = '地铁' then tt_s - 30 else tt_s end as tt_adj_s, {KEYS} from timed where {VALID}""",
     "stations": "select distinct concat(node_type, ':', node_id) as key, node_id as raw_id, node_type as mode, station_name as name, x as lon, y as lat, cast(case node_type when 'subway' then 240 else 60 end as double) as transfer_time from fx_nodes",
     "ride_edges": """select e.*, edge_type as mode, concat(edge_type, ':', from_id) as f, concat(edge_type, ':', to_id) as t from fx_edges e

@@ -175,7 +175,9 @@ BLOCKS |= {
 }
 
 
-@query("timetable_departures")
+@query("timetable_departures", """select * from (with recursive dep as (select line, 0 as k, cast(18000 as double) as t from line_modes union all
+  select d.line, k + 1, ceil((t + headway_s) / 10) * 10 from dep d join line_headways h on h.line = d.line and h.hour = cast(floor(t / 3600) as int) % 24 where ceil((t + headway_s) / 10) * 10 < 84600)
+  select line, cast(k as int) as k, cast(t as double) as t from dep)""")
 def timetable_departures(spark, sf):
     return timetable.departures(base.stops(spark, sf).select("line"), taps.line_headways(spark, sf))
 
@@ -215,7 +217,11 @@ def stream_demand_buckets(spark, sf):
     return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_tap_clusters")
+@query("stream_tap_clusters", """select * from (with source as (select route_name, o_key, make_timestamp(cast((dep_s + 1557705600) * 1000000 as bigint)) as ts from matched where mode = 'bus' and route_name is not null),
+  marked as (select *, coalesce(ts - lag(ts) over (partition by route_name, o_key order by ts) > interval 90 second, true) as first from source),
+  numbered as (select *, sum(cast(first as int)) over (partition by route_name, o_key order by ts rows unbounded preceding) as c from marked)
+  select route_name, o_key, min(ts) as first, max(ts) as last, count(*) as taps from numbered group by route_name, o_key, c
+  having max(ts) + interval 90 second <= (select max(ts) from source) - interval 1 hour)""")
 def stream_tap_clusters(spark, sf):
     taps_in = base.matched(spark, sf).where("mode = 'bus' and route_name is not null").select("route_name", "o_key", F.timestamp_seconds(F.col("dep_s") + 1557705600).alias("ts"))
     source = cut(taps_in)
@@ -223,7 +229,7 @@ def stream_tap_clusters(spark, sf):
     source.write.parquet(folder)
     rows = spark.readStream.schema(taps_in.schema).parquet(folder)
     streams.run_available(streams.stream_clusters(rows), out, f"{out}-checkpoint")
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 
 @query("read_taps", "select card, o_mode, o_line, o_name, o_lon, dep from fx_taps where dep <> 'bad'")

@@ -13,7 +13,7 @@ from fareflow.plans.registry import (
 from fareflow.sources import fixtures
 
 ROW = base.ROW
-_RAW = "card, o_mode, d_mode, o_line, o_name, d_name, o_lat, o_lon, d_lat, d_lon, dep, arr"
+_RAW = "card, o_mode, d_mode, o_line, d_line, o_dir, o_stopno, d_stopno, o_name, d_name, o_lat, o_lon, d_lat, d_lon, dep, arr"
 
 
 @query("tap_drop_missing", f"select {_RAW}, {KEYS} from fx_taps where {THERE}")
@@ -82,10 +82,10 @@ def fn_line_core(spark, sf):
 
 
 def _ora_bus(c):
-    return f"replace(regexp_replace(regexp_replace({ora_given(c)}, '[（(].*?[）)]', '', 'g'), '(路|线)$', ''), '路', '')"
+    return f"replace(regexp_replace(regexp_replace({ora_given(c)}, '{params.BRACKETS}', '', 'g'), '(路|线)$', ''), '路', '')"
 
 
-@query("fn_bus_core", f"""select distinct line_name, coalesce(nullif(regexp_replace({_ora_bus('line_name')}, '(内环|外环|快车|区间|支线|定班|内|外|快|支|夜)$', ''), ''), {_ora_bus('line_name')}) as key from fx_names""")
+@query("fn_bus_core", f"""select distinct line_name, coalesce(nullif(regexp_replace({_ora_bus('line_name')}, '{params.BUS_ENDS}', ''), ''), {_ora_bus('line_name')}) as key from fx_names""")
 def fn_bus_core(spark, sf):
     return _names(spark, sf).select("line_name", C.bus_core(F.col("line_name")).alias("key")).distinct()
 
@@ -95,9 +95,9 @@ def fn_bus_variant(spark, sf):
     return _names(spark, sf).select("line_name", C.bus_variant(F.col("line_name")).alias("key")).distinct()
 
 
-@query("fn_route_terminals", r"""select distinct line_name, case when regexp_matches(line_name, p) then regexp_extract(line_name, p, 1) else line_name end as name,
+@query("fn_route_terminals", rf"""select distinct line_name, case when regexp_matches(line_name, p) then regexp_extract(line_name, p, 1) else line_name end as name,
   case when regexp_matches(line_name, p) then regexp_extract(line_name, p, 2) end as first, case when regexp_matches(line_name, p) then regexp_extract(line_name, p, 3) end as last
-  from (select *, '^(.*?)[（(](.*?)--(.*?)[）)]\s*$' as p from fx_names)""")
+  from (select *, '{params.TERMINALS}' as p from fx_names)""")
 def fn_route_terminals(spark, sf):
     return _names(spark, sf).select("line_name", C.route_terminals(F.col("line_name")).alias("x")).select("line_name", "x.name", "x.first", "x.last").distinct()
 

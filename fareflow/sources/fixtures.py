@@ -51,6 +51,11 @@ select /*+ broadcast(o, d) */ cast(l_orderkey as string) as card, l_orderkey, l_
        when o.line_no = 24 then '999路'
        when o.line_no % 4 = 3 then concat(cast(300 + o.line_no as string), '路快车')
        else concat(cast(300 + o.line_no as string), '路外环') end as o_line,
+  case when o.mode = 'subway' then concat('地铁', cast(o.line_no as string), '号线')
+       when o.line_no = 24 then '999路'
+       when o.line_no % 4 = 3 then concat(cast(300 + o.line_no as string), '路快车')
+       else concat(cast(300 + o.line_no as string), '路外环') end as d_line,
+  cast(l_linenumber % 2 as int) as o_dir, op + 1 as o_stopno, dp + 1 as d_stopno,
   case when l_linenumber = 7 then concat('未知', cast(o.stn as string))
        when l_linenumber % 2 = 1 then concat('东门', cast(o.stn as string), '站') else concat('东门', cast(o.stn as string)) end as o_name,
   concat('东门', cast(d.stn as string)) as d_name,
