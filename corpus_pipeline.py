@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fareflow.llm import bpe, decontam, langid, line_dedup, queries, simhash
-from fareflow.llm.common import shared_dir
+from fareflow.llm.common import shared_dir, unused, written
 
 #: Below this probability, the language is not known well enough.
 LEAST_SCORE = 0.4
@@ -19,8 +19,9 @@ LEAST_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go: no text, no letter, or a score below LEAST_SCORE."""
-    found = langid.predict(docs, queries.language_model(docs), pred="_pred", score="_score")
-    return found.where((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = unused(docs, "pred", "score")
+    found = langid.predict(docs, queries.language_model(docs), pred=pred, score=score)
+    return found.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,31 +32,36 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one of smallest doc_id; of rows that share that id, the one of least text hash.
+    """One document of each component stays, the one of smallest doc_id; of rows that share that id, the one of least text hash,
+    and of rows with the same text, the one of least hash over all columns.
 
     Rows without an id come last, so one stays for each component that has no id at all. An id that several components
     have keeps a row in each that it names.
     """
+    # fingerprints are made once; from here on, only ids, hashes and roots are joined until the kept rows are known
+    own, other = unused(docs, "id", "h")
     found = simhash.near_duplicates(docs, roots=True)
-    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "root")
-    stays = named.groupBy("root").agg(F.min("_id").alias("_id"), F.min("_h").alias("_h")).drop("root")
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col("text")))
+    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own), F.col("h").alias(other), "root")
+    stays = written(named.groupBy("root").agg(F.min(own).alias(own), F.min(other).alias(other)).drop("root"), "stays")
 
     def at(keys: DataFrame):
-        return keyed["doc_id"].eqNullSafe(keys["_id"]) & (keyed["_hash"] == keys["_h"])
+        return docs["doc_id"].eqNullSafe(keys[own]) & (F.xxhash64(docs["text"]) == keys[other])
 
-    kept = keyed.join(stays, at(stays), "left_semi")
     # only equal rows need a choice now, so only they are shuffled again
-    several = named.groupBy("_id", "_h").count().where("count > 1").select("_id", "_h")
-    chosen = kept.join(several, at(several), "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return kept.join(several, at(several), "left_anti").unionByName(chosen).select(*docs.columns)
+    several = written(named.groupBy(own, other).count().where("count > 1").select(own, other), "several")
+    once = docs.join(stays, at(stays), "left_semi").join(several, at(several), "left_anti")
+    again = docs.join(stays, at(stays), "left_semi").join(several, at(several), "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = again.groupBy("doc_id", F.xxhash64("text").alias(other)).agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias(own)).select(f"{own}.*")
+    return once.unionByName(chosen).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     items = queries.table(spark, sf_dir, "benchmark")
-    bad = decontam.contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")
+    own, other = unused(docs, "id", "h")
+    bad = decontam.contamination(docs, items).where("contaminated").select(F.col("doc_id").alias(own), F.col("h").alias(other)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[own]) & (F.xxhash64(docs["text"]) == bad[other]), "left_anti")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
