@@ -10,7 +10,8 @@ before or end after the document (length bound), and the words around the positi
 the window's words. A document word inside any occurrence is hit.
 
 While there are at most `IN_PLAN` prefix tokens, they are looked up inside each document's word list,
-and only the words around a hit leave the scan. Beyond, words are exploded and joined by shuffle.
+and only the words around a hit leave the scan. Up to `VOCABULARY` of them, words are exploded and looked
+up in a broadcast table, so that only hits are shuffled. Beyond, words and tokens are joined by shuffle.
 
 A row is identified by doc_id and text, so repeated ids with other texts are judged alone, and
 repeated rows get equal results. Null texts and items have no words; null ids are kept. Other columns
@@ -97,7 +98,9 @@ def _hits(docs: DataFrame, index: DataFrame) -> DataFrame:
         at = F.expr(f"filter(transform(words, (w, i) -> if(xxhash64(lower(w)) in ({listed}), i, null)), p -> p is not null)")
         return split.select("doc_id", "h", n_words(F.col("words")).alias("n_words"), "words", at.alias("at")).select("doc_id", "h", "n_words", _with_context(F.col("words"), F.col("at")).alias("hits"))
     exploded = split.select("doc_id", "h", F.posexplode("words").alias("p", "w")).select("doc_id", "h", "p", coarse(F.col("w")).alias("key"))
-    at = exploded.join(keys, "key", "left_semi").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("p")).alias("at")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "at")
+    # a key is eight bytes, so VOCABULARY of them are a few MB; beyond, the words meet the keys by shuffle
+    listed = F.broadcast(keys) if n <= VOCABULARY else keys
+    at = exploded.join(listed, "key", "left_semi").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("p")).alias("at")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "at")
     joined = split.join(at, split["doc_id"].eqNullSafe(at["_d"]) & (split["h"] == at["_h"]), "left")
     return joined.select("doc_id", "h", n_words(F.col("words")).alias("n_words"), _with_context(F.col("words"), F.col("at")).alias("hits"))
 

@@ -49,10 +49,10 @@ def odd(spark):
     return docs, items
 
 
-@pytest.mark.parametrize("in_plan", [20_000, 1])
-def test_odd_rows(spark, odd, monkeypatch, in_plan):
+@pytest.mark.parametrize(("in_plan", "vocabulary"), [(20_000, 1_000_000), (1, 1_000_000), (1, 1)])
+def test_odd_rows(spark, odd, monkeypatch, in_plan, vocabulary):
     monkeypatch.setattr(decontam, "IN_PLAN", in_plan)
-    monkeypatch.setattr(decontam, "VOCABULARY", in_plan)
+    monkeypatch.setattr(decontam, "VOCABULARY", vocabulary)
     docs, items = odd
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n": F.lit("clash"), "h": F.lit(1), "words": F.lit(2)})
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("window", F.lit(1))
