@@ -3,7 +3,7 @@
 Vectors with equal, non-null labels (and equal length) whose cosine, in double precision, reaches a
 threshold are linked. Equal vectors are first collapsed to one representative with a count. The rest
 are scaled to length one, turned to the principal axes of all vectors (which keeps dot products),
-and range-partitioned by label and leading coordinate into tiles of bounded size. A tile keeps the
+and range-partitioned by label and leading coordinate into tiles of bounded rows and bytes. A tile keeps the
 box of its leading coordinates and the largest norm of the others; a pair of tiles whose bound is
 below the threshold is left out. The others are compared in blocks of dimensions, the leading ones
 first: a pair of vectors is given up as soon as the sum so far plus the product of both suffix norms
@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 from fareflow.llm.common import components, written
 
 THRESHOLD = 0.93
-#: Vectors in a tile at most; dimensions in a block; leading coordinates that bound a tile.
-TILE, BLOCK, LEAD = 512, 16, 4
+#: Vectors and bytes in a tile at most; dimensions in a block; leading coordinates that bound a tile.
+TILE, TILE_BYTES, BLOCK, LEAD = 2048, 1 << 20, 16, 4
+#: Tasks that share the search for a label's pairs of tiles.
+SALTS = 16
 #: More than the rounding error of a sum of products of unit vectors.
 SLACK = 1e-9
 
@@ -114,9 +116,10 @@ def _tiles(rows: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
             turns = np.flatnonzero((labels[1:] != labels[:-1]) | (sizes[1:] != sizes[:-1])) + 1
             begin = 0
             for end in [*turns.tolist(), len(labels)]:
-                full = end if end < len(labels) else begin + (end - begin) // TILE * TILE
-                for at in range(begin, full, TILE):
-                    yield tile((labels[at], int(sizes[at])), held.slice(at, min(TILE, full - at)))
+                size = max(1, min(TILE, TILE_BYTES // (8 * int(sizes[begin])))) if begin < end else 1
+                full = end if end < len(labels) else begin + (end - begin) // size * size
+                for at in range(begin, full, size):
+                    yield tile((labels[at], int(sizes[at])), held.slice(at, min(size, full - at)))
                 begin = full
             held = held.slice(begin)
         if held is not None and len(held):
@@ -185,7 +188,7 @@ _FOUND = "struct<ids: array<long>, links: array<long>, u: array<long>, v: array<
 
 
 def _pair_links(axes: dict[int, np.ndarray], threshold: float):
-    # Not an Arrow function: a row is two whole tiles, and these come in batches of a hundred rows at most.
+    # Not an Arrow function: a row is two whole tiles of TILE_BYTES at most, and these come in batches of a hundred rows at most.
     @F.udf(_FOUND)
     def found(d, same, ids_a, counts_a, body_a, ids_b, counts_b, body_b):
         x, y = (np.frombuffer(b, "<f8").reshape(-1, d) for b in (body_a, body_b))
@@ -210,11 +213,13 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     axes = principal_axes(distinct)
     tiles = written(_tiles(distinct.select("label", "d", "vec_id", "n", "v"), axes), "tiles")
     meta = tiles.drop("ids", "counts", "body")
-    a, b = meta.alias("a"), meta.alias("b")
+    # a label's pairs are searched in several tasks: one side is dealt out, the other one goes to each
+    a = meta.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(SALTS)).cast("int")).alias("a")
+    b = meta.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("b")
     bound = F.col("a.rest") * F.col("b.rest")
     for k in range(LEAD):
         bound = bound + F.greatest(*[F.col(f"a.{s}{k}") * F.col(f"b.{t}{k}") for s in ("lo", "hi") for t in ("lo", "hi")])
-    same_group = (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d"))
+    same_group = (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.salt") == F.col("b.salt"))
     pairs = a.join(b, same_group & (F.col("a.tile") <= F.col("b.tile")) & (bound >= threshold - SLACK)).select(F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb"), F.col("a.d").alias("d"))
     body = ("ids", "counts", "body")
     left = tiles.select(F.col("tile").alias("ta"), *[F.col(c).alias(f"{c}_a") for c in body])

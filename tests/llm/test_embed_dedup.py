@@ -46,6 +46,15 @@ def test_small_tiles(spark, monkeypatch):
     assert got == plain(rows)
 
 
+def test_tiles_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "TILE_BYTES", 24 * 8 * 10)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=24).tolist(), "x") for i in range(95)]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<double>, label string").withColumns({"n": F.lit(1).cast("long"), "d": F.lit(24)})
+    tiles = embed_dedup._tiles(frame.select("label", "d", "vec_id", "n", "v"), embed_dedup.principal_axes(frame)).collect()
+    assert sum(len(t["ids"]) // 8 for t in tiles) == 95 and max(len(t["body"]) for t in tiles) == 24 * 8 * 10
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [2.0, 0.0], None), (4, None, 0), (5, [0.0, 0.0], 0), (6, [1.0, None], 0), (7, [nan, 1.0], 0), (8, [inf, 1.0], 0), (9, [], 0), (10, [1.0, 0.0, 0.0], 0), (11, [1.0, 0.1], 0), (12, [1.0], 0), (13, [3.0], 0), (14, [1e-200, 0.0], 0)]
