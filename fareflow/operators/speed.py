@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareflow.functions.columns import period
@@ -142,21 +142,43 @@ def predict(prepared: DataFrame, fits: DataFrame) -> DataFrame:
     return prepared.join(p, "mode").withColumn("pred", made).withColumn("resid", F.col("tt") - F.col("pred")).drop("_a", "_b", "_c", "_h")
 
 
+def _diagonal_of_inverse(s: dict[tuple[int, int], Column]) -> list[Column]:
+    """Of a symmetric matrix of three rows, by its minors; null where it has no inverse."""
+    minors = [s[1, 1] * s[2, 2] - s[1, 2] * s[1, 2], s[0, 0] * s[2, 2] - s[0, 2] * s[0, 2], s[0, 0] * s[1, 1] - s[0, 1] * s[0, 1]]
+    det = s[0, 0] * minors[0] - s[0, 1] * (s[0, 1] * s[2, 2] - s[1, 2] * s[0, 2]) + s[0, 2] * (s[0, 1] * s[1, 2] - s[1, 1] * s[0, 2])
+    return [F.when(det > 0, m / det) for m in minors]
+
+
 def fit_quality(prepared: DataFrame, fits: DataFrame) -> DataFrame:
-    """Per fit: n, rmse, mae, median residual and the robust scale 1.4826 MAD, over collapsed rides."""
+    """Per fit: n, rmse, mae, median residual, the robust scale 1.4826 MAD, and standard errors, over collapsed rides.
+
+    The errors are the scale times the roots of the diagonal of the inverse of J'J, where J has the fitted variables only and
+    is weighted as the loss has it: (1 + z^2)^-1.5 in the square, z being the residual over SCALE_S. Fixed variables have none.
+    """
     small = collapsed(prepared)
     both = small.select(F.explode(F.array(F.col("mode"), F.col("route_name"))).alias("key"), "*")
     f = fits.select("key", F.col("mode").alias("_m"), F.col("period").alias("_p"), "scope", "dwell_s", "fitted_hold_s", "intercept_s", "b", F.col("n_obs"))
     joined = both.join(f.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & (F.col("mode") == F.col("_m")) & (F.col("period") == F.col("_p")))
-    stops = F.col("n") + F.when(F.col("mode") == "bus", 1).otherwise(0)
+    bus, whole = F.col("mode") == "bus", F.col("scope") == "mode"
+    stops = F.col("n") + F.when(bus, 1).otherwise(0)
     r = F.col("tt") - F.col("intercept_s") - F.col("dwell_s") * stops - F.col("fitted_hold_s") * F.col("h") - F.col("b") * F.col("d")
-    rows = joined.select("scope", "key", "mode", "period", r.alias("r"), "w")
     keys = ["scope", "key", "mode", "period"]
+    # a fixed variable is 0 in all rows and has 1 on the diagonal
+    x = [F.when(bus & whole, stops).otherwise(0.0), F.when(bus & whole, F.col("h")).when(~bus, 1.0).otherwise(0.0), F.col("d")]
+    rows = joined.select(*keys, "b", r.alias("r"), "w", *[c.alias(f"x{i}") for i, c in enumerate(x)])
+    z = F.col("r") / F.when(bus, SCALE_S["bus"]).otherwise(SCALE_S["subway"])
+    rows = rows.withColumn("v", F.col("w") * F.pow(1 + z * z, F.lit(-1.5)))
     n = F.sum("w")
-    one = rows.groupBy(*keys).agg(n.alias("n"), F.sqrt(F.sum(F.col("w") * F.col("r") ** 2) / n).alias("rmse_s"), (F.sum(F.col("w") * F.abs("r")) / n).alias("mae_s"), F.percentile("r", F.lit(0.5), F.col("w")).alias("median_resid_s"))
+    sums = [F.sum(F.col("v") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)]
+    one = rows.groupBy(*keys).agg(
+        n.alias("n"), F.sqrt(F.sum(F.col("w") * F.col("r") ** 2) / n).alias("rmse_s"), (F.sum(F.col("w") * F.abs("r")) / n).alias("mae_s"), F.percentile("r", F.lit(0.5), F.col("w")).alias("median_resid_s"), F.max("b").alias("b"), *sums)
     off = rows.join(one.select(*keys, "median_resid_s"), keys)
     mad = off.groupBy(*keys).agg((1.4826 * F.percentile(F.abs(F.col("r") - F.col("median_resid_s")), F.lit(0.5), F.col("w"))).alias("scale_s"))
-    return one.join(mad, keys)
+    free = [bus & whole, ~bus | whole, F.lit(True)]
+    s = {(i, j): F.when(free[i], F.col(f"s{i}{j}")).otherwise(1.0) if i == j else F.col(f"s{i}{j}") for i in range(3) for j in range(i, 3)}
+    se = [F.when(ok, F.sqrt(c) * F.col("scale_s")) for ok, c in zip(free, _diagonal_of_inverse(s), strict=True)]
+    return one.join(mad, keys).select(
+        *keys, "n", "rmse_s", "mae_s", "median_resid_s", "scale_s", se[0].alias("se_dwell_s"), F.when(bus, se[1]).alias("se_hold_s"), F.when(~bus, se[1]).alias("se_intercept_s"), (3.6 / F.col("b") ** 2 * se[2]).alias("se_speed_kmh"))
 
 
 def speed_table(fits: DataFrame) -> DataFrame:

@@ -84,6 +84,31 @@ def test_robust_fit_finds_the_parameters(spark):
     assert abs(fits["line", "r1", "all"]["b"] - 0.16) < 0.003
 
 
+def test_standard_errors(spark):
+    rng = np.random.default_rng(2)
+    rows, given = [], {"bus": (40.0, 30.0, 0.0, 0.15), "subway": (35.0, 0.0, 250.0, 0.09)}
+    for mode, (c, hold, a, b) in given.items():
+        for _ in range(400):
+            d, n, h = float(rng.integers(400, 9000)), int(rng.integers(0, 9)), float(rng.integers(0, 2))
+            rows.append((mode, "r", "am_peak", d, n, h, a + c * (n + (mode == "bus")) + hold * h + b * d + float(rng.normal(0, 40))))
+    prepared = spark.createDataFrame(rows, "mode string, route_name string, period string, route_dist_m double, n_intermediate int, is_terminal double, tt double")
+    fits = spark.createDataFrame([("mode", m, m, "all", c, hold, a, b, 400) for m, (c, hold, a, b) in given.items()], "scope string, key string, mode string, period string, dwell_s double, fitted_hold_s double, intercept_s double, b double, n_obs long")
+    for r in speed.fit_quality(prepared, fits).collect():
+        c, hold, a, b = given[r["mode"]]
+        own = np.array([x[3:] for x in rows if x[0] == r["mode"]])
+        d, n, h, tt = own.T
+        bus = r["mode"] == "bus"
+        resid = tt - a - c * (n + bus) - hold * h - b * d
+        weight = (1 + (resid / speed.SCALE_S[r["mode"]]) ** 2) ** -0.75
+        j = np.stack([n + 1, h, d] if bus else [np.ones(len(d)), d], axis=1) * weight[:, None]
+        scale = 1.4826 * np.median(np.abs(resid - np.median(resid)))
+        se = np.sqrt(np.diag(np.linalg.inv(j.T @ j))) * scale
+        want = [se[0] if bus else None, se[1] if bus else None, None if bus else se[0], 3.6 / b**2 * se[-1]]
+        got = [r["se_dwell_s"], r["se_hold_s"], r["se_intercept_s"], r["se_speed_kmh"]]
+        assert [x is None for x in got] == [x is None for x in want]
+        assert np.allclose([x for x in got if x is not None], [x for x in want if x is not None], rtol=1e-6)
+
+
 def test_bounded_least_squares():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(50, 3)), rng.normal(size=50)
