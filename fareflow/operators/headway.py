@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fareflow.operators.quantiles import quantiles
 from fareflow.params import PERIOD_HOURS, SUBWAY_HEADWAY_PRIOR_S
 
 
@@ -68,8 +69,7 @@ def access_egress(matched: DataFrame, speed_kmh: float, dwell_s: float) -> DataF
     """(q, seconds): quantiles of what one-stop subway trips take beyond riding and one dwell."""
     rides = matched.where("mode = 'subway' and same_line and n_intermediate = 0 and route_dist_m > 300")
     left = F.col("tt_adj_s") - F.col("route_dist_m") / (speed_kmh / 3.6) - dwell_s
-    row = rides.select(left.alias("r")).where("r > 0 and r < 3600").agg(F.percentile("r", F.array(*map(F.lit, QUANTILES))).alias("v"))
-    return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, QUANTILES)).alias("q"), F.col("v").alias("seconds"))).alias("x")).select("x.*")
+    return quantiles(rides.select(left.alias("seconds")).where("seconds > 0 and seconds < 3600"), [], "seconds", QUANTILES).select(F.col("share").alias("q"), "seconds")
 
 
 def subway(fits: DataFrame, access_egress_s: float, mode: str = "prior", lo: float = 120, hi: float = 900) -> DataFrame:

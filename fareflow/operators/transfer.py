@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fareflow.operators.quantiles import quantiles
+
 from fareflow.functions.columns import period
 
 
@@ -43,16 +45,21 @@ def residuals(matched: DataFrame, od: DataFrame, access_egress_s: float, per_sto
 
 def transfer_table(resid: DataFrame, min_obs: int = 100, lo: float = 60, hi: float = 600) -> DataFrame:
     """scope, key, transfer_time_s, n_obs, raw_median_s, q25, q75: overall and by station with enough trips."""
-    aggregates = [F.count("*").alias("n_obs"), *[F.percentile("resid", F.lit(q)).alias(n) for n, q in (("raw_median_s", 0.5), ("q25", 0.25), ("q75", 0.75))]]
     clipped = F.least(F.greatest("raw_median_s", F.lit(float(lo))), F.lit(float(hi))).alias("transfer_time_s")
-    whole = resid.agg(*aggregates).where("n_obs > 0").select(F.lit("mode").alias("scope"), F.lit("subway").alias("key"), clipped, "n_obs", "raw_median_s", "q25", "q75")
-    each = resid.groupBy("station").agg(*aggregates).where(F.col("n_obs") >= min_obs).select(F.lit("station").alias("scope"), F.col("station").alias("key"), clipped, "n_obs", "raw_median_s", "q25", "q75")
-    return whole.unionByName(each)
+
+    def of(keys: list[str], counts: DataFrame, scope: str, key) -> DataFrame:
+        at = {0.25: "q25", 0.5: "raw_median_s", 0.75: "q75"}
+        wide = quantiles(resid, keys, "resid", tuple(at)).groupBy(*keys).agg(*[F.max(F.when(F.col("share") == q, F.col("resid"))).alias(n) for q, n in at.items()])
+        both = counts.join(wide, keys) if keys else counts.crossJoin(wide)  # one row each
+        return both.select(F.lit(scope).alias("scope"), key.alias("key"), clipped, "n_obs", "raw_median_s", "q25", "q75")
+
+    whole = resid.agg(F.count("*").alias("n_obs")).where("n_obs > 0")
+    each = resid.groupBy("station").agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= min_obs)
+    return of([], whole, "mode", F.lit("subway")).unionByName(of(["station"], each, "station", F.col("station")))
 
 
 def profile(resid: DataFrame) -> DataFrame:
     """Medians by period, and quantiles of all."""
-    by = resid.groupBy("period").agg(F.percentile("resid", F.lit(0.5)).alias("value")).select(F.concat(F.lit("median_"), "period").alias("name"), "value")
-    qs = (0.1, 0.25, 0.5, 0.75, 0.9)
-    whole = resid.agg(F.percentile("resid", F.array(*map(F.lit, qs))).alias("v")).select(F.explode(F.arrays_zip(F.array(*[F.lit(f"q_{q}") for q in qs]).alias("name"), F.col("v").alias("value"))).alias("x")).select("x.*")
-    return by.unionByName(whole)
+    by = quantiles(resid, ["period"], "resid", (0.5,)).select(F.concat(F.lit("median_"), "period").alias("name"), F.col("resid").alias("value"))
+    whole = quantiles(resid, [], "resid", (0.1, 0.25, 0.5, 0.75, 0.9))
+    return by.unionByName(whole.select(F.concat(F.lit("q_"), F.col("share").cast("string")).alias("name"), F.col("resid").alias("value")))

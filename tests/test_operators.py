@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fareflow.functions import columns as C
 from fareflow.operators import choice, demand, headway, network, prune, routes, speed, timetable
+from fareflow.operators.quantiles import quantiles
 
 
 def value(spark, column, **inputs):
@@ -84,6 +85,20 @@ def test_robust_fit_finds_the_parameters(spark):
     assert abs(fits["line", "r1", "all"]["b"] - 0.16) < 0.003
 
 
+def test_quantiles_are_percentiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 7 == 0 else f"g{k % 3}", float(rng.normal(0, 30)) if k % 2 else float(rng.integers(-5, 5))) for k in range(4000)] + [("one", 3.5), ("two", 1.0), ("two", 2.0), ("none", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    shares = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    for keys in (["k"], []):
+        got = {(r["k"] if keys else "", r["share"]): r["v"] for r in quantiles(frame, keys, "v", shares).collect()}
+        want = frame.where("v is not null").groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p")).collect()
+        assert len(got) == len(want) * len(shares)
+        for r in want:
+            assert np.allclose([got[r["k"] if keys else "", q] for q in shares], r["p"])
+    assert quantiles(frame.limit(0), [], "v", shares).count() == 0
+
+
 def test_standard_errors(spark):
     rng = np.random.default_rng(2)
     rows, given = [], {"bus": (40.0, 30.0, 0.0, 0.15), "subway": (35.0, 0.0, 250.0, 0.09)}
