@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -129,21 +130,45 @@ def perceived_cost(edges: DataFrame, transfer_times: DataFrame | None = None, pe
     return marked.groupBy("od").agg(F.sum(F.col("time") + extra).alias("cost"))
 
 
-def attributes(edges: DataFrame, headways: DataFrame, access_egress_s: float = 0.0) -> DataFrame:
-    """Per od: in_vehicle_time, walk_time, boardings, num_transfers, expected_wait, total, lines in order."""
+def attributes(edges: DataFrame, headways: DataFrame, access_egress_s: float | dict[str, float] = 0.0) -> DataFrame:
+    """Per od: times, boardings, transfers, expected wait, access and egress, total, lines and boarding nodes in order, km and type.
+
+    edges: od, seq, line (null for a walk), f, t, time, mode, distance. access_egress_s: one value for both ends together, or by the mode
+    with which an end's node key begins. mode_type is 1 for buses only, 2 for subways only, 7 for both, 0 without a vehicle.
+    """
     order = Window.partitionBy("od").orderBy("seq")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     marked = edges.withColumns({"before": F.last("line", ignorenulls=True).over(past), "on_foot": F.lag(F.col("line").isNull()).over(order)})
     boards = F.col("line").isNotNull() & (F.col("before").isNull() | (F.col("line") != F.col("before")) | F.coalesce("on_foot", F.lit(False)))
     joined = marked.withColumn("boards", boards).join(headways.select("line", "headway_s"), "line", "left")
+    rides, ride = F.col("line").isNotNull(), lambda m: F.max(F.when(F.col("line").isNotNull() & (F.col("mode") == m), 1).otherwise(0))
     out = joined.groupBy("od").agg(
-        F.sum(F.when(F.col("line").isNotNull(), F.col("time")).otherwise(0.0)).alias("in_vehicle_time"), F.sum(F.when(F.col("line").isNull(), F.col("time")).otherwise(0.0)).alias("walk_time"),
+        F.sum(F.when(rides, F.col("time")).otherwise(0.0)).alias("in_vehicle_time"), F.sum(F.when(rides, 0.0).otherwise(F.col("time"))).alias("walk_time"),
         F.sum(F.col("boards").cast("int")).alias("boardings"), F.sum(F.when(F.col("boards"), F.col("headway_s") / 2).otherwise(0.0)).alias("expected_wait"),
-        F.array_sort(F.collect_list(F.when(F.col("boards"), F.struct("seq", "line")))).alias("l"))
-    return out.select("od", "in_vehicle_time", "walk_time", "boardings", F.greatest(F.col("boardings") - 1, F.lit(0)).alias("num_transfers"), "expected_wait",
-                      (F.col("in_vehicle_time") + F.col("walk_time") + F.col("expected_wait") + access_egress_s).alias("total"), F.transform("l", lambda x: x["line"]).alias("lines"))
-
-
-def merge_cache(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored routes and those of pairs that aren't stored yet."""
-    return old.unionByName(new.join(old.select("o_key", "d_key").distinct(), ["o_key", "d_key"], "left_anti"))
+        (F.sum("distance") / 1000).alias("total_distance"), ride("bus").alias("bus"), ride("subway").alias("subway"), F.min_by("f", "seq").alias("first"), F.max_by("t", "seq").alias("last"),
+        F.array_sort(F.collect_list(F.when(F.col("boards"), F.struct("seq", "line", "f")))).alias("l"))
+    if isinstance(access_egress_s, dict):
+        at = lambda c: reduce(lambda x, kv: F.when(F.substring_index(c, ":", 1) == kv[0], float(kv[1])).otherwise(x), access_egress_s.items(), F.lit(0.0))
+        ends = at("first") + at("last")
+    else:
+        ends = F.lit(float(access_egress_s))
+    kind = F.when((F.col("bus") == 1) & (F.col("subway") == 1), 7).when(F.col("subway") == 1, 2).when(F.col("bus") == 1, 1).otherwise(0)
+    return out.withColumn("access_egress_time", ends).select(
+        "od", "in_vehicle_time", "walk_time", "boardings", F.greatest(F.col("boardings") - 1, F.lit(0)).alias("num_transfers"), "expected_wait", "access_egress_time",
+        (F.col("in_vehicle_time") + F.col("walk_time") + F.col("expected_wait") + F.col("access_egress_time")).alias("total"), "total_distance", kind.alias("mode_type"),
+        F.transform("l", lambda x: x["line"]).alias("lines"), F.transform("l", lambda x: x["f"]).alias("boarding_nodes"))
+
+
+def merge_cache(old: DataFrame, new: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Stored routes and those of pairs that aren't stored yet; asked pairs (o_key, d_key) without a route keep one row of nulls."""
+    merged = old.unionByName(new.join(old.select("o_key", "d_key").distinct(), ["o_key", "d_key"], "left_anti"))
+    if asked is None:
+        return merged
+    without = asked.select("o_key", "d_key").distinct().join(merged.select("o_key", "d_key"), ["o_key", "d_key"], "left_anti")
+    return merged.unionByName(without, allowMissingColumns=True)
+
+
+def cache_counts(merged: DataFrame) -> DataFrame:
+    """One row: the pairs in the cache, and how many of them have no route."""
+    pairs = merged.groupBy("o_key", "d_key").agg(F.max(F.col("lines").isNotNull()).alias("has"))
+    return pairs.agg(F.count("*").alias("pairs"), F.count(F.when(~F.col("has"), 1)).alias("without_route"))

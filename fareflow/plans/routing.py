@@ -124,8 +124,9 @@ def route_candidates(spark, sf):
     return rounded(routes.candidates(pool(spark, sf)))
 
 
-_EDGES = """select l_orderkey as od, cast(l_linenumber as int) as seq, case when min(l_partkey) % 5 = 0 then null else concat('L', cast(min(l_suppkey) % 3 as string)) end as line, concat('N', cast(l_linenumber as string)) as f,
-  concat('N', cast(l_linenumber + 1 as string)) as t, cast(min(l_quantity) * 10 as double) as time from lineitem group by l_orderkey, l_linenumber"""
+_EDGES = """select l_orderkey as od, cast(l_linenumber as int) as seq, case when min(l_partkey) % 5 = 0 then null else concat('L', cast(min(l_suppkey) % 3 as string)) end as line,
+  concat(case when l_linenumber % 2 = 0 then 'bus' else 'subway' end, ':N', cast(l_linenumber as string)) as f, concat(case when l_linenumber % 2 = 1 then 'bus' else 'subway' end, ':N', cast(l_linenumber + 1 as string)) as t,
+  case when min(l_partkey) % 5 = 0 then 'walk' when min(l_suppkey) % 3 = 0 then 'subway' else 'bus' end as mode, cast(min(l_quantity) * 75 as double) as distance, cast(min(l_quantity) * 10 as double) as time from lineitem group by l_orderkey, l_linenumber"""
 fixtures.MAPPING["route_edges"] = BLOCKS["route_edges"] = _EDGES
 BLOCKS |= {
     "edges_a": "select * from route_edges where line is not null",
@@ -153,17 +154,21 @@ def route_perceived_cost(spark, sf):
 
 @query("route_attributes", """select od, sum(case when line is not null then time else 0 end) as in_vehicle_time, sum(case when line is null then time else 0 end) as walk_time, cast(sum(cast(boards as int)) as bigint) as boardings,
   greatest(cast(sum(cast(boards as int)) as bigint) - 1, 0) as num_transfers, cast(sum(case when boards then headway_s / 2 else 0 end) as double) as expected_wait,
-  cast(sum(time) + sum(case when boards then headway_s / 2 else 0 end) + 150 as double) as total, array_to_string(list(line order by seq) filter (boards), ',') as lines from boarded_edges group by od""")
+  cast(case when arg_min(f, seq) like 'bus:%' then 40 else 90 end + case when arg_max(t, seq) like 'bus:%' then 40 else 90 end as double) as access_egress_time,
+  cast(sum(time) + sum(case when boards then headway_s / 2 else 0 end) + case when arg_min(f, seq) like 'bus:%' then 40 else 90 end + case when arg_max(t, seq) like 'bus:%' then 40 else 90 end as double) as total,
+  round(sum(distance) / 1000, 6) as total_distance, case when bool_or(mode = 'bus') and bool_or(mode = 'subway') then 7 when bool_or(mode = 'subway') then 2 when bool_or(mode = 'bus') then 1 else 0 end as mode_type,
+  array_to_string(list(line order by seq) filter (boards), ',') as lines, array_to_string(list(f order by seq) filter (boards), ',') as boarding_nodes from boarded_edges group by od""")
 def route_attributes(spark, sf):
     headways = spark.createDataFrame([("L0", 300.0), ("L1", 480.0), ("L2", 600.0)], "line string, headway_s double")
-    out = routes.attributes(route_edges(spark, sf), headways, 150.0)
-    return out.withColumn("lines", F.when(F.col("boardings") > 0, F.array_join("lines", ",")))
+    out = routes.attributes(route_edges(spark, sf), headways, {"bus": 40.0, "subway": 90.0}).withColumn("total_distance", F.round("total_distance", 6))
+    return out.withColumns({c: F.when(F.col("boardings") > 0, F.array_join(c, ",")) for c in ("lines", "boarding_nodes")})
 
 
-@query("route_cache_merge", "select o_key, d_key, array_to_string(lines, ',') as lines from pool")
+@query("route_cache_merge", f"""select o_key, d_key, array_to_string(lines, ',') as lines from pool
+  union all select distinct o_key, d_key, cast(null as varchar) from matched m where {_TRANSFERRING} and not exists (from pool p where p.o_key = m.o_key and p.d_key = m.d_key)""")
 def route_cache_merge(spark, sf):
     every = pool(spark, sf).select("o_key", "d_key", F.array_join("lines", ",").alias("lines"))
-    return routes.merge_cache(every.where(F.crc32("o_key") % 2 == 0), every)
+    return routes.merge_cache(every.where(F.crc32("o_key") % 2 == 0), every, base.matched(spark, sf).where(_TRANSFERRING))
 
 
 # ---- timetable
