@@ -6,13 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Columns of a trip record that come with the events, by type; where events lack one, it is zero (times and counts) or null.
+GIVEN = {
+    "passenger_id": "long", "sid": "long", "pid": "string", "origin": "string", "destination": "string", "origin_mode": "string", "destination_mode": "string", "departure_time": "double",
+    "arrival_time": "double", "status": "string", "wait_time": "double", "first_wait_time": "double", "walk_time": "double", "in_vehicle_time": "double", "access_egress_time": "double",
+    "num_boardings": "int", "mode_type": "int", "route_distance_km": "double", "num_reroutes": "int", "observed_tt_s": "double",
+}
+ZERO = {"wait_time", "first_wait_time", "walk_time", "in_vehicle_time", "access_egress_time", "num_boardings", "mode_type", "num_reroutes"}
+
+
 def trip_records(events: DataFrame, cutoff: float) -> DataFrame:
-    """events (departure_time, arrival_time or null, boardings) with total_time, departure_hour and num_transfers."""
-    return events.withColumns({
-        "total_time": F.coalesce("arrival_time", F.lit(float(cutoff))) - F.col("departure_time"),
-        "departure_hour": F.pmod(F.floor(F.col("departure_time") / 3600), F.lit(24)).cast("int"),
-        "num_transfers": F.greatest(F.col("boardings") - 1, F.lit(0)).cast("int"),
-    })
+    """One record a trip: what events give, and total_time (to the cutoff for those still on their way), departure_hour, num_transfers and main_mode.
+
+    main_mode comes from edge_modes, the vehicle modes of the route's edges, where events have them.
+    """
+    def given(name: str, kind: str) -> Column:
+        c = F.col(name).cast(kind) if name in events.columns else F.lit(None).cast(kind)
+        return (F.coalesce(c, F.lit(0).cast(kind)) if name in ZERO else c).alias(name)
+
+    modes = F.col("edge_modes") if "edge_modes" in events.columns else F.array().cast("array<string>")
+    return events.select(
+        *(given(n, k) for n, k in GIVEN.items()), (F.coalesce("arrival_time", F.lit(float(cutoff))) - F.col("departure_time")).cast("double").alias("total_time"),
+        F.pmod(F.floor(F.col("departure_time") / 3600), F.lit(24)).cast("int").alias("departure_hour"), F.greatest(F.col("num_boardings") - 1, F.lit(0)).cast("int").alias("num_transfers"),
+        main_mode(F.coalesce(modes, F.array().cast("array<string>"))).alias("main_mode"))
 
 
 def main_mode(edge_modes: Column) -> Column:

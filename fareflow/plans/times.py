@@ -111,10 +111,19 @@ def trips(spark, sf):
     return fixtures.load(spark, sf, "fx_trips")
 
 
-@query("trip_records", """select sid, case when status = 'arrived' then total_time else 108000.0 - departure_time end as total_time, cast(floor(departure_time / 3600) as int) % 24 as departure_hour, cast(num_transfers as int) as num_transfers, observed_tt_s from fx_trips""")
+@query("trip_records", f"""select sid as passenger_id, sid, concat('p', cast(sid as varchar)) as pid, concat('S', cast(sid % 60 as varchar)) as origin, cast(null as varchar) as destination, origin_mode, origin_mode as destination_mode,
+  departure_time, case when status = 'arrived' then departure_time + total_time end as arrival_time, status, wait_time, first_wait_time, walk_time, in_vehicle_time, cast(0 as double) as access_egress_time,
+  cast(num_transfers as int) + 1 as num_boardings, cast(0 as int) as mode_type, in_vehicle_time / 100 as route_distance_km, cast(0 as int) as num_reroutes, observed_tt_s,
+  case when status = 'arrived' then total_time else 108000.0 - departure_time end as total_time, cast(floor(departure_time / 3600) as int) % 24 as departure_hour, cast(num_transfers as int) as num_transfers,
+  case when sid % 7 = 0 then 'Walk' when sid % 3 = 0 then 'Subway' else 'Bus' end as main_mode from fx_trips""")
 def trip_records(spark, sf):
-    events = trips(spark, sf).select("sid", "departure_time", F.when(F.col("status") == "arrived", F.col("departure_time") + F.col("total_time")).alias("arrival_time"), (F.col("num_transfers") + 1).alias("boardings"), "observed_tt_s")
-    return metrics.trip_records(events, 108000).select("sid", "total_time", "departure_hour", "num_transfers", "observed_tt_s")
+    sid = F.col("sid")
+    several = F.when(sid % 7 == 0, F.array().cast("array<string>")).when(sid % 3 == 0, F.array(F.lit("bus"), F.lit("subway"))).when(sid % 3 == 1, F.array(F.lit("bus"), F.lit("bus"), F.lit("subway"))).otherwise(F.array(F.lit("bus")))
+    events = trips(spark, sf).select(
+        "sid", sid.alias("passenger_id"), F.concat(F.lit("p"), sid.cast("string")).alias("pid"), F.concat(F.lit("S"), (sid % 60).cast("string")).alias("origin"), "origin_mode", F.col("origin_mode").alias("destination_mode"), "departure_time",
+        F.when(F.col("status") == "arrived", F.col("departure_time") + F.col("total_time")).alias("arrival_time"), "status", "wait_time", "first_wait_time", "walk_time", "in_vehicle_time",
+        (F.col("num_transfers") + 1).alias("num_boardings"), (F.col("in_vehicle_time") / 100).alias("route_distance_km"), "observed_tt_s", several.alias("edge_modes"))
+    return metrics.trip_records(events, 108000)
 
 
 @query("trip_main_mode", """select l_orderkey, case when s >= b and s > 0 then 'Subway' when b > 0 then 'Bus' else 'Walk' end as main_mode
