@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fareflow.llm.common import slices, words_of
+from fareflow.llm.common import Memo, slices, unused, words_of
 
 #: Fixed value: Unicode White_Space, what \s is for the pattern's own library.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEAF = 16
-#: Entries in a generation of a memo, and pairs of tokens that are remembered.
-CACHE, PAIRS = 150_000, 400_000
+#: Pairs of tokens that are remembered.
+PAIRS = 400_000
 NEVER = 1 << 62
 
 
@@ -155,36 +155,13 @@ class PairEncoder:
         return b"".join(map(self.of.__getitem__, ids))
 
 
-class _Memo(dict):
-    """Bytes of ids by string. When full, what wasn't used since it was last full is forgotten, so its memory is bounded."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.before = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE:
-            self.before = dict(self)
-            self.clear()
-        value = self.before.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) < 64:
-            self[key] = value
-        return value
-
-    def forget(self) -> None:
-        self.clear()
-        self.before = {}
-
-
 class TextEncoder:
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, pairs: PairEncoder, pattern: str):
         self.pairs, self.pattern = pairs, compiled(pattern)
-        self.by_match = _Memo(lambda m: struct.pack(f"<{len(ids := self.pairs.encode(m.encode()))}I", *ids))
-        self.by_word = _Memo(lambda w: self._matches(w if w[:1] == "\n" else f" {w}"))
+        self.by_match = Memo(lambda m: struct.pack(f"<{len(ids := self.pairs.encode(m.encode()))}I", *ids))
+        self.by_word = Memo(lambda w: self._matches(w if w[:1] == "\n" else f" {w}"))
 
     def forget(self) -> None:
         self.by_match.forget()
@@ -224,7 +201,8 @@ def encode(
     With `decoded`, a column of that name follows: the bytes that the ids decode to. It is made in the
     same pass, as a second Python step would start a second worker, with tables of its own, per task.
     """
-    kept, made = docs.select(*keep), [out] if decoded is None else [out, decoded]
+    kept, made = docs.select(*(F.col(f"`{c}`") for c in keep)), [out] if decoded is None else [out, decoded]
+    (hidden,) = unused(kept, "text")
     schema = T.StructType([*kept.schema.fields, *(T.StructField(name, T.BinaryType(), False) for name in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +218,7 @@ def encode(
             own.forget()  # a worker may stay idle for long
             pa.default_memory_pool().release_unused()
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(hidden)).mapInArrow(run, schema)
 
 
 def decode_udf(ranks_path: str, pattern: str):

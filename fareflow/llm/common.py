@@ -36,6 +36,33 @@ def words_of(text: str) -> tuple[str, list[str], str] | None:
     return first, rest, tail
 
 
+#: Entries in a generation of a memo.
+CACHE = 150_000
+
+
+class Memo(dict):
+    """Bytes by string. When full, what wasn't used since it was last full is forgotten, so its memory is bounded."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.before = dict(self)
+            self.clear()
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
+            self[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir; where that is unset (tests), under a temp folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm import bpe, chat, chunk_dedup, decontam, embed_dedup, langid, license_scan, line_dedup, simhash, token_files
+from fareflow.llm import bpe, chat, chunk_dedup, decontam, embed_dedup, langid, license_scan, line_dedup, pieces, simhash, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -78,6 +79,13 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encode(table(spark, sf_dir, "documents"), PIECES, decoded="decoded")
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries():
     return {
         "op1_language_id": language_id_query,
@@ -90,6 +98,7 @@ def queries():
         "op8_chunk_dedup": chunk_dedup_query,
         "op9_license_scan": license_query,
         "op10_bpe": bpe_query,
+        "op11_pieces": pieces_query,
     }
 
 
