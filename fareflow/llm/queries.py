@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm import bpe, chat, chunk_dedup, decontam, embed_dedup, langid, license_scan, line_dedup, pieces, simhash, token_files
+from fareflow.llm import bpe, chat, chunk_dedup, decontam, embed_dedup, langid, license_scan, line_dedup, pieces, simhash, spelling, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,6 +86,11 @@ def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"))
+    return spelling.variants(words.where("length(word) >= 5 and n >= 3"))
+
+
 def queries():
     return {
         "op1_language_id": language_id_query,
@@ -99,6 +104,7 @@ def queries():
         "op9_license_scan": license_query,
         "op10_bpe": bpe_query,
         "op11_pieces": pieces_query,
+        "op12_spelling": spelling_query,
     }
 
 
