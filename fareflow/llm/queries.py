@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm import bpe, chat, chunk_dedup, decontam, embed_dedup, langid, license_scan, line_dedup, pieces, simhash, spelling, token_files
+from fareflow.llm import bpe, chat, chunk_dedup, decontam, divergence, embed_dedup, langid, license_scan, line_dedup, pieces, simhash, spelling, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +91,10 @@ def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words.where("length(word) >= 5 and n >= 3"))
 
 
+def divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_language_id": language_id_query,
@@ -105,8 +109,9 @@ def queries():
         "op10_bpe": bpe_query,
         "op11_pieces": pieces_query,
         "op12_spelling": spelling_query,
+        "op13_divergence": divergence_query,
     }
 
 
 def oracle_sql():
-    return {"op3_decontamination": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_license_scan": license_scan.oracle()}
+    return {"op3_decontamination": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_license_scan": license_scan.oracle(), "op13_divergence": divergence.ORACLE}
