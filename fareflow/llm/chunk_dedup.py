@@ -5,13 +5,13 @@ depends on its neighbourhood only and an insertion shifts no later cut. A cut th
 within `LEAST` bytes doesn't count, and cuts move on to the next character's beginning; both rules
 look at the neighbourhood only, too.
 
-One chunk holds four or five words, and sequences that short recur by chance; single recurring lines are the
-business of line deduplication. So the unit that is
-deduplicated is a passage: from each chunk's beginning, the fewest whole chunks that hold `RUN_WORDS`
-words or more. Its bytes alone decide where it ends, so two texts that share the chunks share the
+One chunk holds three or four words, and sequences that short recur by chance. So the unit that is
+deduplicated is a passage: from each chunk's beginning, the fewest whole chunks that hold `run_words`
+words or more (`RUN_WORDS` unless given). Its bytes alone decide where it ends, so two texts that share the chunks share the
 passage. Passages are compared by a 64-bit digest of their bytes over all documents. A shared run of
-text is found by the passages inside it, which overlap; of a run of over 50 words, all but the parts of
-chunks at both ends is marked, for all but about one in a hundred of the shortest runs. A passage stays in
+text is found by the passages inside it, which overlap; all but the parts of chunks at both ends is marked. A run of
+over 50 words is found but for one in a thousand, one of 25 words in at least nine cases of ten; shorter ones, down to
+`run_words` words, only where chunks end near their ends. A passage stays in
 the document of the smallest doc_id and is removed elsewhere; so each byte stays in some document.
 In scripts without spaces, two characters count as a word. Two different passages have one digest
 with a chance of one in 2^64.
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from fareflow.llm.common import unused, written
 
 #: Bytes from one low hash to the next on average; bytes between cuts that count; words in a passage at least.
-EVERY, LEAST, RUN_WORDS = 20, 8, 20
+EVERY, LEAST, RUN_WORDS = 14, 8, 12
 LOWEST = -(1 << 63)
 GEAR = np.random.default_rng(11).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -62,7 +62,7 @@ def unspaced(data: np.ndarray) -> np.ndarray:
     return found | (data == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
 
 
-def passages(text: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def passages(text: bytes, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Where each passage begins and ends, and its digest; none from the last chunks, which hold too few words."""
     data = np.frombuffer(text, np.uint8)
     ends = cuts(data)
@@ -71,7 +71,7 @@ def passages(text: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
     # halves of words that begin before each byte; a word that the passage's beginning cuts counts in whole
     halves = np.r_[0, np.cumsum(2 * (inside & ~np.r_[False, inside[:-1]]) + unspaced(data))]
     begun = halves[starts + 1] - unspaced(data)[starts] - 2 * inside[starts]
-    last = np.searchsorted(halves[ends], begun + 2 * RUN_WORDS)
+    last = np.searchsorted(halves[ends], begun + 2 * run_words)
     last = np.maximum(last, np.arange(len(ends)))[last < len(ends)]
     starts, ends = starts[: len(last)], ends[last]
     digest = xxhash.xxh3_64_intdigest
@@ -83,22 +83,26 @@ _PASSAGES = T.ArrayType(T.StructType([T.StructField(k, T.LongType() if k == "dig
 _UNION = T.StructType([T.StructField("repeated", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
 
 
-@F.arrow_udf(_PASSAGES)
-def passages_of(texts: pa.Array) -> pa.Array:
-    """Each text's passages: bytes [start, end), and digest."""
-    columns: list[list[np.ndarray]] = [[] for _ in _FIELDS]
-    sizes = []
-    for text in texts:
-        text = text.as_py()
-        if not text:
-            sizes.append(0)
-            continue
-        starts, ends, digests = passages(text.encode())
-        sizes.append(len(starts))
-        for column, x in zip(columns, (starts, ends, np.array(digests, np.uint64).view(np.int64)), strict=True):
-            column.append(x.astype(np.int64 if column is columns[2] else np.int32))
-    arrays = [pa.array(np.concatenate([*c, np.empty(0, kind)]).astype(kind, copy=False)) for c, kind in zip(columns, _FIELDS.values(), strict=True)]
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.StructArray.from_arrays(arrays, list(_FIELDS)))
+def passages_of(run_words: int):
+    """A column function: each text's passages, as bytes [start, end), and digest."""
+
+    @F.arrow_udf(_PASSAGES)
+    def found(texts: pa.Array) -> pa.Array:
+        columns: list[list[np.ndarray]] = [[] for _ in _FIELDS]
+        sizes = []
+        for text in texts:
+            text = text.as_py()
+            if not text:
+                sizes.append(0)
+                continue
+            starts, ends, digests = passages(text.encode(), run_words)
+            sizes.append(len(starts))
+            for column, x in zip(columns, (starts, ends, np.array(digests, np.uint64).view(np.int64)), strict=True):
+                column.append(x.astype(np.int64 if column is columns[2] else np.int32))
+        arrays = [pa.array(np.concatenate([*c, np.empty(0, kind)]).astype(kind, copy=False)) for c, kind in zip(columns, _FIELDS.values(), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.StructArray.from_arrays(arrays, list(_FIELDS)))
+
+    return found
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +133,12 @@ def union(found: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(repeated, pa.int64()), pa.array(removed, pa.int64()), spans], ["repeated", "removed", "spans"])
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, k, repeated, removed, spans): bytes in repeated passages, bytes to remove, and where, in order.
 
     k is a hash of the text. Documents without a repeated passage have no row.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), passages_of(F.col(text)).alias("p"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), passages_of(run_words)(F.col(text)).alias("p"))
     # in two steps, so that the text does not go along with each of its passages
     rows = written(rows.select("doc_id", "k", F.inline("p")), "passages")
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -144,12 +148,12 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return met.groupBy("doc_id", "k").agg(F.collect_set("p").alias("p")).select("doc_id", "k", union("p").alias("u")).select("doc_id", "k", "u.*")
 
 
-def annotated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def annotated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """docs with _repeated, _removed (bytes) and _spans (array of start and end), which replace columns of these names."""
     docs = docs.drop("_repeated", "_removed", "_spans")
     # the keys are columns of their own, so that texts are only shuffled where they are used later
     own, h, d, k, u = unused(docs, "id", "hash", "d", "k", "u")
-    runs = repeated_runs(docs, doc_id, text).select(F.col("doc_id").alias(d), F.col("k").alias(k), F.struct("repeated", "removed", "spans").alias(u))
+    runs = repeated_runs(docs, doc_id, text, run_words).select(F.col("doc_id").alias(d), F.col("k").alias(k), F.struct("repeated", "removed", "spans").alias(u))
     keyed = docs.withColumns({own: F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)), h: F.xxhash64(F.col(text))})
     joined = keyed.join(runs, (F.col(own) == F.col(d)) & (F.col(h) == F.col(k)), "left")
     zero = F.lit(0).cast("long")
@@ -173,9 +177,9 @@ def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """docs with texts less what is repeated elsewhere."""
     (whole,) = unused(docs, "row")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = annotated(rows).withColumn("text", without(F.col("text"), F.col("_spans")))
+    found = annotated(rows, run_words=run_words).withColumn("text", without(F.col("text"), F.col("_spans")))
     return found.select(*(F.col("text").alias(c) if c == text else F.col(whole)[c].alias(c) for c in docs.columns))

@@ -149,3 +149,25 @@ def test_any_text_against_brute_force():
         text = "".join(rng.choice(["a ", "bc", " d", "\n", "é", "漢", "字", "xyz "]) for _ in range(rng.randint(1, 400)))
         starts, ends, _ = chunk_dedup.passages(text.encode())
         assert list(zip(starts.tolist(), ends.tolist())) == shortest(text)
+
+
+def test_recall_by_length():
+    """A passage of n words, put into two texts, is found if they share a passage's bytes."""
+    rng, found = random.Random(11), {}
+    for n in (15, 20, 25, 30, 40, 51):
+        hits = 0
+        for _ in range(200):
+            common = prose(rng, n)
+            a, b = (f"{prose(rng, 40)} {common} {prose(rng, 40)}".encode() for _ in range(2))
+            hits += bool(set(chunk_dedup.passages(a)[2]) & set(chunk_dedup.passages(b)[2]))
+        found[n] = hits / 200
+    assert found[51] >= 0.99 and found[40] >= 0.98 and found[30] >= 0.95 and found[25] >= 0.9 and found[20] >= 0.5, found
+    assert not set(chunk_dedup.passages(prose(rng, 5000).encode())[2]) & set(chunk_dedup.passages(prose(rng, 5000).encode())[2])
+
+
+def test_words_of_a_passage_are_a_parameter(spark):
+    rng = random.Random(12)
+    common = prose(rng, 30)
+    docs = spark.createDataFrame([(k, f"{prose(rng, 30)} {common} {prose(rng, 30)}") for k in range(3)], "doc_id long, text string")
+    size = lambda words: chunk_dedup.annotated(docs, run_words=words).agg(F.sum("_repeated")).first()[0]
+    assert size(8) >= size(12) > 0 and size(60) == 0
