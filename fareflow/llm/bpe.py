@@ -4,10 +4,11 @@ A text is a sequence of pre-token matches; each match is encoded alone. A match
 down to short leaves, and two encoded neighbours are joined by re-encoding a window around their
 border. The window grows until the tokens outside it provably stay: a token sequence is the BPE
 encoding of its bytes if each two adjacent tokens encode their own joined bytes, so only the pairs
-at the two edges of the window have to be checked. Decoding is the concatenation of the tokens'
-bytes, the other half of the same homomorphism.
+at the two edges of the window have to be checked. Decoding is the other half of the same homomorphism: halves of the
+ids are decoded alone and their bytes concatenated, up the tree.
 
-Nulls and empty texts give no ids. Texts are encoded whole, however long.
+Nulls and empty texts give no ids. Texts are encoded whole, however long. A match is one task's work: a run of one
+letter, whose windows must grow wide, takes a second for each 45,000 letters or so, in linear time.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from fareflow.llm.common import Memo, slices, unused, words_of
 #: Fixed value: Unicode White_Space, what \s is for the pattern's own library.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEAF = 16
+#: Ids in a leaf of the tree of decoding.
+DECODED = 1024
 #: Pairs of tokens that are remembered.
 PAIRS = 400_000
 NEVER = 1 << 62
@@ -152,7 +155,11 @@ class PairEncoder:
         return [known] if known is not None else self.reduced(data)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.of.__getitem__, ids))
+        """The bytes of ids, concatenated up a tree of halves."""
+        if len(ids) <= DECODED:
+            return b"".join(map(self.of.__getitem__, ids))
+        mid = len(ids) // 2
+        return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
 class TextEncoder:

@@ -60,6 +60,14 @@ def test_columns(spark, public):
     once = bpe.encode(docs, PATH, PATTERN, decoded="back")
     assert once.columns == ["doc_id", "ids", "back"] and got == {(r["doc_id"], bytes(r["ids"]), bytes(r["back"])) for r in once.collect()}
     assert bpe.encode(docs.limit(0), PATH, PATTERN).count() == 0
+    clashing = bpe.encode(docs, PATH, PATTERN, keep=("doc_id", "_text", "text"))
+    assert clashing.columns == ["doc_id", "_text", "text", "ids"] and clashing.count() == len(rows)
+
+
+def test_decoding_up_the_tree(public):
+    text = "erblest thing " * 4000
+    found = ids(text)
+    assert len(found) > 4 * bpe.DECODED and bpe.encoder(PATH, PATTERN).pairs.decode(found) == text.encode()
 
 
 def test_whole_query(spark, public):
