@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,9 +65,11 @@ class Memo(dict):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; where that is unset (tests), under a temp folder."""
+    """A new folder name under spark.checkpoint.dir. Only a local session, as in tests, may go without: it has a temp folder then."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/fareflow"
     return f"{base.rstrip('/')}/fareflow-{uuid.uuid4().hex}"
 

@@ -52,8 +52,9 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
-    return chat.digests(chat.formatted(chat.conversations(rows)))
+    # the probe stays a conversation of its own, also where the table has one of its id
+    both = chat.conversations(table(spark, sf_dir, "conversations")).unionByName(chat.conversations(chat.probe(spark)))
+    return chat.digests(chat.formatted(both))
 
 
 def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,10 @@ def test_odd_rows(spark):
     out = chat.formatted(chat.conversations(frame))
     assert {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(out).collect()} == plain(frame.collect())
     assert chat.digests(chat.formatted(chat.conversations(frame.limit(0)))).count() == 0
+
+
+def test_given_conversation_of_the_probes_id(spark, tmp_path):
+    rows = [(-1, 0, "user", "given"), (None, 0, "user", "a"), (None, 1, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r["conv_id"] or 0, r["n_turns"]) for r in queries.chat_query(spark, str(tmp_path)).collect())
+    assert got == [(-1, 1), (-1, 2), (0, 2)]
