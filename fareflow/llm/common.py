@@ -44,12 +44,12 @@ CACHE = 150_000
 class Memo(dict):
     """Bytes by string. When full, what wasn't used since it was last full is forgotten, so its memory is bounded."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int = CACHE):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.size, self.before = make, size, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= self.size:
             self.before = dict(self)
             self.clear()
         value = self.before.get(key)

@@ -36,7 +36,10 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 #: Pairs of pieces whose compatibility is remembered.
-PAIRS = 1_000_000
+PAIRS = 400_000
+#: Words in a generation of the memo, which a worker keeps from task to task.
+WORDS = 300_000
+NEVER = float("-inf")
 #: An error handler for UTF-8: U+FFFD for one byte, then on with the next.
 EACH_BYTE = "fareflow-each-byte"
 codecs.register_error(EACH_BYTE, lambda bad: ("\ufffd", bad.start + 1))
@@ -69,6 +72,21 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+class _Stays(dict):
+    """By two pieces, whether they are the encoding of their joined text."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= PAIRS:
+            self.clear()
+        a, b = self.model.text[key >> 32], self.model.text[key & 0xFFFFFFFF]
+        self[key] = known = self.model.merged(a + b) == [a, b]
+        return known
+
+
 class PieceModel:
     """A model file's pieces and the search over them."""
 
@@ -100,78 +118,70 @@ class PieceModel:
                 self.surface[i] = unknown
         self.spaced = {i for t, i in self.ids.items() if t.startswith(SPACE)}
 
+        if any(c not in self.ids for t in self.ids for c in t):
+            raise ValueError(f"{path}: pieces of characters without a piece are not read")
+        self.text = texts
+        self.size = [len(t) for t in texts]
+        # of each piece, the next shorter piece that begins it
+        self.shorter = [next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1) for t in texts]
         self.matches = ahocorasick.Automaton()
-        for t in self.ids:
-            self.matches.add_word(t, len(t))
+        for t, i in self.ids.items():
+            self.matches.add_word(t, (i, len(t) - 1))
         self.matches.make_automaton()
-        # of each piece, the next shorter piece that begins it
-        self.shorter = {t: next((t[:k] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), t[:1]) for t in self.ids}
-        self._stays: dict[tuple[str, str], bool] = {}
+        self.stays = _Stays(self)
         spans = any(SPACE in t.lstrip(SPACE) or "\n" in t for t in self.ids)
         self.cut = re.compile("(?s:.+)" if spans else f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-        self.memo = Memo(self._packed)
-
-    def forget(self) -> None:
-        self._stays.clear()
-        self.memo.forget()
+        self.memo = Memo(self._packed, WORDS)
 
     def merged(self, text: str) -> list[str]:
         """The model's own rule on a short text: join the pair of best score, the leftmost first."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, score = list(text), self.score.get
+        scores = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > NEVER:
+            k = scores.index(best)
+            parts[k] += parts[k + 1]
+            del parts[k + 1], scores[k]
+            if k:
+                scores[k - 1] = score(parts[k - 1] + parts[k], NEVER)
+            if k < len(scores):
+                scores[k] = score(parts[k] + parts[k + 1], NEVER)
         return parts
 
-    def stays(self, a: str, b: str) -> bool:
-        """True if these two pieces are the encoding of their joined text."""
-        known = self._stays.get((a, b))
-        if known is None:
-            if len(self._stays) >= PAIRS:
-                self._stays.clear()
-            known = self._stays[a, b] = self.merged(a + b) == [a, b]
-        return known
-
-    def search(self, text: str) -> list[str]:
-        """The pieces of a text; a character without a piece stands alone."""
-        n = len(text)
-        longest = [1] * n
-        for last, size in self.matches.iter(text):
-            if size > longest[last + 1 - size]:
-                longest[last + 1 - size] = size
-        failed = bytearray(n // 8 + 1)
-        found: list[str] = []
-        at, shorter, stays = 0, self.shorter, self.stays
-        piece = text[: longest[0]] if n else ""
+    def search(self, text: str) -> list[int]:
+        """The pieces of a text by their ids; a character without a piece stands alone, as a negative number."""
+        n, size, shorter, stays = len(text), self.size, self.shorter, self.stays
+        longest = [-1] * n
+        for last, (piece, before) in self.matches.iter(text):  # of one begin, the longer match comes later
+            longest[last - before] = piece
+        failed: bytearray | None = None
+        found: list[int] = []
+        at, last, piece = 0, -1, longest[0] if n else -1
         while at < n:
-            end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not found or stays(found[-1], piece)):
+            if piece < 0:  # no piece has this character, so no merge goes across it
+                found.append(-1 - ord(text[at]))
+                at, last = at + 1, -1
+                piece = longest[at] if at < n else -1
+                continue
+            end = at + size[piece]
+            if (last < 0 or stays[last << 32 | piece]) and not (failed and failed[end >> 3] >> (end & 7) & 1):
                 found.append(piece)
-                at = end
-                if at < n:
-                    piece = text[at : at + longest[at]]
+                at, last = end, piece
+                piece = longest[at] if at < n else -1
                 continue
-            while len(piece) == 1:  # no match is left here: the piece before goes back to its next shorter match
+            piece = shorter[piece]
+            while piece < 0:  # no match is left here: the piece before goes back to its next shorter match
+                failed = failed or bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = found.pop()
-                at -= len(piece)
-            piece = shorter[piece]
+                at -= size[piece]
+                last = found[-1] if found else -1
+                piece = shorter[piece]
         return found
 
     def _packed(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.search(text):
-            known = self.ids.get(piece)
-            if known is None:
-                ids.extend(self.byte[b] for b in piece.encode())
-            else:
-                ids.append(known)
+        ids = self.search(text)
+        if min(ids) < 0:
+            ids = [i for x in ids for i in ((x,) if x >= 0 else map(self.byte.__getitem__, chr(-1 - x).encode()))]
         return struct.pack(f"={len(ids)}i", *ids)
 
     def encode(self, text: str) -> bytes:
@@ -219,17 +229,13 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(model_path)
-        try:
-            for batch in batches:
-                for part in slices(batch, len(keep)):
-                    packed = [pieces.encode(t) if t else b"" for t in part.column(len(keep)).to_pylist()]
-                    columns = [_ids(packed)]
-                    if decoded is not None:
-                        columns.append(pa.array([pieces.decode(np.frombuffer(p, np.int32).tolist()) for p in packed], pa.string()))
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names)
-        finally:
-            pieces.forget()  # a worker may stay idle for long
-            pa.default_memory_pool().release_unused()
+        for batch in batches:
+            for part in slices(batch, len(keep)):
+                packed = [pieces.encode(t) if t else b"" for t in part.column(len(keep)).to_pylist()]
+                columns = [_ids(packed)]
+                if decoded is not None:
+                    columns.append(pa.array([pieces.decode(np.frombuffer(p, np.int32).tolist()) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names)
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(own)).mapInArrow(run, T.StructType([*kept.schema.fields, *made]))
 
