@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], width: float = 1.0) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], width: float = 1.0, weight: str | None = None) -> DataFrame:
     """keys, share, value: between two rows' values as F.percentile gives it; nulls are left out.
 
+    With `weight`, a column of whole numbers, a row counts as so many; rows of null, 0 or less are left out.
+
     `percentile` keeps a counter for each distinct value of a group in one task. Here values are first counted
     in bins of `width`, which have a bounded number for bounded values; the bins that hold the wanted ranks are
     known from these counts, and only their rows are put in order, equal values as one.
     """
-    x = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x")).withColumn("_bin", F.floor(F.col("_x") / width))
-    counts = x.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    x = rows.where(F.col(value).isNotNull() & (times > 0)).select(*keys, F.col(value).cast("double").alias("_x"), times.alias("_w")).withColumn("_bin", F.floor(F.col("_x") / width))
+    counts = x.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_n"))
     # as many rows as a group has bins; without keys, the bins of all rows
     group = Window.partitionBy(*(keys or [F.lit(1)]))
     upto = counts.select("*", F.sum("_n").over(group.orderBy("_bin")).alias("_to"), F.sum("_n").over(group).alias("_all"))
@@ -28,7 +31,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float,
     asked = asked.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bin").alias("_b"), "share", "_part", "_up", (F.col("_rank") - F.col("_to") + F.col("_n")).alias("_rank"))
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_bin") == F.col("_b"))
     bins = asked.select(*[f"_{k}" for k in keys], "_b").distinct()
-    met = x.join(bins, same, "left_semi").groupBy(*keys, "_bin", "_x").agg(F.count("*").alias("_n"))
+    met = x.join(bins, same, "left_semi").groupBy(*keys, "_bin", "_x").agg(F.sum("_w").alias("_n"))
     within = Window.partitionBy(*keys, "_bin").orderBy("_x")
     ranked = met.withColumn("_to", F.sum("_n").over(within))
     found = ranked.join(asked, same).where((F.col("_rank") >= F.col("_to") - F.col("_n")) & (F.col("_rank") < F.col("_to")))

@@ -1,20 +1,23 @@
 """Speed calibration: robust bounded fits of ride times, for all groups in the same passes.
 
 Bus: tt = c (n + 1) + hold [boarded at the terminal] + b d; subway: tt = a + c n + b d, with b = 3.6 / v.
-The loss is the soft L1 of the residuals, minimised by iteratively reweighted least squares: each pass is
-one aggregation of weighted sums for every group, and the driver solves one to three bounded variables
-per group. Rows are collapsed to distinct values first, so the passes read a small table.
+The loss is the soft L1 of the residuals. A pass is one aggregation for every group, of the sums of two kinds of steps: Newton's,
+by the loss's own curvature, and that of reweighted least squares, which never makes the loss grow. The driver solves both,
+one to three bounded variables a group; the next pass looks at both points and goes on from the better one. Newton's takes
+over near the end, so a handful of passes do. Rows are collapsed to distinct values first and written once.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareflow.functions.columns import period
+from fareflow.operators.quantiles import quantiles
 
 #: Bounds of speed (km/h), time per stop, hold and intercept (s), and the residual scale.
 SPEED_KMH = {"bus": (4.0, 80.0), "subway": (15.0, 90.0)}
@@ -67,29 +70,49 @@ def collapsed(prepared: DataFrame) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("w"))
 
 
-def robust_fit(rows: DataFrame, keys: list[str], starts: dict[tuple, dict], passes: int = 40, tolerance: float = 1e-9) -> dict[tuple, np.ndarray]:
-    """rows: keys, x0, x1, x2, y, w. starts: by key, x (first values), low, high, scale. One aggregation a pass."""
-    spark, state, open_ = rows.sparkSession, {k: np.array(v["x"], float) for k, v in starts.items()}, set(starts)
-    names = [f"s{i}{j}" for i in range(3) for j in range(i, 3)] + [f"y{i}" for i in range(3)]
-    kinds = ", ".join([*(f"`{k}` string" for k in keys), "p0 double, p1 double, p2 double, scale double"])
+def robust_fit(rows: DataFrame, keys: list[str], starts: dict[tuple, dict], passes: int = 30, tolerance: float = 1e-10) -> dict[tuple, np.ndarray]:
+    """rows: keys, x0, x1, x2, y, w. starts: by key, x (first values), low, high, scale. One aggregation a pass.
+
+    A group is done when Newton's step from its point is below the tolerance, or its loss falls no more.
+    """
+    spark, best = rows.sparkSession, {}
+    tried = {k: [np.clip(np.array(v["x"], float), v["low"], v["high"])] for k, v in starts.items()}
+    kinds = ", ".join([*(f"`{k}` string" for k in keys), "point int, p0 double, p1 double, p2 double, scale double"])
+    square = [(i, j) for i in range(3) for j in range(i, 3)]
     for _ in range(passes):
-        if not open_:
+        if not tried:
             break
-        current = spark.createDataFrame([(*k, *state[k].tolist(), starts[k]["scale"]) for k in sorted(open_)], kinds)
-        joined = rows.join(F.broadcast(current), keys)  # as many rows as groups of modes, periods and lines
-        z = (F.col("y") - sum(F.col(f"p{i}") * F.col(f"x{i}") for i in range(3))) / F.col("scale")
-        weighted = joined.withColumn("v", F.col("w") / F.sqrt(1 + z * z))
-        sums = [F.sum(F.col("v") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)]
-        sums += [F.sum(F.col("v") * F.col(f"x{i}") * F.col("y")).alias(f"y{i}") for i in range(3)]
-        for r in weighted.groupBy(*keys).agg(*sums).collect():
-            k = tuple(r[c] for c in keys)
-            s = [r[n] for n in names]
-            xx = np.array([[s[0], s[1], s[2]], [s[1], s[3], s[4]], [s[2], s[4], s[5]]])
-            new = solved(xx, np.array(s[6:]), np.array(starts[k]["low"]), np.array(starts[k]["high"]))
-            if np.abs(new - state[k]).max() <= tolerance * max(1.0, np.abs(new).max()):
-                open_.discard(k)
-            state[k] = new
-    return state
+        points = [(*k, n, *x.tolist(), starts[k]["scale"]) for k, xs in sorted(tried.items()) for n, x in enumerate(xs)]
+        joined = rows.join(F.broadcast(spark.createDataFrame(points, kinds)), keys)  # twice as many rows as groups of modes, periods and lines
+        r = F.col("y") - sum(F.col(f"p{i}") * F.col(f"x{i}") for i in range(3))
+        z = F.col("r") / F.col("scale")
+        seen = joined.withColumn("r", r).withColumn("q", F.sqrt(1 + z * z)).withColumns({"v": F.col("w") / F.col("q"), "u": F.col("w") / (F.col("q") * F.col("q") * F.col("q"))})
+        sums = [F.sum(F.col(c) * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"{c}{i}{j}") for c in "vu" for i, j in square]
+        sums += [F.sum(F.col("v") * F.col("r") * F.col(f"x{i}")).alias(f"g{i}") for i in range(3)]
+        # sqrt(1 + z^2) - 1 without the loss of digits at small z
+        sums.append(F.sum(F.col("w") * z * z / (F.col("q") + 1)).alias("loss"))
+        found = {(tuple(row[c] for c in keys), row["point"]): row for row in seen.groupBy(*keys, "point").agg(*sums).collect()}
+        after = {}
+        for k, xs in tried.items():
+            low, high = (np.array(starts[k][c]) for c in ("low", "high"))
+            at = min((n for n in range(len(xs)) if (k, n) in found), key=lambda n: found[k, n]["loss"], default=None)
+            if at is None:  # a group without rows stays where it began
+                best.setdefault(k, (np.inf, xs[0]))
+                continue
+            row, x = found[k, at], xs[at]
+            if k in best and row["loss"] >= best[k][0] * (1 - 1e-15):
+                continue
+            best[k] = row["loss"], x
+            steps = []
+            for c in "uv":
+                xx = np.zeros((3, 3))
+                for i, j in square:
+                    xx[i, j] = xx[j, i] = row[f"{c}{i}{j}"]
+                steps.append(solved(xx, xx @ x + np.array([row[f"g{i}"] for i in range(3)]), low, high))
+            if np.abs(steps[0] - x).max() > tolerance * max(1.0, np.abs(x).max()):
+                after[k] = steps
+        tried = after
+    return {k: x for k, (_, x) in best.items()}
 
 
 def _b(mode: str) -> tuple[float, float]:
@@ -102,12 +125,13 @@ def _design(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.when(bus, F.col("n") + 1).otherwise(F.col("n")).alias("x0"), F.when(bus, F.col("h")).otherwise(1.0).alias("x1"), F.col("d").alias("x2"), F.col("tt").alias("y"), "w")
 
 
-def fit(prepared: DataFrame, min_mode: int = 500, min_line: int = 150, min_std: float = 300) -> DataFrame:
+def fit(prepared: DataFrame, cut: Callable[[DataFrame], DataFrame], min_mode: int = 500, min_line: int = 150, min_std: float = 300) -> DataFrame:
     """(scope, key, mode, period, dwell_s, terminal_hold_s, intercept_s, b, speed_kmh, n_obs) of all groups.
 
-    Modes first; lines then take the time per stop of their mode's period, and the hold of its "all".
+    Modes first; lines then take the time per stop of their mode's period, and the hold of its "all". `cut` writes the
+    collapsed rides, which all passes read, and reads them back.
     """
-    spark, small = prepared.sparkSession, collapsed(prepared).cache()
+    spark, small = prepared.sparkSession, cut(collapsed(prepared))
     sizes = {(r["mode"], r["route_name"], r["period"]): r["n"] for r in groups(prepared, min_mode, min_line, min_std).collect()}
     starts = {}
     for mode, line, when in sizes:
@@ -130,7 +154,6 @@ def fit(prepared: DataFrame, min_mode: int = 500, min_line: int = 150, min_std:
         mode, line, when = k
         hold, a = (float(modes[mode, "all"][1]) if (mode, "all") in modes else float(middle), 0.0) if mode == "bus" else (0.0, float(middle))
         rows.append(("mode" if line is None else "line", line or mode, mode, when, float(c), float(middle) if mode == "bus" else 0.0, hold, a, float(b), 3.6 / float(b), sizes[k]))
-    small.unpersist()
     return spark.createDataFrame(rows, "scope string, key string, mode string, period string, dwell_s double, fitted_hold_s double, terminal_hold_s double, intercept_s double, b double, speed_kmh double, n_obs long")
 
 
@@ -149,9 +172,11 @@ def _diagonal_of_inverse(s: dict[tuple[int, int], Column]) -> list[Column]:
     return [F.when(det > 0, m / det) for m in minors]
 
 
-def fit_quality(prepared: DataFrame, fits: DataFrame) -> DataFrame:
+def fit_quality(prepared: DataFrame, fits: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Per fit: n, rmse, mae, median residual, the robust scale 1.4826 MAD, and standard errors, over collapsed rides.
 
+    `cut` writes the rides' residuals, which are read three times, and reads them back.
+
     The errors are the scale times the roots of the diagonal of the inverse of J'J, where J has the fitted variables only and
     is weighted as the loss has it: (1 + z^2)^-1.5 in the square, z being the residual over SCALE_S. Fixed variables have none.
     """
@@ -167,13 +192,15 @@ def fit_quality(prepared: DataFrame, fits: DataFrame) -> DataFrame:
     x = [F.when(bus & whole, stops).otherwise(0.0), F.when(bus & whole, F.col("h")).when(~bus, 1.0).otherwise(0.0), F.col("d")]
     rows = joined.select(*keys, "b", r.alias("r"), "w", *[c.alias(f"x{i}") for i, c in enumerate(x)])
     z = F.col("r") / F.when(bus, SCALE_S["bus"]).otherwise(SCALE_S["subway"])
-    rows = rows.withColumn("v", F.col("w") * F.pow(1 + z * z, F.lit(-1.5)))
+    rows = cut(rows.withColumn("v", F.col("w") * F.pow(1 + z * z, F.lit(-1.5))))
     n = F.sum("w")
     sums = [F.sum(F.col("v") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)]
     one = rows.groupBy(*keys).agg(
-        n.alias("n"), F.sqrt(F.sum(F.col("w") * F.col("r") ** 2) / n).alias("rmse_s"), (F.sum(F.col("w") * F.abs("r")) / n).alias("mae_s"), F.percentile("r", F.lit(0.5), F.col("w")).alias("median_resid_s"), F.max("b").alias("b"), *sums)
-    off = rows.join(one.select(*keys, "median_resid_s"), keys)
-    mad = off.groupBy(*keys).agg((1.4826 * F.percentile(F.abs(F.col("r") - F.col("median_resid_s")), F.lit(0.5), F.col("w"))).alias("scale_s"))
+        n.alias("n"), F.sqrt(F.sum(F.col("w") * F.col("r") ** 2) / n).alias("rmse_s"), (F.sum(F.col("w") * F.abs("r")) / n).alias("mae_s"), F.max("b").alias("b"), *sums)
+    middle = quantiles(rows, keys, "r", (0.5,), weight="w").select(*keys, F.col("r").alias("median_resid_s"))
+    one = one.join(middle, keys)
+    off = rows.join(middle, keys).withColumn("off", F.abs(F.col("r") - F.col("median_resid_s")))
+    mad = quantiles(off, keys, "off", (0.5,), weight="w").select(*keys, (1.4826 * F.col("off")).alias("scale_s"))
     free = [bus & whole, ~bus | whole, F.lit(True)]
     s = {(i, j): F.when(free[i], F.col(f"s{i}{j}")).otherwise(1.0) if i == j else F.col(f"s{i}{j}") for i in range(3) for j in range(i, 3)}
     se = [F.when(ok, F.sqrt(c) * F.col("scale_s")) for ok, c in zip(free, _diagonal_of_inverse(s), strict=True)]

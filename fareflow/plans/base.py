@@ -43,6 +43,13 @@ def shared(make):
     return get
 
 
+def cut(df):
+    """Writes a frame to the shared folder and reads it back."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget() -> None:
     _SHARED.clear()
 

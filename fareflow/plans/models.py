@@ -25,7 +25,7 @@ def prepared(spark, sf):
 
 @base.shared
 def fits(spark, sf):
-    return speed.fit(prepared(spark, sf))
+    return speed.fit(prepared(spark, sf), base.cut)
 
 
 @query("speed_prepare", f"select {KEYS}, mode, route_name, period, tt, is_terminal from prepared")
@@ -49,9 +49,43 @@ def speed_fit_line(spark, sf):
     return rounded(fits(spark, sf).where("scope = 'line'"))
 
 
-@query("speed_fit_quality")
+#: Fits that both engines make alike: of modes by period, and of all lines.
+_FITS = """select distinct 'mode' as scope, mode as key, mode, period, case mode when 'bus' then 40.0 else 35.0 end as dwell_s, case mode when 'bus' then 30.0 else 0.0 end as fitted_hold_s,
+  case mode when 'bus' then 0.0 else 250.0 end as intercept_s, case mode when 'bus' then 0.15 else 0.09 end as b from (select mode, period from prepared union all select mode, 'all' from prepared) p
+  union all select distinct 'line', route_name, mode, 'all', case mode when 'bus' then 20.0 else 35.0 end, case mode when 'bus' then 45.0 else 0.0 end, case mode when 'bus' then 0.0 else 300.0 end, case mode when 'bus' then 0.2 else 0.11 end from prepared"""
+BLOCKS |= {
+    "given_fits": "select scope, key, mode, period, cast(dwell_s as double) as dwell_s, cast(fitted_hold_s as double) as fitted_hold_s, cast(intercept_s as double) as intercept_s, cast(b as double) as b from (" + _FITS + ")",
+    "fit_rows": """select f.*, tt - intercept_s - dwell_s * (n_intermediate + case p.mode when 'bus' then 1 else 0 end) - fitted_hold_s * is_terminal - b * route_dist_m as r,
+      case when p.mode = 'bus' and scope = 'mode' then n_intermediate + 1 else 0 end as x0, case when p.mode = 'subway' then 1 when scope = 'mode' then is_terminal else 0 end as x1, route_dist_m as x2
+      from given_fits f join prepared p on p.mode = f.mode and (f.key = p.mode or f.key = p.route_name) and (f.period = 'all' or f.period = p.period)""",
+    "fit_weights": "select *, power(1 + power(r / case mode when 'bus' then 90 else 120 end, 2), -1.5) as v from fit_rows",
+    "fit_sums": """select scope, key, mode, period, max(b) as b, count(*) as n, sqrt(sum(r * r) / count(*)) as rmse_s, sum(abs(r)) / count(*) as mae_s, quantile_cont(r, 0.5) as median_resid_s, mad(r) * 1.4826 as scale_s,
+      case when mode = 'bus' and scope = 'mode' then sum(v * x0 * x0) else 1 end as s00, sum(v * x0 * x1) as s01, sum(v * x0 * x2) as s02, case when mode = 'subway' or scope = 'mode' then sum(v * x1 * x1) else 1 end as s11, sum(v * x1 * x2) as s12, sum(v * x2 * x2) as s22
+      from fit_weights group by scope, key, mode, period""",
+    "fit_dets": "select *, s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02) as det from fit_sums",
+}
+
+
+def given_fits(spark, sf):
+    rides = prepared(spark, sf).select("mode", "period", "route_name")
+    return spark.sql(BLOCKS["given_fits"].replace("prepared", "{rides}"), rides=rides)
+
+
+@query("speed_fit_quality", """select scope, key, mode, period, n, round(rmse_s, 5) as rmse_s, round(mae_s, 5) as mae_s, round(median_resid_s, 5) as median_resid_s, round(scale_s, 5) as scale_s,
+  case when mode = 'bus' and scope = 'mode' and det > 0 then round(sqrt((s11 * s22 - s12 * s12) / det) * scale_s, 5) end as se_dwell_s, case when mode = 'bus' and scope = 'mode' and det > 0 then round(sqrt((s00 * s22 - s02 * s02) / det) * scale_s, 5) end as se_hold_s,
+  case when mode = 'subway' and det > 0 then round(sqrt((s00 * s22 - s02 * s02) / det) * scale_s, 5) end as se_intercept_s, case when det > 0 then round(3.6 / (b * b) * sqrt((s00 * s11 - s01 * s01) / det) * scale_s, 5) end as se_speed_kmh from fit_dets""")
 def speed_fit_quality(spark, sf):
-    return rounded(speed.fit_quality(prepared(spark, sf), fits(spark, sf)))
+    fits = given_fits(spark, sf).withColumn("n_obs", F.lit(0).cast("long"))
+    return rounded(speed.fit_quality(prepared(spark, sf), fits, base.cut), digits=5)
+
+
+@query("speed_table_of_fits", """select scope, key, period, round(3.6 / b, 6) as speed_kmh, least(case mode when 'bus' then 25.0 else 35.0 end, dwell_s) as dwell_s, greatest(0.0, dwell_s - case mode when 'bus' then 25.0 else 35.0 end) as stop_delay_s,
+  dwell_s as per_stop_time_s, fitted_hold_s as terminal_hold_s, intercept_s, (select count(*) from prepared p where p.mode = f.mode and (f.key = p.mode or f.key = p.route_name) and (f.period = 'all' or f.period = p.period)) as n_obs from given_fits f""")
+def speed_table_of_fits(spark, sf):
+    rides = prepared(spark, sf).select("mode", F.explode(F.array("mode", "route_name")).alias("key"), F.explode(F.array("period", F.lit("all"))).alias("period"))
+    sizes = rides.groupBy("mode", "key", "period").agg(F.count("*").alias("n_obs"))
+    found = given_fits(spark, sf).join(sizes, ["mode", "key", "period"]).withColumns({"speed_kmh": 3.6 / F.col("b"), "terminal_hold_s": F.col("fitted_hold_s")})
+    return rounded(speed.speed_table(found))
 
 
 @query("speed_table")
