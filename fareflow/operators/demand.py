@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +23,20 @@ def convert(matched: DataFrame, known: DataFrame, date: str = "2019-05-13", keep
         far.alias("distance"), F.col("tt_adj_s").alias("observed_tt_s"), F.col("line_raw").alias("o_line"), "same_line", "route_name", *keep)
 
 
-def with_sid(df: DataFrame, order_by: tuple[str, ...]) -> DataFrame:
-    """Numbers rows from 0 in the given order, without a global window.
+def with_sid(df: DataFrame, order_by: tuple[str, ...], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Numbers rows from 0 in the given order, without a window over rows.
 
-    Rows are counted by the first column (whole seconds), the counts are cumulated, and each second numbers its own rows.
+    Ranges of the whole order are sorted each in its own task, so days and busy seconds are split wherever other columns differ; a row's
+    place in its range and the rows of the ranges before make its number. `cut` writes the sorted ranges once and reads them back, as a
+    second run could draw other ranges.
     """
-    first, rest = order_by[0], order_by[1:]
-    counts = df.groupBy(first).agg(F.count("*").alias("_n"))
-    offsets = counts.select(F.col(first).alias("_at"), (F.sum("_n").over(Window.orderBy(first)) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1
-    return df.withColumn("_own", own).join(offsets, F.col(first) == F.col("_at")).withColumn("sid", F.col("_before") + F.col("_own")).drop("_at", "_before", "_own")
+    ranges = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    # Spark puts the partition's number above 33 bits of the place in it
+    placed = cut(ranges.withColumn("_place", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_place", 33))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")  # one row per range
+    sid = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(counts.select("_range", before.alias("_before")), "_range").withColumn("sid", sid).drop("_range", "_before", "_place")
 
 
 def convert_report(matched: DataFrame, demand: DataFrame) -> DataFrame:

@@ -16,9 +16,13 @@ def _none(c, default: int):
 
 
 def subway_pairs(taps: DataFrame, known: DataFrame, stops: DataFrame, rides: DataFrame | None = None) -> DataFrame:
-    """Each pair of subway stop names with its ends and the best direct line, the fewest hops first. rides: legs(stops), if made before."""
+    """Each pair of subway stop names with its ends and the best direct line, the fewest hops first. rides: legs(stops), if made before.
+
+    Of the stops of one name, the first by seq is meant, where the network has seq; else the least key.
+    """
+    first = F.min_by("key", "seq") if "seq" in known.columns else F.min("key")
     pairs = taps.where("mode = 'subway'").select("o_name", "d_name").distinct()
-    named = known.where("mode = 'subway'").groupBy(station_name(F.col("name")).alias("norm")).agg(F.min("key").alias("key"))
+    named = known.where("mode = 'subway'").groupBy(station_name(F.col("name")).alias("norm")).agg(first.alias("key"))
     for side in "od":
         other = named.select(F.col("norm").alias(f"_{side}"), F.col("key").alias(f"{side}_key"))
         pairs = pairs.join(other, station_name(F.col(f"{side}_name")) == F.col(f"_{side}"), "left").drop(f"_{side}")

@@ -64,14 +64,14 @@ def vs_observed(trips: DataFrame) -> DataFrame:
 
 
 def hourly_snapshot(trips: DataFrame, hours: int = 48) -> DataFrame:
-    """At each full hour: created, arrived and timed out so far, and the rest, who are on their way."""
+    """At each full hour up to the last: created, arrived and timed out so far, and the rest, who are on their way. Later events don't count."""
     event = lambda t, kind: F.struct(t.alias("t"), F.lit(kind).alias("kind"))
     end = F.col("departure_time") + F.col("total_time")
     kinds = F.array(event(F.col("departure_time"), "created"), event(F.when(F.col("status") == "arrived", end), "arrived"), event(F.when(F.col("status") == "timeout_exit", end), "timed_out"))
     events = trips.select(F.explode(kinds).alias("e")).select("e.*").where("t is not null")
     # an event at t counts from the first full hour at or after t
-    mark = F.least(F.ceil(F.col("t") / 3600), F.lit(hours)).cast("int")
-    counts = events.groupBy(mark.alias("hour")).agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("created", "arrived", "timed_out")])
+    mark = F.ceil(F.col("t") / 3600).cast("int")
+    counts = events.where(mark <= hours).groupBy(mark.alias("hour")).agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("created", "arrived", "timed_out")])
     marks = trips.sparkSession.range(hours + 1).select(F.col("id").cast("int").alias("hour"))
     so_far = Window.partitionBy(F.lit(1)).orderBy("hour")  # one row per hour
     out = marks.join(counts, "hour", "left").select("hour", *[F.sum(F.coalesce(k, F.lit(0))).over(so_far).alias(k) for k in ("created", "arrived", "timed_out")])

@@ -23,11 +23,14 @@ def _by_mode(mode: Column, values: dict[str, float]) -> Column:
 
 
 def stations(nodes: DataFrame, transfer_defaults: dict[str, float] = TRANSFER_DEFAULT_S) -> DataFrame:
-    """key, raw_id, mode, name, lon, lat, transfer_time of the stops of vehicles."""
+    """key, raw_id, mode, name, lon, lat, transfer_time of the stops of vehicles, and seq, the first place of each, if nodes have one."""
     kept = nodes.where(F.col("node_type").isin(*VEHICLES))
+    if "seq" in nodes.columns:
+        kept = kept.groupBy("node_type", "node_id", "station_name", "x", "y").agg(F.min("seq").alias("seq"))
+    place = ["seq"] if "seq" in nodes.columns else []
     return kept.select(
         node_key(F.col("node_type"), F.col("node_id")).alias("key"), F.col("node_id").cast("string").alias("raw_id"), F.col("node_type").alias("mode"),
-        F.col("station_name").alias("name"), F.col("x").alias("lon"), F.col("y").alias("lat"), _by_mode(F.col("node_type"), transfer_defaults).alias("transfer_time")).distinct()
+        F.col("station_name").alias("name"), F.col("x").alias("lon"), F.col("y").alias("lat"), _by_mode(F.col("node_type"), transfer_defaults).alias("transfer_time"), *place).distinct()
 
 
 def line_stops(edges: DataFrame, known: DataFrame) -> DataFrame:

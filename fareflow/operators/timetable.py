@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def departures(lines: DataFrame, headways: DataFrame, service: tuple[float, float] = (18000.0, 84600.0), step: float = 10.0) -> DataFrame:
     """(line, k, t): from the start of service, each departure a headway of its hour after the one before.
 
-    Times are rounded up to the step. One row per line goes in, with its headways by hour.
+    Times are rounded up to the step. Inside an hour the headway is one, so its departures are an arithmetic sequence; a fold over
+    the hours carries the next one on. A headway below the step, 0 or less counts as the step. An hour without a headway takes that of the
+    hour before in the service, else the one of the line's first hour; a line without any has no departures.
     """
-    by_line = headways.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("hour", "headway_s"))).alias("h")).join(lines.select("line").distinct(), "line", "left_semi")
     start, end = service
+    known = headways.where("headway_s is not null").join(lines.select("line").distinct(), "line", "left_semi").groupBy("line", F.col("hour").cast("int").alias("hour")).agg(F.max(F.col("headway_s").cast("double")).alias("h"))
+    by_line = known.groupBy("line").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("hour", "h")))).alias("h"))
+    grid = lambda x: F.ceil(x / step) * step
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for line, listed in zip(batch["line"], batch["h"], strict=True):
-                by_hour = {x["hour"]: x["headway_s"] for x in listed}
-                t, due, k = start, start, 0
-                while t < end:
-                    rows.append((line, k, t))
-                    due = t + by_hour[int(t) % 86400 // 3600]
-                    t, k = -(-due // step) * step, k + 1
-            yield pd.DataFrame(rows, columns=["line", "k", "t"])
+    def hour(state: Column, number: Column) -> Column:
+        border, t = F.least((number + 1) * 3600.0, F.lit(end)), state["t"]
+        headway = F.coalesce(F.col("h")[F.pmod(number, F.lit(24)).cast("int")], state["headway"])
+        gap = F.greatest(grid(headway), F.lit(step))
+        second = F.greatest(grid(t + headway), (F.floor(t / step) + 1) * step)
+        more = F.greatest(F.ceil((border - second) / gap), F.lit(0)).cast("int")
+        on = F.when(more > 0, F.transform(F.sequence(F.lit(0), more - 1), lambda i: (second + i * gap).cast("double"))).otherwise(F.array().cast("array<double>"))
+        goes = t < border
+        return F.struct(
+            F.when(goes, second + more * gap).otherwise(t).cast("double").alias("t"), headway.alias("headway"),
+            F.when(goes, F.concat(state["out"], F.array(t), on)).otherwise(state["out"]).alias("out"))
 
-    return by_line.mapInPandas(run, "line string, k int, t double")
+    hours = F.array(*[F.lit(h) for h in range(int(start // 3600), int(-(-end // 3600)))])
+    first = F.struct(F.lit(float(start)).alias("t"), F.map_values("h")[0].alias("headway"), F.array().cast("array<double>").alias("out"))
+    folded = by_line.select("line", F.aggregate(hours, first, hour)["out"].alias("out"))
+    return folded.select("line", F.posexplode("out").alias("k", "t"))
 
 
 def stop_times(trips: DataFrame, segments: DataFrame) -> DataFrame:

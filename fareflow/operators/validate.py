@@ -25,8 +25,9 @@ def stats(cmp: DataFrame, min_n: int = 10) -> DataFrame:
     aggregates = [F.count("*").alias("n"), F.avg(error).alias("mean_error"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.corr("sim_min", "obs_min").alias("corr")]
     for c in ("sim", "obs"):
         aggregates += [F.avg(f"{c}_min").alias(f"{c}_mean"), F.percentile(f"{c}_min", F.lit(0.5)).alias(f"{c}_median"), F.percentile(f"{c}_min", F.lit(0.9)).alias(f"{c}_p90")]
-    rolled = cmp.rollup("origin_mode").agg(*aggregates).where(F.col("n") >= min_n)
-    return rolled.select(F.coalesce("origin_mode", F.lit("all")).alias("grp"), *[c for c in rolled.columns if c != "origin_mode"])
+    rolled = cmp.rollup("origin_mode").agg(*aggregates, F.grouping("origin_mode").alias("_all")).where(F.col("n") >= min_n)
+    # a group of trips without a mode keeps its null
+    return rolled.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("origin_mode")).alias("grp"), *[c for c in rolled.columns if c not in ("origin_mode", "_all")])
 
 
 def distributions(cmp: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def demand_convert(spark, sf):
 
 @query("demand_sid", f"select row_number() over (order by time, pid, {KEYS}) - 1 as sid, time, pid, {KEYS} from demand")
 def demand_sid(spark, sf):
-    return demand.with_sid(trips(spark, sf), ORDER).select("sid", *ORDER)
+    return demand.with_sid(trips(spark, sf), ("date", *ORDER), base.cut).select("sid", *ORDER)
 
 
 @query("demand_report", """select (select count(*) from matched) as matched_records, (select count(*) from matched where o_key <> d_key) as both_nodes, count(*) as output_rows, count(*) filter (origin_type = 'bus') as bus,

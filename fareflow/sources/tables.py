@@ -14,6 +14,15 @@ HEADWAYS = "scope string, key string, hour string, headway_s double, n_obs bigin
 TRANSFERS = "scope string, key string, transfer_time_s double, n_obs bigint, raw_median_s double"
 
 
+def in_file_order(df: DataFrame, name: str = "seq") -> DataFrame:
+    """df, just read from files, with the place of each row: its file's name, the block's start, and the place in the block.
+
+    Values are structs that sort as the rows stand; the reader's own order of files plays no part.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", place.alias(name))
+
+
 def read_taps(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Raw journeys from CSV with a header; columns go by position."""
     df = spark.read.schema(RAW_TAPS).option("header", True).option("enforceSchema", True).csv(path)
@@ -26,18 +35,22 @@ def read_matched(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def read_network(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables; edges must carry seq, their order in the file."""
-    n = spark.read.option("header", True).csv(nodes).withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
-    e = spark.read.option("header", True).csv(edges).withColumns({c: F.col(c).cast(t) for c, t in (("seq", "long"), ("distance", "double"), ("travel_time", "double"))})
-    return n.where(F.col("node_type").isin("subway", "bus")), e
+    """Node and edge tables with seq, their order: a column of the files, as whole numbers, or else the places of rows in the files."""
+
+    def table(path: str, numbers: tuple[str, ...]) -> DataFrame:
+        df = spark.read.option("header", True).csv(path)
+        df = df.withColumn("seq", F.col("seq").cast("long")) if "seq" in df.columns else in_file_order(df)
+        return df.withColumns({c: F.col(c).cast("double") for c in numbers if c in df.columns})
+
+    return table(nodes, ("x", "y")).where(F.col("node_type").isin("subway", "bus")), table(edges, ("distance", "travel_time"))
 
 
 def _read(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
-    """The last row of each key, in file order; an empty table where there is no file."""
+    """The last row of each key, in the order of file names and of rows in them; an empty table where there is no file."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema)
-    df = spark.read.option("header", True).schema(schema).csv(path).withColumn("_n", F.monotonically_increasing_id())
+    df = in_file_order(spark.read.option("header", True).schema(schema).csv(path), "_n")
     if "hour" in df.columns:
         number = F.expr("try_cast(hour as double)")
         df = df.withColumn("hour", F.when(number.isNotNull(), number.cast("int").cast("string")).otherwise("all"))

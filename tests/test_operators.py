@@ -1,10 +1,12 @@
 """Golden and hand-made cases, and helpers against plain computations."""
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from fareflow.functions import columns as C
-from fareflow.operators import choice, demand, headway, network, prune, routes, speed, timetable
+from fareflow.operators import choice, demand, headway, metrics, network, prune, speed, timetable, validate
 from fareflow.operators.quantiles import quantiles
 
 
@@ -13,6 +15,15 @@ def value(spark, column, **inputs):
     return spark.createDataFrame([tuple(inputs.values())], names).select(column.alias("x")).first()["x"]
 
 
+def written(folder):
+    def cut(df):
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    return cut
+
+
 def test_names(spark):
     cases = [("300路外环", "300外", "300"), ("345路快车", "345快", "345"), ("夜11路", "夜11", "夜11"), ("300快外", "300快外", "300"), (" nan ", None, None), ("", None, None)]
     df = spark.createDataFrame([(c[0],) for c in cases], "n string")
@@ -65,21 +76,28 @@ def test_runs_are_bridged_and_split(spark):
     assert got == [("L_seg1", "ad", 3.0, 6.0), ("L_seg2", "gh", 1.0, 2.0)]
 
 
-def test_ids_and_samples_do_not_depend_on_partitions(spark):
+def test_ids_and_samples_do_not_depend_on_partitions(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") % 37).alias("time"), F.col("id").alias("k"))
-    numbered = [{(r["k"], r["sid"]) for r in demand.with_sid(df.repartition(n), ("time", "k")).collect()} for n in (1, 8)]
-    assert numbered[0] == numbered[1] and sorted(s for _, s in numbered[0]) == list(range(1000))
+    days = df.withColumn("date", F.when(F.col("k") % 2 == 0, "2019-05-13").otherwise("2019-05-14"))
+    order = ("date", "time", "k")
+    numbered = [{(r["k"], r["sid"]) for r in demand.with_sid(days.repartition(n), order, written(tmp_path)).collect()} for n in (1, 8)]
+    want = {(r["k"], i) for i, r in enumerate(sorted(days.collect(), key=lambda r: (r["date"], r["time"], r["k"])))}
+    assert numbered[0] == numbered[1] == want
+    # one second of one day is dealt to several ranges
+    busy = demand.with_sid(days.withColumns({"date": F.lit("d"), "time": F.lit(5)}), order, written(tmp_path))
+    assert sorted((r["k"], r["sid"]) for r in busy.collect()) == [(k, k) for k in range(1000)]
+    assert demand.with_sid(days.limit(0), order, written(tmp_path)).count() == 0
     drawn = [{r["k"] for r in demand.sample(df.repartition(n), 0.123, ("k",)).collect()} for n in (1, 8)]
     assert drawn[0] == drawn[1] and len(drawn[0]) == 123
 
 
-def test_robust_fit_finds_the_parameters(spark):
+def test_robust_fit_finds_the_parameters(spark, tmp_path):
     rng = np.random.default_rng(0)
     n, d, h = rng.integers(0, 12, 3000), rng.uniform(400, 9000, 3000), rng.integers(0, 2, 3000)
     tt = 60.0 * (n + 1) + 90.0 * h + 0.16 * d + rng.standard_t(2, 3000) * 10
     rows = [("bus", "r1" if i % 2 else "r2", "off_peak", float(d[i]), int(n[i]), float(h[i]), float(tt[i])) for i in range(3000)]
     df = spark.createDataFrame(rows, "mode string, route_name string, period string, route_dist_m double, n_intermediate int, is_terminal double, tt double")
-    fits = {(r["scope"], r["key"], r["period"]): r for r in speed.fit(df).collect()}
+    fits = {(r["scope"], r["key"], r["period"]): r for r in speed.fit(df, written(tmp_path)).collect()}
     f = fits["mode", "bus", "all"]
     assert abs(f["dwell_s"] - 60) < 2 and abs(f["fitted_hold_s"] - 90) < 3 and abs(f["b"] - 0.16) < 0.002
     assert abs(fits["line", "r1", "all"]["b"] - 0.16) < 0.003
@@ -99,7 +117,7 @@ def test_quantiles_are_percentiles(spark):
     assert quantiles(frame.limit(0), [], "v", shares).count() == 0
 
 
-def test_standard_errors(spark):
+def test_standard_errors(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows, given = [], {"bus": (40.0, 30.0, 0.0, 0.15), "subway": (35.0, 0.0, 250.0, 0.09)}
     for mode, (c, hold, a, b) in given.items():
@@ -108,7 +126,7 @@ def test_standard_errors(spark):
             rows.append((mode, "r", "am_peak", d, n, h, a + c * (n + (mode == "bus")) + hold * h + b * d + float(rng.normal(0, 40))))
     prepared = spark.createDataFrame(rows, "mode string, route_name string, period string, route_dist_m double, n_intermediate int, is_terminal double, tt double")
     fits = spark.createDataFrame([("mode", m, m, "all", c, hold, a, b, 400) for m, (c, hold, a, b) in given.items()], "scope string, key string, mode string, period string, dwell_s double, fitted_hold_s double, intercept_s double, b double, n_obs long")
-    for r in speed.fit_quality(prepared, fits).collect():
+    for r in speed.fit_quality(prepared, fits, written(tmp_path)).collect():
         c, hold, a, b = given[r["mode"]]
         own = np.array([x[3:] for x in rows if x[0] == r["mode"]])
         d, n, h, tt = own.T
@@ -124,6 +142,50 @@ def test_standard_errors(spark):
         assert np.allclose([x for x in got if x is not None], [x for x in want if x is not None], rtol=1e-6)
 
 
+def test_robust_fit_is_the_minimum(spark):
+    """Against a pattern search of the loss itself, from another start; heavy tails, and bounds that hold."""
+    rng = np.random.default_rng(6)
+    rows, starts, want = [], {}, {}
+    for k, (true, high) in enumerate((((60.0, 90.0, 0.16), (180.0, 900.0, 0.9)), ((60.0, 90.0, 0.16), (50.0, 900.0, 0.9)), ((20.0, 300.0, 0.3), (180.0, 100.0, 0.25)))):
+        x = np.stack([rng.integers(1, 12, 400), rng.integers(0, 2, 400), rng.uniform(400, 9000, 400)], axis=1).astype(float)
+        y, w, low, scale = x @ np.array(true) + rng.standard_t(1.5, 400) * 40, rng.integers(1, 4, 400), np.array([5.0, 0.0, 0.04]), 90.0
+        rows += [(f"g{k}", *map(float, x[i]), float(y[i]), int(w[i])) for i in range(400)]
+        starts[f"g{k}",] = {"x": (25.0, 60.0, 0.18), "low": tuple(low), "high": high, "scale": scale}
+
+        def loss(p, x=x, y=y, w=w):
+            return (w * (np.sqrt(1 + ((y - x @ p) / scale) ** 2) - 1)).sum()
+
+        p, step = np.clip(np.array([100.0, 500.0, 0.5]), low, high), np.array([50.0, 200.0, 0.2])
+        axes = [np.eye(3)[i] * s for i in range(3) for s in (1, -1)]
+        while step.max() > 1e-12:  # moves along the axes, and along pairs that keep the mean residual
+            moves = axes + [np.array([1.0, 0.0, -x[:, 0].mean() / x[:, 2].mean()]) * s for s in (1, -1)] + [np.array([0.0, 1.0, -0.5 / x[:, 2].mean()]) * s for s in (1, -1)]
+            best = min((np.clip(p + m * step, low, high) for m in moves), key=loss)
+            p, step = (best, step) if loss(best) < loss(p) else (p, step / 2)
+        want[f"g{k}",] = p, loss
+    df = spark.createDataFrame(rows, "k string, x0 double, x1 double, x2 double, y double, w long")
+    got = speed.robust_fit(df, ["k"], starts)
+    assert got.keys() == want.keys()
+    for k, (p, loss) in want.items():
+        assert loss(got[k]) <= loss(p) * (1 + 1e-12) and np.allclose(got[k], p, rtol=1e-3), (k, got[k], p)
+    assert got["g1",][0] == 50.0 and got["g2",][2] == 0.25
+    few = speed.robust_fit(df, ["k"], starts, passes=9)
+    assert all(np.allclose(few[k], got[k], rtol=1e-6) for k in got)
+    assert speed.robust_fit(df.limit(0), ["k"], starts)["g0",].tolist() == [25.0, 60.0, 0.18] and speed.robust_fit(df, ["k"], {}) == {}
+
+
+def test_weighted_quantiles(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"g{k % 3}", float(rng.normal(0, 5)) if k % 3 else float(k % 4), int(rng.integers(-1, 5))) for k in range(900)] + [("null", None, 3), ("none", 2.0, 0), ("one", 2.5, 7), ("w", 1.0, None)]
+    frame = spark.createDataFrame(rows, "k string, v double, w int")
+    shares = (0.0, 0.3, 0.5, 1.0)
+    got = {(r["k"], r["share"]): r["v"] for r in quantiles(frame, ["k"], "v", shares, weight="w").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        every = [v for key, v, n in rows if key == k and v is not None and n for _ in range(max(0, n))]
+        want |= {(k, q): float(np.quantile(every, q)) for q in shares if every}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_bounded_least_squares():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(50, 3)), rng.normal(size=50)
@@ -142,13 +204,38 @@ def test_choice(spark):
     assert abs(shares - 0.3) < 0.02
 
 
-def test_overlap_share():
-    a, b = [{"line": "L", "i": 0, "j": 4, "time": 400.0}], [{"line": "L", "i": 2, "j": 4, "time": 200.0}]
-    assert routes.overlap_share(a, b) == 1.0 and routes.overlap_share(a, [{"line": "M", "i": 0, "j": 1, "time": 9.0}]) == 0.0
-
-
 def test_departures_follow_the_headway(spark):
     lines = spark.createDataFrame([("L",)], "line string")
     hours = spark.createDataFrame([("L", h, 600.0 if h < 6 else 1205.0) for h in range(24)], "line string, hour int, headway_s double")
     t = [r["t"] for r in timetable.departures(lines, hours, service=(18000.0, 25200.0)).orderBy("k").collect()]
     assert t == [18000.0, 18600.0, 19200.0, 19800.0, 20400.0, 21000.0, 21600.0, 22810.0, 24020.0]
+
+
+def test_departures_are_the_recurrence(spark):
+    rng = np.random.default_rng(3)
+    lines = {"none": {}, "odd": {h: [0.0, -5.0, 3.0, 10.0, 10.5, 3599.0, 5000.0][h % 7] for h in range(24)}, "gaps": {7: 605.0, 12: 1234.5}}
+    lines |= {f"r{k}": {h: float(np.round(rng.uniform(5, 2500), 2)) for h in range(24)} for k in range(4)}
+    headways = spark.createDataFrame([(k, h, v) for k, by in lines.items() for h, v in by.items()] + [("other", 5, 60.0), ("gaps", 9, None)], "line string, hour int, headway_s double")
+    for service in ((18000.0, 84600.0), (20005.0, 100_000.0)):
+        want = set()
+        for line, by in lines.items():
+            t, k, h = service[0], 0, by[min(by)] if by else None
+            last = int(t // 3600)
+            while by and t < service[1]:
+                for hour in range(last, int(t // 3600) + 1):
+                    h = by.get(hour % 24, h)
+                last = int(t // 3600)
+                want.add((line, k, t))
+                due = -(-(t + h) // 10) * 10
+                t, k = max(due, (t // 10 + 1) * 10), k + 1
+        frame = timetable.departures(spark.createDataFrame([(k,) for k in lines], "line string"), headways, service=service)
+        assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in frame.collect()} == want
+
+
+def test_events_beyond_the_last_mark_and_trips_without_a_mode(spark):
+    trips = spark.createDataFrame([(0.0, 60.0, "arrived"), (3600.0 * 60, 60.0, "arrived")], "departure_time double, total_time double, status string")
+    last = metrics.hourly_snapshot(trips).where("hour = 48").first()
+    assert (last["created"], last["arrived"], last["active"]) == (1, 1, 0)
+    cmp = spark.createDataFrame([(m, 1.0 + k, 2.0 * k) for k in range(12) for m in ("bus", None)], "origin_mode string, sim_min double, obs_min double")
+    assert {r["grp"]: r["n"] for r in validate.stats(cmp).collect()} == {"all": 24, "bus": 12, None: 12}
