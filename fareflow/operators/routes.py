@@ -1,109 +1,191 @@
-"""Routes between stops by rounds of joins: each round adds one boarding to all states at once."""
+"""Routes between stops by rounds of joins: each round adds one leg, a ride or a walk, to many states at once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fareflow.operators.network import legs
 
+#: Tags of a state before any ride, and after a walk that follows a ride; else the tag is the line.
+FRESH, WALKED = "", "*"
+#: A route's weight is one number: milliseconds of perceived cost first, then boardings, walks and legs.
+UNIT, BOARDING, WALK, LEG = 1_000_000, 10_000, 100, 1
+Cut = Callable[[DataFrame], DataFrame]
 
-def timed_legs(stops: DataFrame, rides: DataFrame) -> DataFrame:
-    """(line, mode, f, t, i, j, time): rides between any two stops of a line, by the times of its edges."""
+
+def route_legs(stops: DataFrame, rides: DataFrame, walks: DataFrame) -> DataFrame:
+    """(f, t, line, i, j, ms, lo, hi, total, nodes): rides between any two stops of a line, and walks, whose line is null.
+
+    Times are whole milliseconds, so sums are exact. lo and hi are the times at both ends of a ride from the line's
+    first stop; a ride that wraps a loop has hi below lo and passes total, the time at the last stop. nodes are the stops
+    after f up to t. Of the rides of a line between two stops (it may visit one twice), the fastest stays.
+    """
     times = rides.select("line", "pos", "time")
-    timed = stops.select("line", "mode", "line_seq", "pos", "node").join(times, ["line", "pos"], "left").withColumn("seg", F.coalesce("time", F.lit(0.0)))
-    timed = timed.withColumn("cum", F.sum("seg").over(Window.partitionBy("line").orderBy("pos")))
-    return legs(timed).select("line", "mode", F.col("o").alias("f"), F.col("d").alias("t"), "i", "j", F.col("dist").alias("time"))
-
-
-def walk_closure(walks: DataFrame, cut: Callable[[DataFrame], DataFrame], rounds: int = 20) -> DataFrame:
-    """(f, t, time): least walking times over any number of walks; the walk graph has short chains only."""
-    best = cut(walks.groupBy("f", "t").agg(F.min("time").alias("time")))
-    for _ in range(rounds):
-        further = best.alias("a").join(best.alias("b"), F.col("a.t") == F.col("b.f")).where("a.f <> b.t").select("a.f", "b.t", (F.col("a.time") + F.col("b.time")).alias("time"))
-        after = cut(best.unionByName(further).groupBy("f", "t").agg(F.min("time").alias("time")))
-        same = after.agg(F.count("*"), F.round(F.sum("time"), 6)).first() == best.agg(F.count("*"), F.round(F.sum("time"), 6)).first()
-        best = after
-        if same:
-            break
-    return best
-
-
-def shortest(origins: DataFrame, rides: DataFrame, walks: DataFrame, stations: DataFrame, cut: Callable[[DataFrame], DataFrame], penalty_s: float = 180.0, max_boardings: int = 3) -> DataFrame:
-    """(origin, node, cost, boardings): the least perceived cost within max_boardings.
-
-    Cost: riding and walking, a penalty for each boarding after the first, and the stop's transfer time
-    when the line changes without a walk. walks must be closed. `cut` writes a frame and reads it back,
-    once a round, so that plans stay short and a lost executor costs one round.
+    timed = stops.select("line", "pos", "node").join(times, ["line", "pos"], "left").withColumn("seg", F.coalesce("time", F.lit(0.0)))
+    timed = timed.withColumn("at", F.round(F.sum("seg").over(Window.partitionBy("line").orderBy("pos")) * 1000).cast("long"))
+    whole = timed.groupBy("line").agg(F.max("at").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("all"))
+    a = timed.select("line", F.col("node").alias("f"), F.col("pos").alias("i"), F.col("at").alias("lo"))
+    b = timed.select("line", F.col("node").alias("t"), F.col("pos").alias("j"), F.col("at").alias("hi"))
+    n, ahead = F.size("all"), F.col("j") > F.col("i")
+    loop = (F.col("all")[0] == F.element_at("all", -1)) & (n > 2)
+    pairs = a.join(b, "line").join(whole, "line").where((F.col("f") != F.col("t")) & (ahead | loop & (F.col("j") < F.col("i"))))
+    ms = F.when(ahead, F.col("hi") - F.col("lo")).otherwise(F.col("total") - F.col("lo") + F.col("hi"))
+    # the first and last stop of a loop are one
+    nodes = F.when(ahead, F.slice("all", F.col("i") + 2, F.col("j") - F.col("i"))).otherwise(
+        F.concat(F.slice("all", F.col("i") + 2, n - 1 - F.col("i")), F.slice("all", F.lit(2), F.col("j"))))
+    every = pairs.select("f", "t", "line", F.struct(ms.alias("ms"), "i", "j", "lo", "hi", "total", nodes.alias("nodes")).alias("x"))
+    ridden = every.groupBy("f", "t", "line").agg(F.min("x").alias("x")).select("f", "t", "line", "x.*")
+    none = {c: F.lit(None).cast(kind) for c, kind in (("line", "string"), ("i", "int"), ("j", "int"), ("lo", "long"), ("hi", "long"), ("total", "long"))}
+    walked = walks.where("f <> t").groupBy("f", "t").agg(F.round(F.min("time") * 1000).cast("long").alias("ms"))
+    return ridden.unionByName(walked.withColumns({**none, "nodes": F.array("t")}))
+
+
+def _stepped(states: DataFrame, legs: DataFrame, stations: DataFrame, penalty_s: float) -> DataFrame:
+    """states (node, tag, weight, ...) with each leg that goes on from them: columns of `to`, the new tag and weight."""
+    change = stations.select(F.col("key").alias("node"), F.round(F.col("transfer_time") * 1000).cast("long").alias("change"))
+    legs = legs.select(F.col("f").alias("node"), F.struct("line", "f", "t", "i", "j", "ms", "lo", "hi", "total").alias("leg"), "nodes")
+    line, tag, penalty = F.col("leg.line"), F.col("tag"), F.lit(round(penalty_s * 1000)).cast("long")
+    on_foot, same = line.isNull(), F.coalesce(line == tag, F.lit(False))
+    extra = F.when(on_foot | same | (tag == FRESH), 0).when(tag == WALKED, penalty).otherwise(penalty + F.coalesce("change", F.lit(0).cast("long")))
+    weight = F.col("weight") + (F.col("leg.ms") + extra) * UNIT + LEG + F.when(on_foot, WALK).when(same, 0).otherwise(BOARDING)
+    to_tag = F.when(on_foot, F.when(tag == FRESH, FRESH).otherwise(WALKED)).otherwise(line)
+    return states.join(change, "node", "left").join(legs, "node").withColumns({"to": F.col("leg.t"), "to_tag": to_tag, "to_weight": weight})
+
+
+def parts_of(weight: Column) -> dict[str, Column]:
+    """cost in seconds, boardings and walks of a weight."""
+    low = weight % UNIT
+    return {"cost": F.floor(weight / UNIT) / 1000, "boardings": F.floor(low / BOARDING).cast("int"), "walks": F.floor(low % BOARDING / WALK).cast("int")}
+
+
+def search(origins: DataFrame, legs: DataFrame, stations: DataFrame, cut: Cut, penalty_s: float = 180.0, targets: DataFrame | None = None) -> DataFrame:
+    """(origin, node, tag, weight, p_node, p_tag, leg): the best way to each state, with the state and the leg it comes from.
+
+    Cost: riding and walking, a penalty for each boarding after the first, and the stop's transfer time when the line
+    changes without a walk; of equal costs, fewer boardings, then walks, then legs. Only states that the last round improved
+    go on, until none is improved. With targets (origin, node), states dearer than the dearest target of their origin don't
+    go on. `cut` writes a frame and reads it back, so that plans stay short and a lost executor costs one round.
     """
-    fresh = origins.select(F.col("key").alias("origin"), F.col("key").alias("node"), F.lit("fresh").alias("tag"), F.lit(0.0).alias("cost"), F.lit(0).alias("boardings"))
+    none = F.lit(None).cast("string")
+    leg = F.lit(None).cast("struct<line: string, f: string, t: string, i: int, j: int, ms: bigint, lo: bigint, hi: bigint, total: bigint>")
+    key = ["origin", "node", "tag"]
+    start = origins.select(F.col("key").alias("origin"), F.col("key").alias("node"), F.lit(FRESH).alias("tag"), F.lit(0).cast("long").alias("weight"), F.lit(True).alias("new"), none.alias("p_node"), none.alias("p_tag"), leg.alias("leg"))
+    best = cut(start.distinct())
+    while not best.where("new").isEmpty():
+        tried = _stepped(best.where("new").drop("leg", "p_node", "p_tag", "new"), legs, stations, penalty_s)
+        # equal weights have as many legs, so they come in one round; the smallest parent stays
+        row = F.struct(F.col("to_weight").alias("weight"), F.lit(True).alias("new"), F.col("node").alias("p_node"), F.col("tag").alias("p_tag"), "leg")
+        found = tried.groupBy("origin", F.col("to").alias("node"), F.col("to_tag").alias("tag")).agg(F.min(row).alias("x")).select(*key, "x.*")
+        if targets is not None:
+            reached = targets.join(best.groupBy("origin", "node").agg(F.min("weight").alias("w")), ["origin", "node"], "left")
+            bound = reached.groupBy("origin").agg(F.when(F.count("*") == F.count("w"), F.max("w")).alias("_bound"))
+            found = found.join(bound, "origin", "left").where("_bound is null or weight < _bound").drop("_bound")
+        both = best.withColumn("new", F.lit(False)).unionByName(found)
+        best = cut(both.groupBy(*key).agg(F.min(F.struct("weight", "new", "p_node", "p_tag", "leg")).alias("x")).select(*key, "x.*"))
+    return best.drop("new")
 
-    def walked(states: DataFrame) -> DataFrame:
-        tag = F.when(F.col("tag") == "fresh", "fresh").otherwise("walked").alias("tag")
-        return states.unionByName(states.join(walks, states["node"] == walks["f"]).select("origin", F.col("t").alias("node"), tag, (F.col("cost") + F.col("time")).alias("cost"), "boardings"))
 
-    def least(states: DataFrame) -> DataFrame:
-        return cut(states.groupBy("origin", "node", "tag").agg(F.min(F.struct("cost", "boardings")).alias("b")).select("origin", "node", "tag", "b.cost", "b.boardings"))
+def rebuilt(states: DataFrame, ends: DataFrame, cut: Cut) -> DataFrame:
+    """ends (origin, node, ...) with weight and path, the legs of the best way there. Pointers to parents are followed twice as far in each round."""
+    best = states.groupBy("origin", "node").agg(F.min(F.struct("weight", "tag")).alias("b")).select("origin", "node", "b.*")
+    up = states.select("origin", "node", "tag", "p_node", "p_tag", F.when(F.col("leg").isNull(), F.array().cast("array<struct<line: string, f: string, t: string, i: int, j: int, ms: bigint, lo: bigint, hi: bigint, total: bigint>>")).otherwise(F.array("leg")).alias("path"))
+    while not (up := cut(up)).where("p_node is not null").isEmpty():
+        over = up.select("origin", F.col("node").alias("p_node"), F.col("tag").alias("p_tag"), F.col("p_node").alias("n"), F.col("p_tag").alias("g"), F.col("path").alias("before"))
+        joined = up.join(over, ["origin", "p_node", "p_tag"], "left")
+        up = joined.select("origin", "node", "tag", F.col("n").alias("p_node"), F.col("g").alias("p_tag"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"))
+    found = ends.join(best, ["origin", "node"]).join(up.select("origin", "node", "tag", "path"), ["origin", "node", "tag"])
+    return found.drop("tag")
 
-    change = stations.select(F.col("key").alias("node"), "transfer_time")
-    states = least(walked(fresh))
-    for _ in range(max_boardings):
-        extra = F.when((F.col("tag") == "fresh") | (F.col("tag") == F.col("line")), 0.0).when(F.col("tag") == "walked", penalty_s).otherwise(penalty_s + F.col("transfer_time"))
-        boarded = states.join(change, "node").join(rides, F.col("node") == F.col("f")).select("origin", F.col("t").alias("node"), F.col("line").alias("tag"), (F.col("cost") + F.col("time") + extra).alias("cost"), (F.col("boardings") + 1).alias("boardings"))
-        states = least(walked(boarded).unionByName(states))
-    return states.groupBy("origin", "node").agg(F.min(F.struct("cost", "boardings")).alias("b")).select("origin", "node", "b.cost", "b.boardings")
 
+def shortest(pairs: DataFrame, legs: DataFrame, stations: DataFrame, cut: Cut, penalty_s: float = 180.0) -> DataFrame:
+    """(o_key, d_key, weight, path) of the best route of each pair that has one."""
+    targets = cut(pairs.select(F.col("o_key").alias("origin"), F.col("d_key").alias("node")).distinct())
+    states = search(targets.select(F.col("origin").alias("key")).distinct(), legs, stations, cut, penalty_s, targets)
+    return rebuilt(states, targets, cut).select(F.col("origin").alias("o_key"), F.col("node").alias("d_key"), "weight", "path")
 
-def two_ride_pool(od: DataFrame, rides: DataFrame, stations: DataFrame, penalty_s: float = 180.0) -> DataFrame:
-    """(o_key, d_key, lines, station, ivt, cost, intervals): the best route of each sequence of one or two lines.
 
-    intervals: (line, i, j) of each ride, by stop positions.
-    """
-    part = lambda p: F.struct(F.col(f"{p}.line").alias("line"), F.col(f"{p}.i").alias("i"), F.col(f"{p}.j").alias("j"), F.col(f"{p}.time").alias("time"))
-    a, b = rides.alias("a"), rides.alias("b")
-    direct = od.join(a, (F.col("o_key") == F.col("a.f")) & (F.col("d_key") == F.col("a.t"))).select("o_key", "d_key", F.lit(None).cast("string").alias("station"), F.col("a.time").alias("ivt"), F.col("a.time").alias("cost"), F.array(part("a")).alias("intervals"))
-    first = od.join(a, F.col("o_key") == F.col("a.f")).join(b, (F.col("a.t") == F.col("b.f")) & (F.col("d_key") == F.col("b.t")) & (F.col("a.line") != F.col("b.line")))
-    ivt = F.col("a.time") + F.col("b.time")
-    one = first.join(stations.select(F.col("key").alias("k"), "transfer_time"), F.col("a.t") == F.col("k"))
-    one = one.select("o_key", "d_key", F.col("a.t").alias("station"), ivt.alias("ivt"), (ivt + penalty_s + F.col("transfer_time")).alias("cost"), F.array(part("a"), part("b")).alias("intervals"))
-    every = direct.unionByName(one).withColumn("lines", F.transform("intervals", lambda x: x["line"]))
-    best = every.groupBy("o_key", "d_key", "lines").agg(F.min(F.struct("cost", "station", "ivt", "intervals")).alias("b"))
-    return best.select("o_key", "d_key", "lines", "b.station", "b.ivt", "b.cost", "b.intervals")
-
-
-def overlap_share(a, b) -> float:
-    """Shared riding time of two routes by the shorter one's; a ride's time is spread evenly over its stops."""
-    total = min(sum(x["time"] for x in a), sum(x["time"] for x in b))
-    if total <= 0:
-        return 0.0
-    shared = 0.0
-    for x in a:
-        for y in b:
-            if x["line"] == y["line"] and x["i"] < x["j"] and y["i"] < y["j"]:
-                both = min(x["j"], y["j"]) - max(x["i"], y["i"])
-                shared += max(0, both) * x["time"] / (x["j"] - x["i"])
-    return shared / total
-
-
-def candidates(pool: DataFrame, k: int = 5, max_overlap: float = 0.8) -> DataFrame:
-    """Up to k routes of each pair by ascending cost, none overlapping an accepted one by more than max_overlap.
-
-    The pool holds the best route per sequence of one or two lines, not every path; a pair has a few dozen rows.
-    """
+def named(path: Column) -> Column:
+    """A path as text, which tells any two apart: each leg's line and end; a walk has no line."""
+    return F.array_join(F.transform(path, lambda leg: F.concat_ws(">", F.coalesce(leg["line"], F.lit("")), leg["t"])), ";")
+
+
+def lines_of(path: Column) -> Column:
+    return F.transform(F.filter(path, lambda leg: leg["line"].isNotNull()), lambda leg: leg["line"])
+
 
-    def accepted(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(key=[",".join(x) for x in group["lines"]]).sort_values(["cost", "key"])
-        kept: list = []
-        for row in group.itertuples():
-            if len(kept) < k and all(overlap_share(row.intervals, other.intervals) <= max_overlap for other in kept):
-                kept.append(row)
-        return pd.DataFrame({"o_key": [r.o_key for r in kept], "d_key": [r.d_key for r in kept], "rnk": range(1, len(kept) + 1), "lines": [list(r.lines) for r in kept], "station": [r.station for r in kept], "ivt": [r.ivt for r in kept], "cost": [r.cost for r in kept]})
+def ridden(path: Column) -> Column:
+    """(line, lo, hi) of each ride, in times from the line's first stop; a ride that wraps a loop is two of them."""
+    span = lambda leg, lo, hi: F.struct(leg["line"].alias("line"), lo.alias("lo"), hi.alias("hi"))
+    zero = F.lit(0).cast("long")
+    parts = lambda leg: F.when(leg["j"] > leg["i"], F.array(span(leg, leg["lo"], leg["hi"]))).otherwise(F.array(span(leg, leg["lo"], leg["total"]), span(leg, zero, leg["hi"])))
+    return F.flatten(F.transform(F.filter(path, lambda leg: leg["line"].isNotNull()), parts))
 
-    return pool.groupBy("o_key", "d_key").applyInPandas(accepted, "o_key string, d_key string, rnk int, lines array<string>, station string, ivt double, cost double")
+
+def _summed(values: Column, of: Callable[[Column], Column]) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + of(x))
+
+
+def shared_ms(a: Column, b: Column) -> Column:
+    """Riding time that two routes share, from their spans."""
+    both = lambda x, y: F.when(x["line"] == y["line"], F.greatest(F.least(x["hi"], y["hi"]) - F.greatest(x["lo"], y["lo"]), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return _summed(a, lambda x: _summed(b, lambda y: both(x, y)))
+
+
+def label_lists(origins: DataFrame, legs: DataFrame, stations: DataFrame, cut: Cut, penalty_s: float = 180.0, keep: int = 5) -> DataFrame:
+    """(origin, node, tag, weight, name, path): at each state, the `keep` least routes without a loop, one for each sequence of lines.
+
+    A round adds one leg to the routes that came into a list in the round before, and merges lists; it ends when no list
+    changes. A route visits no stop twice, passing by included, and rides no line twice in a row.
+    """
+    state, order = Window.partitionBy("origin", "node", "tag"), ("weight", "name")
+    empty = "array<struct<line: string, f: string, t: string, i: int, j: int, ms: bigint, lo: bigint, hi: bigint, total: bigint>>"
+    lists = cut(origins.select(F.col("key").alias("origin"), F.col("key").alias("node"), F.lit(FRESH).alias("tag"), F.lit(0).cast("long").alias("weight"), F.lit("").alias("name"), F.array().cast(empty).alias("path"), F.array("key").alias("seen"), F.lit(True).alias("new")).distinct())
+    simple = legs.where(F.size(F.array_distinct("nodes")) == F.size("nodes"))
+    while True:
+        tried = _stepped(lists.where("new"), simple, stations, penalty_s).where("not arrays_overlap(seen, nodes) and not (leg.line is not null and leg.line = tag)")
+        path = F.concat("path", F.array("leg"))
+        added = tried.select("origin", F.col("to").alias("node"), F.col("to_tag").alias("tag"), F.col("to_weight").alias("weight"), F.concat_ws(";", F.when(F.col("name") != "", F.col("name")), F.concat_ws(">", F.coalesce("leg.line", F.lit("")), "leg.t")).alias("name"), path.alias("path"), F.concat("seen", "nodes").alias("seen"), F.lit(True).alias("new"))
+        both = lists.withColumn("new", F.lit(False)).unionByName(added).withColumn("lines", F.array_join(lines_of(F.col("path")), "\n"))
+        first = both.withColumn("r", F.row_number().over(Window.partitionBy("origin", "node", "tag", "lines").orderBy(*order))).where("r = 1").drop("r", "lines")
+        lists = cut(first.withColumn("r", F.row_number().over(state.orderBy(*order))).where(F.col("r") <= keep).drop("r"))
+        if lists.where("new").isEmpty():
+            return lists.drop("seen", "new")
+
+
+def candidates(pairs: DataFrame, legs: DataFrame, stations: DataFrame, cut: Cut, penalty_s: float = 180.0, k: int = 5, max_overlap: float = 0.8, keep: int = 5) -> DataFrame:
+    """(o_key, d_key, rnk, weight, path): up to k routes of each pair by ascending weight, none sharing more than max_overlap of its
+    riding time, or an accepted route's if that is shorter, with an accepted one.
+
+    The pool of a pair is what the label lists hold at its end: not every path, but the `keep` least of each last line, each with
+    lines of its own. The first candidate is the best route; where that one visits a stop twice, it is taken as it is, and the others
+    have no loop.
+    """
+    asked = cut(pairs.select("o_key", "d_key").where("o_key <> d_key").distinct())
+    lists = label_lists(asked.select(F.col("o_key").alias("key")).distinct(), legs, stations, cut, penalty_s, keep)
+    pool = asked.join(lists, (F.col("o_key") == F.col("origin")) & (F.col("d_key") == F.col("node"))).select("o_key", "d_key", "weight", "name", "path")
+    best = shortest(asked, legs, stations, cut, penalty_s).withColumn("name", named(F.col("path")))
+    # the best route is in the lists unless it has a loop
+    least = pool.groupBy("o_key", "d_key").agg(F.min("weight").alias("_least"))
+    looped = best.join(least, ["o_key", "d_key"], "left").where("_least is null or weight < _least").drop("_least")
+    spans = ridden(F.col("path"))
+    pool = pool.unionByName(looped).withColumn("spans", spans).withColumn("ride", _summed(F.col("spans"), lambda x: x["hi"] - x["lo"]))
+    sorted_pool = F.array_sort(F.collect_list(F.struct("weight", "name", "path", "spans", "ride"))).alias("pool")
+    percent = round(max_overlap * 100)
+    apart = lambda x, y: shared_ms(x["spans"], y["spans"]) * 100 <= F.least(x["ride"], y["ride"]) * percent
+    taken = lambda kept, x: F.when((F.size(kept) < k) & F.forall(kept, lambda y: apart(x, y)), F.concat(kept, F.array(x))).otherwise(kept)
+    grouped = pool.groupBy("o_key", "d_key").agg(sorted_pool)
+    kept = grouped.select("o_key", "d_key", F.aggregate("pool", F.slice("pool", 1, 0), taken).alias("kept"))
+    return kept.select("o_key", "d_key", F.posexplode("kept").alias("at", "r")).select("o_key", "d_key", (F.col("at") + 1).alias("rnk"), "r.weight", "r.path")
+
+
+def path_edges(routes: DataFrame, od: Column) -> DataFrame:
+    """(od, seq, line, f, t, mode, time): the legs of paths as route edges, for `perceived_cost`, `attributes` and `overlap`."""
+    legs = routes.select(od.alias("od"), F.posexplode("path").alias("seq", "leg"))
+    mode = F.when(F.col("leg.line").isNull(), "walk").otherwise(F.substring_index("leg.f", ":", 1))
+    return legs.select("od", "seq", "leg.line", "leg.f", "leg.t", mode.alias("mode"), (F.col("leg.ms") / 1000).alias("time"))
 
 
 def overlap(edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareflow.operators.quantiles import quantiles
-
 from fareflow.functions.columns import period
+from fareflow.operators.quantiles import quantiles
+from fareflow.operators.routes import parts_of
 
 
 def _transferring(matched: DataFrame) -> DataFrame:
@@ -22,9 +22,14 @@ def top_od(matched: DataFrame, n: int = 4000) -> DataFrame:
     return top.join(total).withColumn("share", F.col("trips") / F.col("_all")).drop("_all")
 
 
-def single_transfer_od(routes: DataFrame) -> DataFrame:
-    """routes (o_key, d_key, boardings, walks, ...) with two boardings and no walk."""
-    return routes.where("boardings = 2 and walks = 0").drop("boardings", "walks")
+def single_transfer_od(best: DataFrame) -> DataFrame:
+    """(o_key, d_key, line1, line2, station, ivt) of the pairs whose best route (weight, path) has two boardings and no walk."""
+    parts = parts_of(F.col("weight"))
+    one = best.where((parts["boardings"] == 2) & (parts["walks"] == 0))
+    line1, line2 = F.col("path")[0]["line"], F.element_at("path", -1)["line"]
+    first = F.filter("path", lambda leg: leg["line"] == line1)
+    ivt = F.aggregate("path", F.lit(0).cast("long"), lambda s, leg: s + leg["ms"]) / 1000
+    return one.select("o_key", "d_key", line1.alias("line1"), line2.alias("line2"), F.element_at(first, -1)["t"].alias("station"), ivt.alias("ivt"))
 
 
 def residuals(matched: DataFrame, od: DataFrame, access_egress_s: float, per_stop: DataFrame, headways: DataFrame, missing_s: float = 300.0) -> DataFrame:

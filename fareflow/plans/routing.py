@@ -14,62 +14,74 @@ from fareflow.sources import fixtures, tables
 from fareflow.streaming import streams
 
 
-def cut(df):
-    """Writes a frame to the shared folder and reads it back."""
-    path = base.folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _TRANSFERRING = "mode = 'subway' and not same_line and o_key is not null and d_key is not null and tt_adj_s > 120 and tt_adj_s < 7200"
+ROUNDS, LISTED = 9, 5
+_UP = "case when l.line is not null then l.line when s.tag = '' then '' else '*' end"
+_WEIGHT = """s.weight + (l.ms + case when l.line is null or s.tag = l.line or s.tag = '' then 0 when s.tag = '*' then 180000 else 180000 + cast(round(x.transfer_time * 1000) as bigint) end) * 1000000
+  + 1 + case when l.line is null then 100 when s.tag = l.line then 0 else 10000 end"""
+_COST = "floor({0} / 1000000) / 1000"
 BLOCKS |= {
-    "timed_stops": """select s.line, s.mode, s.pos, s.node, sum(coalesce(r.time, 0)) over (partition by s.line order by s.pos) as cum from line_stops s left join (select line, pos, time from rides where period = 'all') r on r.line = s.line and r.pos = s.pos""",
-    "timed_first": "select line, mode, node, min(pos) as pos, min(cum) as cum from timed_stops group by all",
-    "tlegs": """select a.line, a.mode, a.node as f, b.node as t, a.pos as i, b.pos as j, case when b.pos > a.pos then b.cum - a.cum else x.total - a.cum + b.cum end as time from timed_first a join timed_first b on a.line = b.line and a.node <> b.node
-      join loops l on l.line = a.line join (select line, max(cum) as total from timed_stops group by line) x on x.line = a.line where b.pos > a.pos or (l.is_loop and b.pos < a.pos)""",
+    "timed_stops": """select line, pos, node, cast(round(cum * 1000) as bigint) as since from (select s.line, s.pos, s.node, sum(coalesce(r.time, 0)) over (partition by s.line order by s.pos) as cum
+      from line_stops s left join (select line, pos, time from rides where period = 'all') r on r.line = s.line and r.pos = s.pos)""",
+    "timed_lines": "select line, max(since) as total, list(node order by pos) as nodes, count(*) as n from timed_stops group by line",
+    "tlegs": """select line, f, t, i, j, ms, lo, hi, total, nodes from (select a.line, a.node as f, b.node as t, a.pos as i, b.pos as j, a.since as lo, b.since as hi, w.total,
+        case when b.pos > a.pos then b.since - a.since else w.total - a.since + b.since end as ms, case when b.pos > a.pos then w.nodes[a.pos + 2 : b.pos + 1] else list_concat(w.nodes[a.pos + 2 : w.n], w.nodes[2 : b.pos + 1]) end as nodes
+      from timed_stops a join timed_stops b on a.line = b.line and a.node <> b.node join timed_lines w on w.line = a.line where b.pos > a.pos or (w.n > 2 and w.nodes[1] = w.nodes[w.n] and b.pos < a.pos))
+      qualify row_number() over (partition by line, f, t order by ms, i, j) = 1""",
     "top_od": f"select o_key, d_key, count(*) as trips from matched where {_TRANSFERRING} group by all order by trips desc, o_key, d_key limit 4000",
-    "pool": """select o_key, d_key, lines, min(cost) as cost, arg_min(station, (round(cost, 6), station)) as station, arg_min(ivt, (round(cost, 6), station)) as ivt from (
-        select o_key, d_key, [line] as lines, cast(null as varchar) as station, time as ivt, time as cost from top_od join tlegs on f = o_key and t = d_key
-        union all select o_key, d_key, [a.line, b.line], a.t, a.time + b.time, a.time + b.time + 180 + s.transfer_time from top_od join tlegs a on a.f = o_key join tlegs b on b.f = a.t and b.t = d_key and b.line <> a.line join stations s on s.key = a.t) group by all""",
-    "best_route": "select * from (select *, row_number() over (partition by o_key, d_key order by round(cost, 6), array_to_string(lines, ',')) as r from pool) where r = 1",
-    "single_od": "select o_key, d_key, lines[1] as line1, lines[2] as line2, station, ivt from best_route where len(lines) = 2",
+    "walk_all": "select f, t, time from walk union all select f, t, time from shared_walk",
+    "rlegs": """select line, f, t, i, j, ms, lo, hi, total, nodes from tlegs union all
+      select cast(null as varchar), f, t, cast(null as bigint), cast(null as bigint), cast(round(min(time) * 1000) as bigint), cast(null as bigint), cast(null as bigint), cast(null as bigint), [t] from walk_all where f <> t group by f, t""",
+    "state0": "select key as origin, key as node, '' as tag, cast(0 as bigint) as weight from stations",
+    "best_end": f"select o_key, d_key, weight, tag from top_od join state{ROUNDS} on origin = o_key and node = d_key qualify row_number() over (partition by o_key, d_key order by weight, tag) = 1",
+    "single_od": """select o_key, d_key, a.line as line1, b.line as line2, a.t as station, (a.ms + b.ms) / 1000 as ivt from best_end join rlegs a on a.f = o_key join rlegs b on b.f = a.t and b.t = d_key and b.line = tag and a.line <> b.line
+      join stations s on s.key = a.t where (a.ms + b.ms + 180000 + cast(round(s.transfer_time * 1000) as bigint)) * 1000000 + 20002 = weight qualify row_number() over (partition by o_key, d_key order by a.t, a.line) = 1""",
     "resid": f"""select m.*, s.station, {ora_period('((dep_s % 86400) / 3600.0)')} as period, tt_adj_s - (120 + 70 + ivt + 0.5 * coalesce(a.headway_s, 300) + 0.5 * coalesce(b.headway_s, 300)) as resid
       from (select * from matched where {_TRANSFERRING}) m join single_od s on s.o_key = m.o_key and s.d_key = m.d_key
       left join line_headways a on a.line = s.line1 and a.hour = cast(floor(dep_s / 3600) as int) % 24 left join line_headways b on b.line = s.line2 and b.hour = cast(floor(dep_s / 3600) as int) % 24""",
     "valid_resid": "select * from resid where resid > -900 and resid < 2400",
-    "walk_all": "select f, t, time from walk union all select f, t, time from shared_walk",
-    "walk2": "select f, t, min(time) as time from (select * from walk_all union all select a.f, b.t, a.time + b.time from walk_all a join walk_all b on a.t = b.f where a.f <> b.t) group by all",
-    "walk4": "select f, t, min(time) as time from (select * from walk2 union all select a.f, b.t, a.time + b.time from walk2 a join walk2 b on a.t = b.f where a.f <> b.t) group by all",
-    "walk8": "select f, t, min(time) as time from (select * from walk4 union all select a.f, b.t, a.time + b.time from walk4 a join walk4 b on a.t = b.f where a.f <> b.t) group by all",
-    "walk_closed": "select f, t, min(time) as time from (select * from walk8 union all select a.f, b.t, a.time + b.time from walk8 a join walk8 b on a.t = b.f where a.f <> b.t) group by all",
-    "state0": "select origin, node, 'fresh' as tag, min(cost) as cost from (select key as origin, key as node, 0.0 as cost from stations where mode = 'subway' union all select key, t, time from stations join walk_closed on f = key where mode = 'subway') group by all",
+    "asked_od": "select distinct concat(origin_type, ':', origin_id) as o_key, concat(destination_type, ':', destination_id) as d_key from demand where concat(origin_type, ':', origin_id) <> concat(destination_type, ':', destination_id)",
+    "label0": "select distinct o_key as origin, o_key as node, '' as tag, cast(0 as bigint) as weight, '' as name, '' as lines, cast([] as struct(line varchar, lo bigint, hi bigint)[]) as spans, [o_key] as seen, 0 as r from asked_od",
+    "pool": f"""select o_key, d_key, weight, name, lines, spans, coalesce(list_sum(list_transform(spans, lambda x: x.hi - x.lo)), 0) as ride, row_number() over (partition by o_key, d_key order by weight, name) as idx
+      from asked_od join label{ROUNDS} on origin = o_key and node = d_key""",
+    "pool_spans": "select o_key, d_key, idx, ride, unnest(spans) as x from pool",
+    "too_near": """select a.o_key, a.d_key, a.idx as a, b.idx as b from pool_spans a join pool_spans b on a.o_key = b.o_key and a.d_key = b.d_key and a.idx < b.idx and a.x.line = b.x.line
+      group by all having sum(greatest(least(a.x.hi, b.x.hi) - greatest(a.x.lo, b.x.lo), 0)) * 100 > least(any_value(a.ride), any_value(b.ride)) * 80""",
+    "taken1": "select o_key, d_key, idx, 1 as rnk from pool where idx = 1",
 }
-for _k in (1, 2, 3):
-    BLOCKS[f"board{_k}"] = f"""select origin, l.t as node, l.line as tag, min(cost + l.time + case when tag = 'fresh' or tag = l.line then 0 when tag = 'walked' then 180 else 180 + transfer_time end) as cost
-      from state{_k - 1} s join stations x on x.key = s.node join tlegs l on l.f = s.node group by all"""
-    BLOCKS[f"state{_k}"] = f"""select origin, node, tag, min(cost) as cost from (select * from state{_k - 1} union all select * from board{_k} union all select origin, w.t, 'walked', cost + w.time from board{_k} join walk_closed w on w.f = node) group by all"""
+for _k in range(1, ROUNDS + 1):
+    BLOCKS[f"state{_k}"] = f"""select origin, node, tag, min(weight) as weight from (select * from state{_k - 1} union all
+      select s.origin, l.t, {_UP}, {_WEIGHT} from state{_k - 1} s join stations x on x.key = s.node join rlegs l on l.f = s.node) group by all"""
+    BLOCKS[f"label{_k}"] = f"""select * from (select * from (select * from label{_k - 1} union all select s.origin, l.t as node, {_UP} as tag, {_WEIGHT} as weight,
+        case when s.name = '' then '' else s.name || ';' end || coalesce(l.line, '') || '>' || l.t as name, case when l.line is null then s.lines when s.lines = '' then l.line else s.lines || chr(10) || l.line end as lines,
+        case when l.line is null then s.spans when l.j > l.i then list_append(s.spans, {{'line': l.line, 'lo': l.lo, 'hi': l.hi}}) else list_concat(s.spans, [{{'line': l.line, 'lo': l.lo, 'hi': l.total}}, {{'line': l.line, 'lo': cast(0 as bigint), 'hi': l.hi}}]) end as spans,
+        list_concat(s.seen, l.nodes) as seen, {_k} as r
+      from label{_k - 1} s join stations x on x.key = s.node join rlegs l on l.f = s.node where s.r = {_k - 1} and not list_has_any(s.seen, l.nodes) and len(list_distinct(l.nodes)) = len(l.nodes) and coalesce(l.line <> s.tag, true))
+      qualify row_number() over (partition by origin, node, tag, lines order by weight, name) = 1) qualify row_number() over (partition by origin, node, tag order by weight, name) <= {LISTED}"""
+for _k in range(2, 6):
+    BLOCKS[f"taken{_k}"] = f"""select * from taken{_k - 1} union all select p.o_key, p.d_key, min(p.idx), {_k} from pool p join (select o_key, d_key, max(idx) as last from taken{_k - 1} group by all) t on t.o_key = p.o_key and t.d_key = p.d_key and p.idx > last
+      where (p.o_key, p.d_key, p.idx) not in (select n.o_key, n.d_key, n.b from too_near n join taken{_k - 1} q on q.o_key = n.o_key and q.d_key = n.d_key and q.idx = n.a) group by p.o_key, p.d_key"""
 
 
 @base.shared
-def timed(spark, sf):
-    return routes.timed_legs(base.stops(spark, sf), taps.rides(spark, sf).where("period = 'all'"))
+def ways(spark, sf):
+    """Rides and walks of the network."""
+    known, first = base.known(spark, sf), taps.walks(spark, sf).select("f", "t", "time")
+    walks = first.unionByName(network.shared_id_edges(known, taps.walks(spark, sf)).select("f", "t", "time"))
+    return routes.route_legs(base.stops(spark, sf), taps.rides(spark, sf).where("period = 'all'"), walks)
 
 
 @base.shared
-def pool(spark, sf):
-    od = transfer.top_od(base.matched(spark, sf)).select("o_key", "d_key")
-    return routes.two_ride_pool(od, timed(spark, sf), base.known(spark, sf))
-
-
-def best_routes(spark, sf):
-    order = F.struct(F.round("cost", 6), F.array_join("lines", ","))
-    return pool(spark, sf).groupBy("o_key", "d_key").agg(F.min_by(F.struct("lines", "station", "ivt", "cost"), order).alias("b")).select("o_key", "d_key", "b.*")
+def route_pool(spark, sf):
+    """Candidates for all pairs of the demand."""
+    od = demand_operators.od_pairs(demand.trips(spark, sf)).select(F.col("origin").alias("o_key"), F.col("destination").alias("d_key"))
+    return routes.candidates(od, ways(spark, sf), base.known(spark, sf), base.cut, keep=LISTED)
 
 
 @base.shared
 def single_od(spark, sf):
-    found = best_routes(spark, sf).withColumns({"boardings": F.size("lines"), "walks": F.lit(0)})
-    return transfer.single_transfer_od(found).select("o_key", "d_key", F.col("lines")[0].alias("line1"), F.col("lines")[1].alias("line2"), "station", "ivt")
+    od = transfer.top_od(base.matched(spark, sf)).select("o_key", "d_key")
+    return transfer.single_transfer_od(routes.shortest(od, ways(spark, sf), base.known(spark, sf), base.cut))
 
 
 @base.shared
@@ -111,17 +123,18 @@ def transfer_profile(spark, sf):
 # ---- routes
 
 
-@query("route_shortest", "select origin, node, round(cast(min(cost) as double), 6) as cost from state3 group by all")
+@query("route_shortest", f"select origin, node, {_COST.format('w')} as cost, cast(w % 1000000 // 10000 as int) as boardings, cast(w % 10000 // 100 as int) as walks from (select origin, node, min(weight) as w from state{ROUNDS} where origin like 'subway:%' group by all)")
 def route_shortest(spark, sf):
     known = base.known(spark, sf)
-    first = taps.walks(spark, sf).select("f", "t", "time")
-    walks = routes.walk_closure(first.unionByName(network.shared_id_edges(known, taps.walks(spark, sf)).select("f", "t", "time")), cut)
-    return rounded(routes.shortest(known.where("mode = 'subway'"), timed(spark, sf), walks, known, cut).select("origin", "node", "cost"))
+    states = routes.search(known.where("mode = 'subway'"), ways(spark, sf), known, base.cut)
+    return states.groupBy("origin", "node").agg(F.min("weight").alias("w")).select("origin", "node", *[c.alias(name) for name, c in routes.parts_of(F.col("w")).items()])
 
 
-@query("route_candidates")
+@query("route_candidates", f"select p.o_key, p.d_key, cast(t.rnk as int) as rnk, p.name, replace(p.lines, chr(10), ',') as lines, {_COST.format('p.weight')} as cost, cast(p.weight % 1000000 // 10000 as int) as boardings, cast(p.weight % 10000 // 100 as int) as walks from taken5 t join pool p on p.o_key = t.o_key and p.d_key = t.d_key and p.idx = t.idx")
 def route_candidates(spark, sf):
-    return rounded(routes.candidates(pool(spark, sf)))
+    found = route_pool(spark, sf)
+    parts = [c.alias(name) for name, c in routes.parts_of(F.col("weight")).items()]
+    return found.select("o_key", "d_key", "rnk", routes.named(F.col("path")).alias("name"), F.array_join(routes.lines_of(F.col("path")), ",").alias("lines"), *parts)
 
 
 _EDGES = """select l_orderkey as od, cast(l_linenumber as int) as seq, case when min(l_partkey) % 5 = 0 then null else concat('L', cast(min(l_suppkey) % 3 as string)) end as line,
@@ -147,9 +160,13 @@ def route_overlap(spark, sf):
     return rounded(routes.overlap(a, a.where("seq % 2 = 1")))
 
 
-@query("route_perceived_cost", "select od, round(sum(time + case when line is not null and before is not null and (line <> before or on_foot) then 180 else 0 end), 6) as cost from marked_edges group by od")
+@query("route_perceived_cost", """select od, round(sum(time + case when line is not null and before is not null and (line <> before or on_foot) then 180 + case when on_foot then 0 else 60 + 10 * length(f) + cast(f like 'bus%' as int) * 25 end else 0 end), 6) as cost
+  from marked_edges group by od""")
 def route_perceived_cost(spark, sf):
-    return rounded(routes.perceived_cost(route_edges(spark, sf)))
+    edges = route_edges(spark, sf)
+    at = F.col("key")
+    times = edges.select(F.col("f").alias("key")).distinct().withColumn("transfer_time", 60.0 + 10 * F.length(at) + F.when(at.like("bus%"), 25.0).otherwise(0.0))
+    return rounded(routes.perceived_cost(edges, times))
 
 
 @query("route_attributes", """select od, sum(case when line is not null then time else 0 end) as in_vehicle_time, sum(case when line is null then time else 0 end) as walk_time, cast(sum(cast(boards as int)) as bigint) as boardings,
@@ -164,11 +181,12 @@ def route_attributes(spark, sf):
     return out.withColumns({c: F.when(F.col("boardings") > 0, F.array_join(c, ",")) for c in ("lines", "boarding_nodes")})
 
 
-@query("route_cache_merge", f"""select o_key, d_key, array_to_string(lines, ',') as lines from pool
-  union all select distinct o_key, d_key, cast(null as varchar) from matched m where {_TRANSFERRING} and not exists (from pool p where p.o_key = m.o_key and p.d_key = m.d_key)""")
+@query("route_cache_merge", """select o_key, d_key, cast(p.idx as int) as rnk, lines from (select o_key, d_key, cast(t.rnk as int) as idx, replace(lines, chr(10), ',') as lines from taken5 t join pool p using (o_key, d_key, idx)) p
+  union all select o_key, d_key, cast(null as int), cast(null as varchar) from asked_od where (o_key, d_key) not in (select o_key, d_key from pool)""")
 def route_cache_merge(spark, sf):
-    every = pool(spark, sf).select("o_key", "d_key", F.array_join("lines", ",").alias("lines"))
-    return routes.merge_cache(every.where(F.crc32("o_key") % 2 == 0), every, base.matched(spark, sf).where(_TRANSFERRING))
+    every = route_pool(spark, sf).select("o_key", "d_key", "rnk", F.array_join(routes.lines_of(F.col("path")), ",").alias("lines"))
+    od = demand_operators.od_pairs(demand.trips(spark, sf)).select(F.col("origin").alias("o_key"), F.col("destination").alias("d_key"))
+    return routes.merge_cache(every.where(F.crc32("o_key") % 2 == 0), every, od)
 
 
 # ---- timetable
@@ -210,15 +228,23 @@ def timetable_next_vehicle(spark, sf):
 # ---- streams, readers and writers
 
 
-@query("stream_demand_buckets", """select start, mode, count(*) as trips from (select time_bucket(interval '1 hour', ts) as start, event_type as mode from events)
-  where start + interval '1 hour' <= (select max(ts) from events) - interval '1 hour' group by start, mode""")
+@query("stream_demand_buckets", """select * from (with e as (select ts, event_type as mode, event_id % 41 = 0 as late, time_bucket(interval '10 seconds', ts) as start from events),
+  bounds as (select min(ts) as a, max(ts) as b from events), p as (select e.*, case when ts < a + (b - a) / 3 then 1 when ts < a + (b - a) / 3 * 2 then 2 else 3 end as part from e, bounds),
+  marks as (select max(ts) filter (part < 3 and not (late and part = 1)) - interval '1 hour' as second, max(ts) - interval '1 hour' as last from p)
+  select start, mode, count(*) as trips from p, marks where not (late and part = 1 and start + interval '10 seconds' <= second) and start + interval '10 seconds' <= last group by start, mode)""")
 def stream_demand_buckets(spark, sf):
-    events, folder = fixtures.given(spark, sf, "events").select("ts", "event_type"), base.folder(spark)
-    events.write.parquet(folder)  # a stream reads a folder
-    rows = spark.readStream.schema(events.schema).parquet(folder)
-    rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("mode"))
-    out = base.folder(spark)
-    streams.run_available(streams.stream_buckets(rows, step="1 hour"), out, f"{out}-checkpoint")
+    """Events arrive in three batches, with a restart from the checkpoint after each; some of the first third come with the last one, too late."""
+    events = fixtures.given(spark, sf, "events").select("ts", "event_type", "event_id")
+    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    us, third = F.unix_micros(F.col("ts").cast("timestamp")), (high - low) / 3
+    own = F.when(us < low + third, 1).when(us < low + 2 * third, 2).otherwise(3)
+    parts = events.withColumn("part", F.when((own == 1) & (F.col("event_id") % 41 == 0), 3).otherwise(own))
+    folder, out = base.folder(spark), base.folder(spark)
+    for k in (1, 2, 3):
+        parts.where(F.col("part") == k).drop("part").write.mode("append").parquet(folder)  # a stream reads a folder
+        rows = spark.readStream.schema(events.schema).parquet(folder)
+        rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("mode"))
+        streams.run_available(streams.stream_buckets(rows), out, f"{out}-checkpoint")
     return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -229,7 +255,7 @@ def stream_demand_buckets(spark, sf):
   having max(ts) + interval 90 second <= (select max(ts) from source) - interval 1 hour)""")
 def stream_tap_clusters(spark, sf):
     taps_in = base.matched(spark, sf).where("mode = 'bus' and route_name is not null").select("route_name", "o_key", F.timestamp_seconds(F.col("dep_s") + 1557705600).alias("ts"))
-    source = cut(taps_in)
+    source = base.cut(taps_in)
     folder, out = base.folder(spark), base.folder(spark)
     source.write.parquet(folder)
     rows = spark.readStream.schema(taps_in.schema).parquet(folder)
@@ -274,17 +300,22 @@ def read_demand(spark, sf):
     return tables.read_demand(spark, path, "departs").select("pid", "time", "origin_id")
 
 
-@query("read_network", "select edge_type, count(*) as n, round(sum(distance), 6) as metres from fx_edges group by edge_type")
+@query("read_network", """select n.node_type, count(*) as stops, cast(sum(cast(n.node_id = e.first_from as int)) as bigint) as first, max(e.metres) as metres
+  from fx_nodes n cross join (select arg_min(from_id, seq) as first_from, round(sum(distance), 6) as metres from fx_edges) e group by n.node_type""")
 def read_network(spark, sf):
     nodes, edges = base.folder(spark), base.folder(spark)
     tables.write_table(fixtures.load(spark, sf, "fx_nodes"), nodes, fmt="csv")
-    tables.write_table(base.edges(spark, sf), edges, fmt="csv")
-    return rounded(tables.read_network(spark, nodes, edges)[1].groupBy("edge_type").agg(F.count("*").alias("n"), F.sum("distance").alias("metres")))
+    # the order of edges is that of the files' names and rows: seq itself isn't written
+    tables.write_table(base.edges(spark, sf).repartitionByRange(3, "seq").sortWithinPartitions("seq").drop("seq"), edges, fmt="csv")
+    n, e = tables.read_network(spark, nodes, edges)
+    one = e.agg(F.min_by("from_id", "seq").alias("first_from"), F.sum("distance").alias("metres"))
+    joined = n.crossJoin(F.broadcast(one))  # one row
+    return rounded(joined.groupBy("node_type").agg(F.count("*").alias("stops"), F.sum((F.col("node_id") == F.col("first_from")).cast("int")).alias("first"), F.max("metres").alias("metres")))
 
 
 @query("read_calibration_tables", "select scope, key, hour, headway_s from headways")
 def read_calibration_tables(spark, sf):
     path = base.folder(spark)
-    rows = fixtures.load(spark, sf, "headways_table").orderBy("seq").select("scope", "key", "hour", "headway_s", F.lit(1).alias("n_obs"), F.lit("given").alias("method")).coalesce(1)
-    tables.write_table(rows, path, fmt="csv")
+    rows = fixtures.load(spark, sf, "headways_table").repartitionByRange(3, "seq").sortWithinPartitions("seq")
+    tables.write_table(rows.select("scope", "key", "hour", "headway_s", F.lit(1).alias("n_obs"), F.lit("given").alias("method")), path, fmt="csv")
     return tables.read_headways(spark, path).select("scope", "key", "hour", "headway_s")
