@@ -146,6 +146,9 @@ def label_lists(origins: DataFrame, legs: DataFrame, stations: DataFrame, cut: C
     simple = legs.where(F.size(F.array_distinct("nodes")) == F.size("nodes"))
     while True:
         tried = _stepped(lists.where("new"), simple, stations, penalty_s).where("not arrays_overlap(seen, nodes) and not (leg.line is not null and leg.line = tag)")
+        # what is dearer than all of a full list can't come into it
+        full = lists.groupBy("origin", F.col("node").alias("to"), F.col("tag").alias("to_tag")).agg(F.max("weight").alias("_worst"), F.count("*").alias("_n")).where(F.col("_n") >= keep).drop("_n")
+        tried = tried.join(full, ["origin", "to", "to_tag"], "left").where("_worst is null or to_weight <= _worst")
         path = F.concat("path", F.array("leg"))
         added = tried.select("origin", F.col("to").alias("node"), F.col("to_tag").alias("tag"), F.col("to_weight").alias("weight"), F.concat_ws(";", F.when(F.col("name") != "", F.col("name")), F.concat_ws(">", F.coalesce("leg.line", F.lit("")), "leg.t")).alias("name"), path.alias("path"), F.concat("seen", "nodes").alias("seen"), F.lit(True).alias("new"))
         both = lists.withColumn("new", F.lit(False)).unionByName(added).withColumn("lines", F.array_join(lines_of(F.col("path")), "\n"))

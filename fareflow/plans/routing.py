@@ -15,7 +15,8 @@ from fareflow.streaming import streams
 
 
 _TRANSFERRING = "mode = 'subway' and not same_line and o_key is not null and d_key is not null and tt_adj_s > 120 and tt_adj_s < 7200"
-ROUNDS, LISTED = 9, 5
+#: Rounds of the SQL, more than any route there has legs; routes of a label list.
+ROUNDS, LISTED = 13, 5
 _UP = "case when l.line is not null then l.line when s.tag = '' then '' else '*' end"
 _WEIGHT = """s.weight + (l.ms + case when l.line is null or s.tag = l.line or s.tag = '' then 0 when s.tag = '*' then 180000 else 180000 + cast(round(x.transfer_time * 1000) as bigint) end) * 1000000
   + 1 + case when l.line is null then 100 when s.tag = l.line then 0 else 10000 end"""
