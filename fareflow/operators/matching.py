@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fareflow.functions.columns import haversine_m, line_core_key, line_variant_key, station_name
 from fareflow.operators.network import first_stops, legs
+from fareflow.operators.quantiles import quantile_columns
 
 OUT = ["o_key", "d_key", "route_name", "o_idx", "d_idx", "route_dist_m", "n_intermediate", "match"]
 
@@ -36,8 +37,9 @@ def subway_pairs(taps: DataFrame, known: DataFrame, stops: DataFrame, rides: Dat
 
 def bus_groups(taps: DataFrame) -> DataFrame:
     """Each bus line and pair of stop names with the median place of both ends."""
-    middle = [F.percentile(c, F.lit(0.5)).alias(c) for c in ("o_lon", "o_lat", "d_lon", "d_lat")]
-    return taps.where("mode = 'bus'").groupBy("line_raw", "o_name", "d_name").agg(*middle)
+    # taps without a name or a place were left out in cleaning, so each group has a row; bins of some 50 metres
+    wanted = {c: {0.5: c} for c in ("o_lon", "o_lat", "d_lon", "d_lat")}
+    return quantile_columns(taps.where("mode = 'bus'"), ["line_raw", "o_name", "d_name"], wanted, width=0.0005)
 
 
 def bus_candidates(groups: DataFrame, stops: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fareflow.operators.quantiles import quantile_columns
 
 #: Columns of a trip record that come with the events, by type; where events lack one, it is zero (times and counts) or null.
 GIVEN = {
@@ -37,24 +38,25 @@ def main_mode(edge_modes: Column) -> Column:
     return F.when((n("subway") >= n("bus")) & (n("subway") > 0), "Subway").when(n("bus") > 0, "Bus").otherwise("Walk")
 
 
-def _minutes(c: str, name: str) -> list[Column]:
-    x = F.when(F.col("status") == "arrived", F.col(c) / 60)
-    return [F.avg(x).alias(f"{name}_mean"), F.percentile(x, F.lit(0.5)).alias(f"{name}_median"), F.percentile(x, F.lit(0.9)).alias(f"{name}_p90")]
+TIMES = {"total_time": "total", "wait_time": "wait", "walk_time": "walk", "in_vehicle_time": "ivt"}
 
 
 def summary(trips: DataFrame) -> DataFrame:
     """One row: counts by status and minutes of arrived trips."""
     of = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
-    times = [x for c, n in (("total_time", "total"), ("wait_time", "wait"), ("walk_time", "walk"), ("in_vehicle_time", "ivt")) for x in _minutes(c, n)]
+    minutes = trips.select("status", "num_transfers", *[F.when(F.col("status") == "arrived", F.col(c) / 60).alias(n) for c, n in TIMES.items()])
     transfers = F.avg(F.when(F.col("status") == "arrived", F.col("num_transfers"))).alias("mean_transfers")
-    out = trips.agg(F.count("*").alias("n"), of("arrived"), of("timeout_exit"), of("unfinished"), *times, transfers)
-    return out.withColumn("completion_rate", F.col("arrived") / F.greatest("n", F.lit(1)))
+    out = minutes.agg(F.count("*").alias("n"), of("arrived"), of("timeout_exit"), of("unfinished"), *[F.avg(n).alias(f"{n}_mean") for n in TIMES.values()], transfers)
+    middle = quantile_columns(minutes, [], {n: {0.5: f"{n}_median", 0.9: f"{n}_p90"} for n in TIMES.values()})
+    # one row each
+    return out.crossJoin(middle).withColumn("completion_rate", F.col("arrived") / F.greatest("n", F.lit(1)))
 
 
 def by_main_mode(trips: DataFrame) -> DataFrame:
-    return trips.where("status = 'arrived'").groupBy("main_mode").agg(
-        F.count("*").alias("n"), F.avg(F.col("total_time") / 60).alias("total_mean"), F.percentile(F.col("total_time") / 60, F.lit(0.5)).alias("total_median"),
-        F.avg(F.col("in_vehicle_time") / 60).alias("ivt_mean"), F.avg(F.col("wait_time") / 60).alias("wait_mean"), F.avg("num_transfers").alias("mean_transfers"))
+    arrived = trips.where("status = 'arrived'").select("main_mode", "num_transfers", *[(F.col(c) / 60).alias(n) for c, n in TIMES.items()])
+    out = arrived.groupBy("main_mode").agg(F.count("*").alias("n"), F.avg("total").alias("total_mean"), F.avg("ivt").alias("ivt_mean"), F.avg("wait").alias("wait_mean"), F.avg("num_transfers").alias("mean_transfers"))
+    middle = quantile_columns(arrived, ["main_mode"], {"total": {0.5: "total_median"}}).withColumnRenamed("main_mode", "_m")
+    return out.join(middle, F.col("main_mode").eqNullSafe(F.col("_m")), "left").drop("_m")
 
 
 def vs_observed(trips: DataFrame) -> DataFrame:

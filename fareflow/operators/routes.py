@@ -257,3 +257,26 @@ def cache_counts(merged: DataFrame) -> DataFrame:
     """One row: the pairs in the cache, and how many of them have no route."""
     pairs = merged.groupBy("o_key", "d_key").agg(F.max(F.col("lines").isNotNull()).alias("has"))
     return pairs.agg(F.count("*").alias("pairs"), F.count(F.when(~F.col("has"), 1)).alias("without_route"))
+
+
+def update_cache(path: str, new: DataFrame, asked: DataFrame, slices: int = 64) -> DataFrame:
+    """Merges routes of new pairs into the cache at a path, and returns the whole cache, with `slice`, as it is there then.
+
+    The cache is Parquet in `slices` folders by a hash of the pair. Only folders with new pairs are written again; stored pairs stay as they
+    are, and asked pairs (o_key, d_key) without a route get one row of nulls.
+    """
+    spark = new.sparkSession
+    at = F.pmod(F.xxhash64("o_key", "d_key"), F.lit(slices)).cast("int").alias("slice")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        old = spark.read.parquet(path)
+        known = old.select("o_key", "d_key").distinct()
+        fresh = new.join(known, ["o_key", "d_key"], "left_anti")
+        added = merge_cache(fresh.limit(0), fresh, asked.join(known, ["o_key", "d_key"], "left_anti")).select("*", at)
+        touched = added.select("slice").distinct()
+        rows = old.join(touched, "slice", "left_semi").unionByName(added)
+    else:
+        rows = merge_cache(new.limit(0), new, asked).select("*", at)
+    # a slice's rows go to one task each, so a folder has one file
+    rows.repartition("slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice").parquet(path)
+    return spark.read.parquet(path)

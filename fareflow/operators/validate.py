@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fareflow.operators.quantiles import quantile_columns
+
 
 def comparable(trips: DataFrame) -> DataFrame:
     """Arrived trips with an observation: sim_min and obs_min. Bus cards are read on board, so the first wait doesn't count."""
@@ -21,13 +23,16 @@ def _with_all(cmp: DataFrame, *columns: str) -> DataFrame:
 
 
 def stats(cmp: DataFrame, min_n: int = 10) -> DataFrame:
+    """Errors, means and quantiles in minutes by mode and of all; a group of trips without a mode keeps its null."""
     error = F.col("sim_min") - F.col("obs_min")
     aggregates = [F.count("*").alias("n"), F.avg(error).alias("mean_error"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.corr("sim_min", "obs_min").alias("corr")]
-    for c in ("sim", "obs"):
-        aggregates += [F.avg(f"{c}_min").alias(f"{c}_mean"), F.percentile(f"{c}_min", F.lit(0.5)).alias(f"{c}_median"), F.percentile(f"{c}_min", F.lit(0.9)).alias(f"{c}_p90")]
-    rolled = cmp.rollup("origin_mode").agg(*aggregates, F.grouping("origin_mode").alias("_all")).where(F.col("n") >= min_n)
-    # a group of trips without a mode keeps its null
-    return rolled.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("origin_mode")).alias("grp"), *[c for c in rolled.columns if c not in ("origin_mode", "_all")])
+    rolled = cmp.rollup("origin_mode").agg(*aggregates, *[F.avg(f"{c}_min").alias(f"{c}_mean") for c in ("sim", "obs")], F.grouping("origin_mode").alias("_all")).where(F.col("n") >= min_n)
+    both = F.explode(F.array(F.struct(F.lit(1).alias("_whole"), F.lit(None).cast("string").alias("_mode")), F.struct(F.lit(0).alias("_whole"), F.col("origin_mode").alias("_mode")))).alias("g")
+    rows = cmp.select(both, "sim_min", "obs_min").select("g.*", "sim_min", "obs_min")
+    middle = quantile_columns(rows, ["_whole", "_mode"], {f"{c}_min": {0.5: f"{c}_median", 0.9: f"{c}_p90"} for c in ("sim", "obs")})
+    joined = rolled.join(middle, (F.col("_all") == F.col("_whole")) & F.col("origin_mode").eqNullSafe(F.col("_mode")), "left")
+    named = F.when(F.col("_all") == 1, "all").otherwise(F.col("origin_mode")).alias("grp")
+    return joined.select(named, *[c for c in joined.columns if c not in ("origin_mode", "_all", "_whole", "_mode")])
 
 
 def distributions(cmp: DataFrame) -> DataFrame:

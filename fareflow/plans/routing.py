@@ -182,12 +182,17 @@ def route_attributes(spark, sf):
     return out.withColumns({c: F.when(F.col("boardings") > 0, F.array_join(c, ",")) for c in ("lines", "boarding_nodes")})
 
 
-@query("route_cache_merge", """select o_key, d_key, cast(p.idx as int) as rnk, lines from (select o_key, d_key, cast(t.rnk as int) as idx, replace(lines, chr(10), ',') as lines from taken5 t join pool p using (o_key, d_key, idx)) p
-  union all select o_key, d_key, cast(null as int), cast(null as varchar) from asked_od where (o_key, d_key) not in (select o_key, d_key from pool)""")
+@query("route_cache_merge", """select o_key, d_key, rnk, lines, (select count(*) from asked_od) as pairs, (select count(*) from asked_od where (o_key, d_key) not in (select o_key, d_key from pool)) as without_route from (
+  select o_key, d_key, cast(t.rnk as int) as rnk, replace(lines, chr(10), ',') as lines from taken5 t join pool p using (o_key, d_key, idx)
+  union all select o_key, d_key, cast(null as int), cast(null as varchar) from asked_od where (o_key, d_key) not in (select o_key, d_key from pool))""")
 def route_cache_merge(spark, sf):
+    """The pairs of one half of the origins are stored first, then all pairs are asked for."""
     every = route_pool(spark, sf).select("o_key", "d_key", "rnk", F.array_join(routes.lines_of(F.col("path")), ",").alias("lines"))
     od = demand_operators.od_pairs(demand.trips(spark, sf)).select(F.col("origin").alias("o_key"), F.col("destination").alias("d_key"))
-    return routes.merge_cache(every.where(F.crc32("o_key") % 2 == 0), every, od)
+    path, half = base.folder(spark), F.crc32("o_key") % 2 == 0
+    routes.update_cache(path, every.where(half), od.where(half))
+    merged = routes.update_cache(path, every, od)
+    return merged.drop("slice").crossJoin(F.broadcast(routes.cache_counts(merged)))  # one row
 
 
 # ---- timetable

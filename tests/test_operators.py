@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fareflow.functions import columns as C
 from fareflow.operators import choice, demand, headway, metrics, network, prune, speed, timetable, validate
-from fareflow.operators.quantiles import quantiles
+from fareflow.operators.quantiles import quantile_columns, quantiles
 
 
 def value(spark, column, **inputs):
@@ -117,6 +117,19 @@ def test_quantiles_are_percentiles(spark):
     assert quantiles(frame.limit(0), [], "v", shares).count() == 0
 
 
+def test_quantiles_of_several_columns(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a" if k % 3 else None, float(rng.normal(0, 9)), None if k % 5 == 0 else float(rng.integers(0, 4)), None if k % 3 else 1.0) for k in range(700)]
+    frame = spark.createDataFrame(rows, "k string, x double, y double, z double")
+    wanted = {"x": {0.5: "mid", 0.9: "high"}, "y": {0.5: "y"}, "z": {0.1: "low"}}
+    for keys in (["k"], []):
+        got = {r["k"] if keys else "": r for r in quantile_columns(frame, keys, wanted, width=0.3).collect()}
+        for r in frame.groupBy(*keys).agg(F.percentile("x", F.array(F.lit(0.5), F.lit(0.9))).alias("x"), F.percentile("y", F.lit(0.5)).alias("y"), F.percentile("z", F.lit(0.1)).alias("z")).collect():
+            own = got[r["k"] if keys else ""]
+            assert np.allclose([own["mid"], own["high"], own["y"]], [*r["x"], r["y"]]) and own["low"] == r["z"]
+    assert quantile_columns(frame.limit(0), ["k"], wanted).count() == 0
+
+
 def test_standard_errors(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows, given = [], {"bus": (40.0, 30.0, 0.0, 0.15), "subway": (35.0, 0.0, 250.0, 0.09)}

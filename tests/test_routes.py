@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import pathlib
 import random
 import uuid
 
@@ -235,3 +236,26 @@ def test_no_pairs_and_unknown_stops(spark, cut):
     pairs = spark.createDataFrame([("subway:0", "nowhere"), ("nowhere", "subway:1"), ("subway:0", "subway:0")], "o_key string, d_key string")
     assert routes.candidates(pairs, cut(legs), stations, cut).count() == 0
     assert routes.shortest(pairs.limit(0), legs, stations, cut).count() == 0
+
+
+def test_a_merge_writes_only_folders_with_new_pairs(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    route = lambda pairs: spark.createDataFrame([(o, d, 1, "A") for o, d in pairs], "o_key string, d_key string, rnk int, lines string")
+    asked = lambda pairs: spark.createDataFrame(pairs, "o_key string, d_key string")
+    first = [(f"o{k}", f"d{k}") for k in range(300)]
+    routes.update_cache(path, route(first), asked([*first, ("o", "nowhere")]), slices=16)
+    files = lambda: {p.parent.name: (p.name, p.stat().st_mtime_ns) for p in pathlib.Path(path).rglob("*.parquet")}
+    before = files()
+    assert len(before) == 16
+    # a stored pair with another route stays, a new one comes, one is asked again
+    spare = spark.createDataFrame([("o1", "d1", 7, "other"), ("x", "y", 1, "B")], "o_key string, d_key string, rnk int, lines string")
+    merged = routes.update_cache(path, spare, asked([("x", "y"), ("o", "nowhere"), ("o2", "d2")]), slices=16)
+    rows = {(r["o_key"], r["d_key"]): (r["rnk"], r["lines"]) for r in merged.collect()}
+    assert rows == {**dict.fromkeys(first, (1, "A")), ("o", "nowhere"): (None, None), ("x", "y"): (1, "B")} and merged.count() == 302
+    changed = {k for k, v in files().items() if before.get(k) != v}
+    assert len(changed) == 1
+    assert tuple(routes.cache_counts(merged).first()) == (302, 1)
+    # nothing new: nothing is written
+    after = files()
+    routes.update_cache(path, spare, asked([("x", "y")]), slices=16)
+    assert files() == after
