@@ -9,8 +9,12 @@ below the threshold is left out. The others are compared in blocks of dimensions
 first: a pair of vectors is given up as soon as the sum so far plus the product of both suffix norms
 can't reach the threshold. Pairs within rounding of the threshold are decided in the original axes.
 
-A pair of tiles returns, per vector, how many vectors it links to, and one link per vector of each
-local component, never all pairs.
+Neighbouring tiles of a label form a group, and a task compares two groups, so each tile is sent to as many tasks as its label
+has groups: `GROUPS`, or more where a group would have over `MOST` tiles. A pair of groups whose bound is below the
+threshold isn't sent. A task returns, per vector, how many vectors it links to, and one link per vector of each local
+component, never all pairs.
+
+Turning is for speed alone: vectors of over `LONGEST` components, or of other than the `LENGTHS` most frequent lengths, stay in their own axes.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component, and rows without label or
 vec_id, link with nothing. Rows that share a vec_id count as one node of the links.
@@ -23,6 +27,7 @@ import pyarrow as pa
 from collections.abc import Iterator
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +36,10 @@ from fareflow.llm.common import components, written
 THRESHOLD = 0.93
 #: Vectors and bytes in a tile at most; dimensions in a block; leading coordinates that bound a tile.
 TILE, TILE_BYTES, BLOCK, LEAD = 2048, 1 << 20, 16, 4
-#: Tasks that share the search for a label's pairs of tiles.
-SALTS = 16
+#: Groups of a label's tiles at least, if it has as many tiles; tiles in a group at most.
+GROUPS, MOST = 6, 32
+#: Vectors' lengths that are turned: how many, and up to which.
+LENGTHS, LONGEST = 16, 1024
 #: More than the rounding error of a sum of products of unit vectors.
 SLACK = 1e-9
 
@@ -66,8 +73,10 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """By vector length, the eigenvectors of the second moments of all rows, the largest first."""
-    sums = vectors.select("v", "d").mapInArrow(_moments, "d int, k long, m double").groupBy("d", "k").agg(F.sum("m").alias("m"))
+    """By vector length, the eigenvectors of the second moments of all rows, the largest first; for the lengths that are turned."""
+    often = vectors.where(F.col("d") <= LONGEST).groupBy("d").count().orderBy(F.desc("count"), "d").limit(LENGTHS)
+    lengths = [r["d"] for r in often.collect()]
+    sums = vectors.where(F.col("d").isin(lengths)).select("v", "d").mapInArrow(_moments, "d int, k long, m double").groupBy("d", "k").agg(F.sum("m").alias("m"))
     by: dict[int, np.ndarray] = {}
     for r in sums.toPandas().itertuples():  # the square of the vector length, whatever the rows
         by.setdefault(r.d, np.zeros(r.d * r.d))[r.k] = r.m
@@ -89,7 +98,8 @@ def _tiles(rows: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
         out = np.zeros(len(vectors))
         sizes = np.array([len(x) for x in vectors])
         for d in np.unique(sizes).tolist():
-            out[sizes == d] = _unit(_matrix(vectors.filter(pa.array(sizes == d)), d)) @ axes[d][:, 0]
+            x = _unit(_matrix(vectors.filter(pa.array(sizes == d)), d))
+            out[sizes == d] = x @ axes[d][:, 0] if d in axes else x[:, 0]
         return pa.array(out)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +109,7 @@ def _tiles(rows: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
             nonlocal n_tiles
             label, d = group
             x = _unit(_matrix(table["v"].combine_chunks(), d))
-            turned = x @ axes[d]
+            turned = x @ axes[d] if d in axes else x
             lead = np.zeros((len(x), LEAD))
             lead[:, : min(d, LEAD)] = turned[:, :LEAD]
             n_tiles += 1
@@ -130,10 +140,10 @@ def _tiles(rows: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
     return ordered.select("label", "d", "vec_id", "n", "v").mapInArrow(cut, _TILES)
 
 
-def compared(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> np.ndarray:
+def compared(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: float) -> np.ndarray:
     """True where the cosine of a's and b's unit rows reaches the threshold."""
     d = a.shape[1]
-    p, q = a @ axes, b @ axes
+    p, q = (a, b) if axes is None else (a @ axes, b @ axes)
     p2, q2 = ((x * x)[:, ::-1].cumsum(axis=1)[:, ::-1] for x in (p, q))  # squared suffix norms
     total = np.zeros((len(a), len(b)))
     i = j = None
@@ -165,11 +175,10 @@ def compared(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -
     return out
 
 
-def _local_stars(hits: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each id that has a hit, the least id of its component among these two tiles."""
-    ids, place = np.unique(np.r_[ids_a, ids_b], return_inverse=True)
-    i, j = np.nonzero(hits)
-    i, j = place[i], place[len(ids_a) + j]
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each id of these links, the least id of its component among them; ids that are the least have no row."""
+    ids, place = np.unique(np.r_[u, v], return_inverse=True)
+    i, j = place[: len(u)], place[len(u) :]
     label = np.arange(len(ids))
     while True:
         low = np.minimum(label[i], label[j])
@@ -184,26 +193,78 @@ def _local_stars(hits: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tupl
     return ids[far], ids[label[far]]
 
 
-_FOUND = "struct<ids: array<long>, links: array<long>, u: array<long>, v: array<long>>"
+#: Rows of a task's result: a vector with its links here, or a link to the least vector of its component.
+_FOUND = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("links", T.LongType())])
+
+
+def _bound(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """The largest cosine that vectors of two boxes can have, for each pair."""
+    out = a["rest"][:, None] * b["rest"][None]
+    for k in range(LEAD):
+        out = out + np.max([a[f"{s}{k}"][:, None] * b[f"{t}{k}"][None] for s in ("lo", "hi") for t in ("lo", "hi")], axis=0)
+    return out
 
 
 def _pair_links(axes: dict[int, np.ndarray], threshold: float):
-    # Not an Arrow function: a row is two whole tiles of TILE_BYTES at most, and these come in batches of a hundred rows at most.
-    @F.udf(_FOUND)
-    def found(d, same, ids_a, counts_a, body_a, ids_b, counts_b, body_b):
-        x, y = (np.frombuffer(b, "<f8").reshape(-1, d) for b in (body_a, body_b))
-        ids_a, counts_a, ids_b, counts_b = (np.frombuffer(b, "<i8") for b in (ids_a, counts_a, ids_b, counts_b))
-        hits = compared(x, y, axes[d], threshold)
-        if same:
-            np.fill_diagonal(hits, False)
-        links_a, links_b = hits @ counts_b, np.zeros(0, np.int64) if same else counts_a @ hits
-        ids, links = np.r_[ids_a, ids_b[: len(links_b)]], np.r_[links_a, links_b]
-        u, v = _local_stars(hits, ids_a, ids_b)
-        return ids[links > 0].tolist(), links[links > 0].tolist(), u.tolist(), v.tolist()
+    def found(table: pa.Table) -> pa.Table:
+        d, left, right = (table[c][0].as_py() for c in ("d", "left", "right"))
+        table = table.sort_by("tile")
+        group = table["group"].to_numpy()
+        own = axes.get(d)
+        boxes = {c: table[c].to_numpy() for c in ("rest", *(f"{side}{k}" for side in ("lo", "hi") for k in range(LEAD)))}
+        may = _bound(boxes, boxes) >= threshold - SLACK
+        bodies, ids, counts = (table[c].combine_chunks() for c in ("body", "ids", "counts"))
+        read = lambda column, k, kind: np.frombuffer(column[k].as_buffer(), kind)
+        links = [np.zeros(len(read(ids, k, "<i8")), np.int64) for k in range(len(table))]
+        stars: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for x in np.flatnonzero(group == left).tolist():
+            a, ids_a, counts_a = read(bodies, x, "<f8").reshape(-1, d), read(ids, x, "<i8"), read(counts, x, "<i8")
+            for y in np.flatnonzero((group == right) & may[x]).tolist():
+                if left == right and y < x:
+                    continue
+                b, ids_b, counts_b = read(bodies, y, "<f8").reshape(-1, d), read(ids, y, "<i8"), read(counts, y, "<i8")
+                hits = compared(a, b, own, threshold)
+                if x == y:
+                    np.fill_diagonal(hits, False)
+                links[x] += hits @ counts_b
+                if x != y:
+                    links[y] += counts_a @ hits
+                i, j = np.nonzero(hits)
+                stars.append(_stars(ids_a[i], ids_b[j]))
+                held += len(stars[-1][0])
+                if held > 1 << 20:  # one link a vector is enough
+                    stars = [_stars(*(np.concatenate([s[k] for s in stars]) for k in range(2)))]
+                    held = 0
+        u, v = _stars(*(np.concatenate([np.empty(0, np.int64), *(s[k] for s in stars)]) for k in range(2)))
+        all_ids, all_links = np.concatenate([read(ids, k, "<i8") for k in range(len(table))]), np.concatenate(links)
+        linked = all_links > 0
+        n = int(linked.sum())
+        return pa.table([
+            pa.array(np.r_[all_ids[linked], u]), pa.array(np.r_[np.zeros(n, np.int64), v], mask=np.r_[np.ones(n, bool), np.zeros(len(u), bool)]),
+            pa.array(np.r_[all_links[linked], np.zeros(len(u), np.int64)])], ["u", "v", "links"])
 
     return found
 
 
+def _dealt(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tiles' groups, and the pairs of groups with the largest cosine that they can hold."""
+    meta = tiles.drop("ids", "counts", "body")
+    # as many rows as a label has tiles
+    own = W.partitionBy("label", "d")
+    groups = F.greatest(F.least(F.lit(GROUPS), F.col("n")), F.ceil(F.col("n") / MOST))
+    placed = meta.withColumns({"n": F.count("*").over(own), "at": F.row_number().over(own.orderBy("tile")) - 1})
+    placed = placed.select("*", F.floor(F.col("at") * groups / F.col("n")).alias("group"))
+    box = [f(c).alias(c) for k in range(LEAD) for c, f in ((f"lo{k}", F.min), (f"hi{k}", F.max))]
+    boxes = placed.groupBy("label", "d", "group").agg(*box, F.max("rest").alias("rest"))
+    a, b = boxes.alias("a"), boxes.alias("b")
+    bound = F.col("a.rest") * F.col("b.rest")
+    for k in range(LEAD):
+        bound = bound + F.greatest(*[F.col(f"a.{s}{k}") * F.col(f"b.{t}{k}") for s in ("lo", "hi") for t in ("lo", "hi")])
+    return placed, a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.group") <= F.col("b.group"))).select(
+        F.col("a.label").alias("label"), F.col("a.d").alias("d"), F.col("a.group").alias("left"), F.col("b.group").alias("right"), bound.alias("bound"))
+
+
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept (it is its component's smallest id)."""
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
@@ -212,24 +273,14 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     distinct = written(hashed.groupBy("label", "h", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).withColumn("d", F.size("v")), "distinct")
     axes = principal_axes(distinct)
     tiles = written(_tiles(distinct.select("label", "d", "vec_id", "n", "v"), axes), "tiles")
-    meta = tiles.drop("ids", "counts", "body")
-    # a label's pairs are searched in several tasks: one side is dealt out, the other one goes to each
-    a = meta.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(SALTS)).cast("int")).alias("a")
-    b = meta.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("b")
-    bound = F.col("a.rest") * F.col("b.rest")
-    for k in range(LEAD):
-        bound = bound + F.greatest(*[F.col(f"a.{s}{k}") * F.col(f"b.{t}{k}") for s in ("lo", "hi") for t in ("lo", "hi")])
-    same_group = (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.salt") == F.col("b.salt"))
-    pairs = a.join(b, same_group & (F.col("a.tile") <= F.col("b.tile")) & (bound >= threshold - SLACK)).select(F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb"), F.col("a.d").alias("d"))
-    body = ("ids", "counts", "body")
-    left = tiles.select(F.col("tile").alias("ta"), *[F.col(c).alias(f"{c}_a") for c in body])
-    right = tiles.select(F.col("tile").alias("tb"), *[F.col(c).alias(f"{c}_b") for c in body])
-    both = pairs.join(left, "ta").join(right, "tb")
-    arguments = [F.col("d"), F.col("ta") == F.col("tb"), *[F.col(f"{c}_{s}") for s in "ab" for c in body]]
-    found = written(both.select(_pair_links(axes, threshold)(*arguments).alias("f")).select("f.*"), "found")
-    zipped = lambda x, y: found.select(F.explode(F.arrays_zip(x, y)).alias("z")).select("z.*")
-    links = zipped("ids", "links").groupBy(F.col("ids").alias("vec_id")).agg(F.sum("links").alias("links"))
-    parts = components(zipped("u", "v"))
+    placed, pairs = _dealt(tiles)
+    pairs = pairs.where(F.col("bound") >= threshold - SLACK).drop("bound")
+    sides = pairs.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("group"))
+    sent = placed.select("tile", "label", "d", "group").join(sides, ["label", "d", "group"]).select("tile", "group", "left", "right")
+    both = tiles.join(sent, "tile")
+    found = written(both.groupBy("label", "d", "left", "right").applyInArrow(_pair_links(axes, threshold), _FOUND), "found")
+    links = found.where("v is null").groupBy(F.col("u").alias("vec_id")).agg(F.sum("links").alias("links"))
+    parts = components(found.where("v is not null").select("u", "v"))
     by_class = distinct.select("label", "h", "v", "vec_id", "n").join(links, "vec_id", "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     by_class = written(by_class.select("label", "h", F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), "classes")
     linked = hashed.join(by_class, ["label", "h"]).where(F.col("v") == F.col("cv")).select("vec_id", "n_links", "component_id")

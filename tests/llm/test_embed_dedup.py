@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fareflow.llm import embed_dedup, queries
@@ -35,8 +36,10 @@ def test_query_against_all_pairs(spark):
     assert got == plain(rows)
 
 
-def test_small_tiles(spark, monkeypatch):
-    monkeypatch.setattr(embed_dedup, "TILE", 16)
+@pytest.mark.parametrize(("groups", "most", "lengths"), [(6, 32, 16), (3, 2, 0), (1, 100, 16)])
+def test_small_tiles(spark, monkeypatch, groups, most, lengths):
+    for name, value in (("TILE", 16), ("GROUPS", groups), ("MOST", most), ("LENGTHS", lengths)):
+        monkeypatch.setattr(embed_dedup, name, value)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 24))
     rows = [(i, (base[i % 12] + 0.22 * rng.normal(size=24)).tolist(), int(rng.integers(0, 2))) for i in range(300)]
@@ -46,6 +49,25 @@ def test_small_tiles(spark, monkeypatch):
     assert got == plain(rows)
 
 
+@pytest.mark.parametrize(("tiles", "copies"), [(1, 1), (5, 5), (25, 6), (64 * 6, 12)])
+def test_a_tile_is_sent_to_as_many_tasks_as_there_are_groups(spark, tiles, copies):
+    lead = {f"{side}{k}": 1.0 for k in range(embed_dedup.LEAD) for side in ("lo", "hi")}
+    rows = spark.range(tiles).select(F.format_string("%08d", "id").alias("tile"), F.lit("x").alias("label"), F.lit(8).alias("d"), *[F.lit(v).alias(c) for c, v in lead.items()], F.lit(1.0).alias("rest"), *[F.lit(b"").alias(c) for c in ("ids", "counts", "body")])
+    placed, pairs = embed_dedup._dealt(rows)
+    sizes = {r["group"]: r["count"] for r in placed.groupBy("group").count().collect()}
+    assert len(sizes) == copies and max(sizes.values()) <= embed_dedup.MOST and max(sizes.values()) - min(sizes.values()) <= 1
+    sent = pairs.select(F.explode(F.array_distinct(F.array("left", "right"))).alias("group")).groupBy("group").count().collect()
+    assert {r["count"] for r in sent} == {copies} and pairs.count() == copies * (copies + 1) // 2
+
+
+def test_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "LENGTHS", 2)
+    rng = np.random.default_rng(7)
+    rows = [(i, (np.ones(1 + i % 9) + 0.3 * rng.normal(size=1 + i % 9)).tolist(), 0) for i in range(90)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: tuple(r)[1:] for r in embed_dedup.near_duplicates(frame).collect()} == plain(rows)
+
+
 def test_tiles_are_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "TILE_BYTES", 24 * 8 * 10)
     rng = np.random.default_rng(6)
