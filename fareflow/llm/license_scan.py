@@ -12,8 +12,10 @@ are in the window must be 0.8 or more.
 Texts and windows that can't hold 0.8 of any notice are passed by before hashing: each notice has anchor
 words that occur in more than a fifth of its shingles, so a match has at least one of them.
 
-The notices are a parameter, a mapping of names to texts that is at hand on the driver, `MOST_NOTICES` at most,
-so their bands are part of the plan. Without it, `NOTICES` are looked for. A match is a row: doc_id, license,
+The notices are a parameter, a mapping of names to texts that is at hand on the driver. Without it, `NOTICES` are looked for. They are
+looked for in batches of `BATCH`, those of equal length together. The index has the bands and numbers of notices only; up to `SENT` rows
+of it, and of the notices' shingles, are sent to all executors. Beyond, windows are written, their bands alone are shuffled to the
+index, and the windows that met a notice are joined with its shingles. A match is a row: doc_id, license,
 containment (the best window's) and word (where that window begins; the first if several). A row is
 identified by doc_id and text, so repeated rows give one match each per notice; null ids are kept,
 null and empty texts match nothing. Other columns are ignored.
@@ -23,11 +25,17 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, CONTAINED, BANDS, MOST_NOTICES = 5, 0.8, 48, 10_000
+from fareflow.llm.common import written
+
+SHINGLE, CONTAINED, BANDS = 5, 0.8, 48
+#: Notices in a batch; rows of fixed size that are broadcast; anchor words that are looked for in the raw text first.
+BATCH, SENT, EARLY = 10_000, 100_000, 300
 WORD = r"[0-9a-z]+(?:[.-][0-9a-z]+)*"
 
 #: Short notices, the first sentences of public licences, and whole licences that are short.
@@ -94,8 +102,8 @@ def _shape(words: list[str]) -> tuple[int, int, int, int]:
 
 
 def _notices(spark: SparkSession, notices: dict[str, list[str]]) -> DataFrame:
-    rows = [(name, *_shape(w)[:3], notice_shingles(w)) for name, w in notices.items()]
-    return spark.createDataFrame(rows, "license string, m int, k int, size int, shingles array<string>")
+    rows = [(n, name, *_shape(w)[:3], notice_shingles(w)) for n, (name, w) in enumerate(notices.items())]
+    return spark.createDataFrame(rows, "notice int, license string, m int, k int, size int, shingles array<string>")
 
 
 def shingles(words: Column, k: Column) -> Column:
@@ -112,17 +120,19 @@ def bands(of: Column) -> Column:
 
 
 def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: dict[str, str] | None = None) -> DataFrame:
-    found = {name: w for name, t in (NOTICES if notices is None else notices).items() if (w := notice_words(t))}
-    if len(found) > MOST_NOTICES:
-        raise ValueError(f"more than {MOST_NOTICES} notices")
+    found = sorted(((name, w) for name, t in (NOTICES if notices is None else notices).items() if (w := notice_words(t))), key=lambda x: (len(x[1]), x[0]))
+    batches = [dict(found[at : at + BATCH]) for at in range(0, len(found), BATCH)] or [{}]
+    return reduce(DataFrame.unionByName, [_matches(docs, doc_id, text, batch) for batch in batches])
+
+
+def _matches(docs: DataFrame, doc_id: str, text: str, found: dict[str, list[str]]) -> DataFrame:
     table = _notices(docs.sparkSession, found)
     low = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.lower(F.col(text)).alias("low"))
     chosen: dict[tuple, set] = {}
     for w in found.values():
         chosen.setdefault(_shape(w), set()).update(anchors(w))
-    may = F.lit(False)
-    for word in sorted(set().union(*chosen.values())):
-        may = may | F.contains("low", F.lit(word))
+    words = sorted(set().union(*chosen.values()))
+    may = reduce(or_, [F.contains("low", F.lit(word)) for word in words], F.lit(False)) if len(words) <= EARLY else F.col("low").isNotNull()
     words = low.where(may).select("doc_id", "h", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
     shape = F.explode(F.array(*[F.struct(
         F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(size).alias("size"), F.lit(stride).alias("stride"), F.array(*map(F.lit, sorted(own))).alias("anchors"),
@@ -131,9 +141,17 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices
     n = F.floor(F.greatest(F.size("w") - F.col("size") + F.col("stride") - 1, F.lit(0)) / F.col("stride")).cast("int")
     made = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((i * F.col("stride")).cast("int").alias("word"), F.slice("w", (i * F.col("stride")).cast("int") + 1, F.col("size")).alias("part")))
     windows = cut.select("doc_id", "h", "m", "k", "size", F.explode(F.filter(made, lambda x: F.arrays_overlap(x["part"], F.col("anchors")))).alias("x")).select("doc_id", "h", "m", "size", "x.word", shingles(F.col("x.part"), F.col("k")).alias("of")).where(F.size("of") > 0)
-    index = table.select("license", "m", "size", F.col("shingles"), F.explode(bands(F.col("shingles"))).alias("band"))
-    # BANDS rows a notice, whatever the input
-    met = windows.select("doc_id", "h", "m", "size", "word", "of", F.explode(bands(F.col("of"))).alias("band")).join(F.broadcast(index), ["m", "size", "band"])
+    index = table.select("notice", "m", "size", F.explode(bands(F.col("shingles"))).alias("band"))
+    names = table.select("notice", "license", "shingles")
+    key = ["doc_id", "h", "m", "size", "word"]
+    if BANDS * len(found) <= SENT and sum(map(len, found.values())) <= SENT:
+        met = windows.select(*key, "of", F.explode(bands(F.col("of"))).alias("band")).join(F.broadcast(index), ["m", "size", "band"]).join(F.broadcast(names), "notice")
+    else:
+        windows = written(windows, "windows")
+        pairs = windows.select(*key, F.explode(bands(F.col("of"))).alias("band")).join(index, ["m", "size", "band"]).select(*key, "notice").distinct()
+        own = [F.col(c).alias(f"_{c}") for c in key]
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+        met = windows.join(pairs.select(*own, "notice"), same).join(names, "notice")
     contained = F.size(F.array_intersect("of", "shingles")) / F.size("shingles")
     sure = met.select("doc_id", "h", "license", "word", contained.alias("containment")).where(F.col("containment") >= CONTAINED)
     best = sure.groupBy("doc_id", "h", "license").agg(F.max(F.struct("containment", (-F.col("word")).alias("back"))).alias("b"))

@@ -82,3 +82,33 @@ def test_own_notices_of_hundreds_of_words(spark):
     con.register("documents", docs.toPandas())
     assert same(license_scan.matches(docs, notices=notices), license_scan.oracle(notices), None, con) == 5
     assert license_scan.matches(docs, notices={}).count() == 0
+
+
+def test_same_by_shuffle_and_in_batches(spark, monkeypatch):
+    fill = "some other words that mean nothing here "
+    rows = [(i if i % 4 else None, f"{fill * (i % 5)}{text}\n{fill * 3}") for i, text in enumerate(license_scan.NOTICES.values())] * 2
+    docs = spark.createDataFrame([*rows, (50, None), (51, fill * 200)], "doc_id long, text string")
+    want = sorted(map(str, license_scan.matches(docs).collect()))
+    assert len(want) >= len(license_scan.NOTICES)
+    monkeypatch.setattr(license_scan, "SENT", 0)
+    monkeypatch.setattr(license_scan, "EARLY", 0)
+    assert sorted(map(str, license_scan.matches(docs).collect())) == want
+    monkeypatch.setattr(license_scan, "BATCH", 7)
+    assert sorted(map(str, license_scan.matches(docs).collect())) == want
+
+
+def test_thousands_of_notices(spark):
+    """Made notices of 60 words, so that bands come by shuffle; each text holds one, with two words replaced or none."""
+    rng = random.Random(9)
+    vocabulary = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "may", "not", "copy", "grant") for b in range(400)]
+    notices = {f"n{k:05d}": " ".join(rng.choices(vocabulary, k=60)) for k in range(3000)}
+    rows = []
+    for i in range(60):
+        words = notices[f"n{i * 37:05d}"].split()
+        if i % 2:
+            words[10], words[40] = "other", "other"
+        rows.append((i, "intro " * (i % 50) + " ".join(words) + " end" * 30))
+    rows += [(100, "intro " * 300), (101, " ".join(notices["n00001"].split()[:30]))]
+    got = license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string"), notices=notices).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == {(i, f"n{i * 37:05d}") for i in range(60)}
+    assert {r["containment"] for r in got} == {1.0, 46 / 56}
