@@ -27,13 +27,15 @@ def in_bbox(df: DataFrame, bbox=BBOX) -> DataFrame:
     return df.where(inside(bbox))
 
 
-def with_times(df: DataFrame) -> DataFrame:
-    """dep_s, arr_s and tt_s in seconds of the departure's day; rows with unreadable times go."""
+def with_times(df: DataFrame, date: str | None = None) -> DataFrame:
+    """dep_s, arr_s and tt_s in seconds of the departure's day; rows with unreadable times go. `date` names a column for that day, as text."""
     read = lambda c: F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd HH:mm:ss"))
     # by a generator, so that later filters don't have the times read again
     parsed = df.select("*", F.inline(F.array(F.struct(read("dep").alias("_dep"), read("arr").alias("_arr"))))).where("_dep is not null and _arr is not null")
     day = F.unix_timestamp(F.to_date("_dep").cast("timestamp"))
     timed = parsed.withColumns({"dep_s": (F.unix_timestamp("_dep") - day).cast("double"), "arr_s": (F.unix_timestamp("_arr") - day).cast("double")})
+    if date is not None:
+        timed = timed.withColumn(date, F.date_format("_dep", "yyyy-MM-dd"))
     return timed.withColumn("tt_s", F.col("arr_s") - F.col("dep_s")).drop("_dep", "_arr")
 
 
@@ -61,9 +63,10 @@ CANONICAL = ["card", "mode", "line_raw", "o_name", "d_name", "o_lon", "o_lat", "
 CARRIED = {"o_line": "string", "d_line": "string", "o_dir": "smallint", "o_stopno": "smallint", "d_stopno": "smallint"}
 
 
-def clean_taps(df: DataFrame, bbox=BBOX, max_tt_s: float = 10800, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The whole chain and the canonical columns; `keep` names further columns to carry."""
-    trips = adjust_tt(valid_trips(with_times(in_bbox(drop_missing(df), bbox)), max_tt_s))
+def clean_taps(df: DataFrame, bbox=BBOX, max_tt_s: float = 10800, keep: tuple[str, ...] = (), date: str | None = None) -> DataFrame:
+    """The whole chain and the canonical columns; `keep` names further columns to carry, `date` a column for the service day, for records of several days."""
+    trips = adjust_tt(valid_trips(with_times(in_bbox(drop_missing(df), bbox), date), max_tt_s))
+    keep = (*keep, date) if date is not None else keep
     return trips.withColumns({"card": F.substring("card", 1, 12), "line_raw": F.col("o_line").cast("string")}).select(*CANONICAL, *(F.col(c).cast(t).alias(c) for c, t in CARRIED.items() if c in df.columns), *keep)
 
 

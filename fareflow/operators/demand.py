@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from fareflow.functions.columns import haversine_m, od_cell, split_node_key, time_bucket
 
 
-def convert(matched: DataFrame, known: DataFrame, date: str = "2019-05-13", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Trips between two different stops of the network."""
+def convert(matched: DataFrame, known: DataFrame, date: str | Column = "2019-05-13", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Trips between two different stops of the network. date: one service day, or a column that has it."""
     trips = matched.where("o_key is not null and d_key is not null and o_key <> d_key")
     for side in "od":
         trips = trips.join(known.select(F.col("key").alias(f"{side}_key")), f"{side}_key", "left_semi")
@@ -19,7 +19,7 @@ def convert(matched: DataFrame, known: DataFrame, date: str = "2019-05-13", keep
     far = haversine_m(F.col("o_lat"), F.col("o_lon"), F.col("d_lat"), F.col("d_lon")) / 1000
     return trips.select(
         F.col("card").alias("pid"), od_cell(F.col("o_lon"), F.col("o_lat")).alias("o"), od_cell(F.col("d_lon"), F.col("d_lat")).alias("d"), "o_lon", "o_lat", "d_lon", "d_lat",
-        F.lit(date).alias("date"), F.col("dep_s").cast("int").alias("time"), o["raw"].alias("origin_id"), o["mode"].alias("origin_type"), d["raw"].alias("destination_id"), d["mode"].alias("destination_type"),
+        (date if isinstance(date, Column) else F.lit(date)).alias("date"), F.col("dep_s").cast("int").alias("time"), o["raw"].alias("origin_id"), o["mode"].alias("origin_type"), d["raw"].alias("destination_id"), d["mode"].alias("destination_type"),
         far.alias("distance"), F.col("tt_adj_s").alias("observed_tt_s"), F.col("line_raw").alias("o_line"), "same_line", "route_name", *keep)
 
 

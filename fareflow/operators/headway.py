@@ -18,28 +18,34 @@ def top_stops(matched: DataFrame, min_taps: int = 40, n: int = 6) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def tap_clusters(taps: DataFrame, gap_s: float = 90) -> DataFrame:
-    """(route_name, o_key, cluster, center, taps): taps with gaps up to gap_s are one vehicle; its time is their median."""
-    line = Window.partitionBy("route_name", "o_key").orderBy("dep_s")
+def tap_clusters(taps: DataFrame, gap_s: float = 90, days: tuple[str, ...] = ()) -> DataFrame:
+    """(route_name, o_key, cluster, center, taps): taps with gaps up to gap_s are one vehicle; its time is their median.
+
+    days: the column of the service day, where taps are of several; clusters are numbered by day then and have it.
+    """
+    keys = ["route_name", "o_key", *days]
+    line = Window.partitionBy(*keys).orderBy("dep_s")
     starts = F.coalesce(F.col("dep_s") - F.lag("dep_s").over(line) > gap_s, F.lit(True))
-    marked = taps.select("route_name", "o_key", "dep_s").withColumn("first", starts.cast("int"))
+    marked = taps.select(*keys, "dep_s").withColumn("first", starts.cast("int"))
     numbered = marked.withColumn("cluster", F.sum("first").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("route_name", "o_key", "cluster").agg(F.percentile("dep_s", F.lit(0.5)).alias("center"), F.count("*").alias("taps"))
+    return numbered.groupBy(*keys, "cluster").agg(F.percentile("dep_s", F.lit(0.5)).alias("center"), F.count("*").alias("taps"))
 
 
-def cluster_gaps(clusters: DataFrame, min_clusters: int = 3, lo: float = 60, hi: float = 3600) -> DataFrame:
-    """(route_name, o_key, hour, gap): gaps to the next cluster by the earlier one's hour, from hours with enough of them."""
-    order = Window.partitionBy("route_name", "o_key").orderBy("cluster")
+def cluster_gaps(clusters: DataFrame, min_clusters: int = 3, lo: float = 60, hi: float = 3600, days: tuple[str, ...] = ()) -> DataFrame:
+    """(route_name, o_key, hour, gap): gaps to the next cluster of the day by the earlier one's hour, from hours with enough of them."""
+    keys = ["route_name", "o_key", *days]
+    order = Window.partitionBy(*keys).orderBy("cluster")
     hour = F.pmod(F.floor(F.col("center") / 3600), F.lit(24)).cast("int")
-    gaps = clusters.select("route_name", "o_key", hour.alias("hour"), (F.lead("center").over(order) - F.col("center")).alias("gap")).where("gap is not null")
-    enough = F.count("*").over(Window.partitionBy("route_name", "o_key", "hour"))
+    gaps = clusters.select(*keys, hour.alias("hour"), (F.lead("center").over(order) - F.col("center")).alias("gap")).where("gap is not null")
+    enough = F.count("*").over(Window.partitionBy(*keys, "hour"))
     return gaps.withColumn("n", enough).where((F.col("n") >= min_clusters - 1) & F.col("gap").between(lo, hi)).drop("n")
 
 
-def bus_line_hour(gaps: DataFrame, clusters: DataFrame, min_clusters: int = 3) -> DataFrame:
-    """Per route and hour: the median gap, but no more than the busiest stop's clusters allow."""
+def bus_line_hour(gaps: DataFrame, clusters: DataFrame, min_clusters: int = 3, days: tuple[str, ...] = ()) -> DataFrame:
+    """Per route and hour: the median gap of all days, but no more than the clusters of the busiest stop and day allow."""
+    keys = ["route_name", "o_key", *days]
     hour = F.pmod(F.floor(F.col("center") / 3600), F.lit(24)).cast("int")
-    per_stop = clusters.withColumn("in_stop", F.count("*").over(Window.partitionBy("route_name", "o_key"))).where("in_stop >= 2").groupBy("route_name", "o_key", hour.alias("hour")).agg(F.count("*").alias("n"))
+    per_stop = clusters.withColumn("in_stop", F.count("*").over(Window.partitionBy(*keys))).where("in_stop >= 2").groupBy(*keys, hour.alias("hour")).agg(F.count("*").alias("n"))
     most = per_stop.groupBy("route_name", "hour").agg(F.max("n").alias("most"))
     medians = gaps.groupBy("route_name", "hour").agg(F.percentile("gap", F.lit(0.5)).alias("median_gap_s"), F.count("*").alias("n_obs")).where(F.col("n_obs") >= min_clusters - 1)
     out = medians.join(most, ["route_name", "hour"], "left").withColumn("upper_from_clusters_s", 3600.0 / F.greatest(F.coalesce("most", F.lit(1)), F.lit(1)))

@@ -61,7 +61,7 @@ def raw(spark, sf):
 
 @shared
 def taps(spark, sf):
-    return clean.clean_taps(raw(spark, sf), keep=ROW)
+    return clean.clean_taps(fixtures.load(spark, sf, "fx_taps"), keep=ROW)
 
 
 @shared

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fareflow.functions import columns as C
-from fareflow.operators import choice, demand, headway, metrics, network, prune, speed, timetable, validate
+from fareflow.operators import choice, clean, demand, headway, metrics, network, prune, speed, timetable, validate
 from fareflow.operators.quantiles import quantile_columns, quantiles
 
 
@@ -252,3 +252,26 @@ def test_events_beyond_the_last_mark_and_trips_without_a_mode(spark):
     assert (last["created"], last["arrived"], last["active"]) == (1, 1, 0)
     cmp = spark.createDataFrame([(m, 1.0 + k, 2.0 * k) for k in range(12) for m in ("bus", None)], "origin_mode string, sim_min double, obs_min double")
     assert {r["grp"]: r["n"] for r in validate.stats(cmp).collect()} == {"all": 24, "bus": 12, None: 12}
+
+
+def test_several_service_days(spark, tmp_path):
+    raw = []
+    for day in ("2019-05-13", "2019-05-14"):
+        for k in range(30):
+            minute = f"{day} 08:{k * 2:02d}:0{k % 2}"
+            raw.append((f"c{k}", "公交", "300路", f"Stop {k % 2}", 116.3, 39.9, minute, "公交", "300路", "End", 116.4, 39.95, f"{day} 09:30:00"))
+    columns = "card string, o_mode string, o_line string, o_name string, o_lon double, o_lat double, dep string, d_mode string, d_line string, d_name string, d_lon double, d_lat double, arr string"
+    taps = clean.clean_taps(spark.createDataFrame(raw, columns), date="day")
+    assert {(r["day"], r["n"]) for r in taps.groupBy("day").agg(F.count("*").alias("n")).collect()} == {("2019-05-13", 30), ("2019-05-14", 30)}
+    matched = taps.withColumns({"route_name": F.lit("L"), "o_key": F.concat(F.lit("bus:"), "o_name"), "d_key": F.lit("bus:End"), "same_line": F.lit(True)})
+    both = headway.tap_clusters(matched, days=("day",))
+    gaps = headway.cluster_gaps(both, days=("day",))
+    by_hour = headway.bus_line_hour(gaps, both, days=("day",)).collect()
+    one = headway.tap_clusters(matched.where("day = '2019-05-13'"))
+    only = headway.bus_line_hour(headway.cluster_gaps(one), one).collect()
+    assert both.count() == 2 * one.count() == 60 and gaps.count() == 2 * headway.cluster_gaps(one).count()
+    assert [(r["hour"], r["headway_s"], r["n_obs"]) for r in by_hour] == [(r["hour"], r["headway_s"], 2 * r["n_obs"]) for r in only]
+    known = spark.createDataFrame([("bus:Stop 0",), ("bus:Stop 1",), ("bus:End",)], "key string")
+    trips = demand.convert(matched, known, F.col("day"))
+    numbered = demand.with_sid(trips, ("date", "time", "pid"), written(tmp_path)).orderBy("sid").collect()
+    assert [r["sid"] for r in numbered] == list(range(60)) and [r["date"] for r in numbered] == ["2019-05-13"] * 30 + ["2019-05-14"] * 30
