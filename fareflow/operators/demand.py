@@ -46,7 +46,7 @@ def convert_report(matched: DataFrame, demand: DataFrame) -> DataFrame:
     pair = F.struct("origin_type", "origin_id", "destination_type", "destination_id")
     of = lambda m: F.sum((F.col("origin_type") == m).cast("long")).alias(m)
     after = demand.agg(F.count("*").alias("output_rows"), of("bus"), of("subway"), F.avg(F.col("observed_tt_s") / 60).alias("mean_minutes"), F.countDistinct(pair).alias("od_pairs"))
-    return before.join(after)
+    return before.crossJoin(after)  # one row each
 
 
 def hourly_profile(df: DataFrame, time_col: str = "time", mode_col: str = "origin_type") -> DataFrame:

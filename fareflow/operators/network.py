@@ -190,7 +190,7 @@ def summary(known: DataFrame, stops: DataFrame, walk: DataFrame, rides: DataFram
     parts = [count(known, "stations"), count(stops, "stops"), count(lines, "subway_lines", F.col("mode") == "subway"), count(lines, "bus_lines", F.col("mode") == "bus"), count(walk, "walk_edges"), count(rides, "vehicle_edges")]
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p)
+        out = out.crossJoin(p)  # one row each
     return out
 
 

@@ -19,7 +19,7 @@ def top_od(matched: DataFrame, n: int = 4000) -> DataFrame:
     counts = _transferring(matched).groupBy("o_key", "d_key").agg(F.count("*").alias("trips"))
     total = counts.agg(F.sum("trips").alias("_all"))
     top = counts.orderBy(F.desc("trips"), "o_key", "d_key").limit(n)
-    return top.join(total).withColumn("share", F.col("trips") / F.col("_all")).drop("_all")
+    return top.crossJoin(total).withColumn("share", F.col("trips") / F.col("_all")).drop("_all")
 
 
 def single_transfer_od(best: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def residuals(matched: DataFrame, od: DataFrame, access_egress_s: float, per_sto
         h = headways.select(F.col("line").alias(f"line{k}"), "hour", F.col("headway_s").alias(f"h{k}"))
         trips = trips.join(h, [f"line{k}", "hour"], "left")
     whole = per_stop.where("period = 'all'").select(F.col("c").alias("_c"))
-    trips = trips.join(per_stop, "period", "left").join(whole)
+    trips = trips.join(per_stop, "period", "left").crossJoin(F.broadcast(whole))  # one row
     wait = [0.5 * F.coalesce(f"h{k}", F.lit(missing_s)) for k in "12"]
     made = access_egress_s + 2 * F.coalesce("c", "_c") + F.col("ivt") + wait[0] + wait[1]
     return trips.withColumn("resid", F.col("tt_adj_s") - made).where("resid > -900 and resid < 2400").drop("c", "_c")

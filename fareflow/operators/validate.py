@@ -78,7 +78,8 @@ def density(cmp: DataFrame) -> DataFrame:
 def scenarios(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("calibrated", "legacy")) -> DataFrame:
     """Both runs' statistics by group, side by side."""
     one = lambda df, name: stats(df).select("grp", *[F.col(c).alias(f"{c}_{name}") for c in ("n", "mae", "rmse", "sim_mean")])
-    return one(a, names[0]).join(one(b, names[1]), "grp", "full_outer")
+    left, right = one(a, names[0]), one(b, names[1]).withColumnRenamed("grp", "_grp")
+    return left.join(right, F.col("grp").eqNullSafe(F.col("_grp")), "full_outer").withColumn("grp", F.coalesce("grp", "_grp")).drop("_grp")
 
 
 def calib_parameters(speeds: DataFrame, headways: DataFrame, transfers: DataFrame) -> DataFrame:

@@ -234,24 +234,33 @@ def timetable_next_vehicle(spark, sf):
 # ---- streams, readers and writers
 
 
+def thirds(rows):
+    """1 to 3 by the thirds of the time that rows span."""
+    us = F.unix_micros("ts")
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    low, third = low or 0, ((high or 0) - (low or 0)) / 3
+    return F.when(us < low + third, 1).when(us < low + 2 * third, 2).otherwise(3)
+
+
+def streamed(rows, part, make):
+    """What a stream gives of rows that arrive in three batches, by part, with a restart from the checkpoint after each."""
+    spark, folder, out = rows.sparkSession, base.folder(rows.sparkSession), base.folder(rows.sparkSession)
+    for k in (1, 2, 3):
+        rows.where(part == k).write.mode("append").parquet(folder)  # a stream reads a folder
+        streams.run_available(make(spark.readStream.schema(rows.schema).parquet(folder)), out, f"{out}-checkpoint")
+    return spark.read.parquet(out)
+
+
 @query("stream_demand_buckets", """select * from (with e as (select ts, event_type as mode, event_id % 41 = 0 as late, time_bucket(interval '10 seconds', ts) as start from events),
   bounds as (select min(ts) as a, max(ts) as b from events), p as (select e.*, case when ts < a + (b - a) / 3 then 1 when ts < a + (b - a) / 3 * 2 then 2 else 3 end as part from e, bounds),
   marks as (select max(ts) filter (part < 3 and not (late and part = 1)) - interval '1 hour' as second, max(ts) - interval '1 hour' as last from p)
   select start, mode, count(*) as trips from p, marks where not (late and part = 1 and start + interval '10 seconds' <= second) and start + interval '10 seconds' <= last group by start, mode)""")
 def stream_demand_buckets(spark, sf):
-    """Events arrive in three batches, with a restart from the checkpoint after each; some of the first third come with the last one, too late."""
-    events = fixtures.given(spark, sf, "events").select("ts", "event_type", "event_id")
-    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
-    us, third = F.unix_micros(F.col("ts").cast("timestamp")), (high - low) / 3
-    own = F.when(us < low + third, 1).when(us < low + 2 * third, 2).otherwise(3)
-    parts = events.withColumn("part", F.when((own == 1) & (F.col("event_id") % 41 == 0), 3).otherwise(own))
-    folder, out = base.folder(spark), base.folder(spark)
-    for k in (1, 2, 3):
-        parts.where(F.col("part") == k).drop("part").write.mode("append").parquet(folder)  # a stream reads a folder
-        rows = spark.readStream.schema(events.schema).parquet(folder)
-        rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("mode"))
-        streams.run_available(streams.stream_buckets(rows), out, f"{out}-checkpoint")
-    return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Some events of the first third come with the last batch, too late."""
+    events = fixtures.given(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("mode"), "event_id")
+    own = thirds(events)
+    late = (own == 1) & (F.col("event_id") % 41 == 0)
+    return streamed(events, F.when(late, 3).otherwise(own), streams.stream_buckets).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_tap_clusters", """select * from (with source as (select route_name, o_key, make_timestamp(cast((dep_s + 1557705600) * 1000000 as bigint)) as ts from matched where mode = 'bus' and route_name is not null),
@@ -260,13 +269,10 @@ def stream_demand_buckets(spark, sf):
   select route_name, o_key, min(ts) as first, max(ts) as last, count(*) as taps from numbered group by route_name, o_key, c
   having max(ts) + interval 90 second <= (select max(ts) from source) - interval 1 hour)""")
 def stream_tap_clusters(spark, sf):
-    taps_in = base.matched(spark, sf).where("mode = 'bus' and route_name is not null").select("route_name", "o_key", F.timestamp_seconds(F.col("dep_s") + 1557705600).alias("ts"))
-    source = base.cut(taps_in)
-    folder, out = base.folder(spark), base.folder(spark)
-    source.write.parquet(folder)
-    rows = spark.readStream.schema(taps_in.schema).parquet(folder)
-    streams.run_available(streams.stream_clusters(rows), out, f"{out}-checkpoint")
-    return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+    matched = base.matched(spark, sf).where("mode = 'bus' and route_name is not null")
+    source = base.cut(matched.select("route_name", "o_key", F.timestamp_seconds(F.col("dep_s") + 1557705600).alias("ts")))
+    out = streamed(source, thirds(source), streams.stream_clusters)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 
 @query("read_taps", "select card, o_mode, o_line, o_name, o_lon, dep from fx_taps where dep <> 'bad'")
