@@ -9,13 +9,17 @@ from __future__ import annotations
 import functools
 import re
 import tempfile
+import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from fareflow.operators import clean, matching, network
 from fareflow.sources import fixtures
 
 ROW = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 _SHARED: dict = {}
+_LOCKS: dict = {}
+_GUARD = threading.Lock()
 
 
 def folder(spark) -> str:
@@ -34,15 +38,24 @@ def shared(make):
     @functools.wraps(make)
     def get(spark, sf):
         key = make.__module__, make.__name__, spark.sparkContext.applicationId, sf
-        if key not in _SHARED:
-            df, path = make(spark, sf), folder(spark)
-            df.write.parquet(path)
-            _SHARED[key] = spark.read.schema(df.schema).parquet(path)
-        return _SHARED[key]
+        with _GUARD:
+            lock = _LOCKS.setdefault(key, threading.Lock())
+        with lock:
+            if key not in _SHARED:
+                df, path = make(spark, sf), folder(spark)
+                df.write.parquet(path)
+                _SHARED[key] = spark.read.schema(df.schema).parquet(path)
+            return _SHARED[key]
 
     return get
 
 
+def together(spark, sf, *makers) -> None:
+    """Has independent shared frames written at the same time, as each alone leaves cores idle."""
+    with ThreadPoolExecutor(len(makers)) as threads:
+        list(threads.map(lambda make: make(spark, sf), makers))
+
+
 def cut(df):
     """Writes a frame to the shared folder and reads it back."""
     path = folder(df.sparkSession)
@@ -107,4 +120,6 @@ def bus_pairs(spark, sf):
 
 @shared
 def matched(spark, sf):
+    together(spark, sf, bus_groups, legs)
+    together(spark, sf, subway_pairs, bus_pairs)
     return matching.join_back(taps(spark, sf), subway_pairs(spark, sf), bus_pairs(spark, sf))

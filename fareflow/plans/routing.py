@@ -275,13 +275,14 @@ def stream_tap_clusters(spark, sf):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 
-@query("read_taps", "select card, o_mode, o_line, o_name, o_lon, dep from fx_taps where dep <> 'bad'")
+@query("read_taps", """select card, o_mode, o_line, cast(o_dir as smallint) as o_dir, cast(o_stopno as smallint) as o_stopno, o_name, o_lon, o_lat, dep, d_mode, d_line, cast(null as smallint) as d_dir, cast(d_stopno as smallint) as d_stopno, d_name, d_lon, d_lat, arr
+  from fx_taps where dep <> 'bad'""")
 def read_taps(spark, sf):
     path, raw = base.folder(spark), base.raw(spark, sf).where("dep <> 'bad'")
     none = F.lit(None).cast("string")
     ordered = [F.col(c) if c in raw.columns else none.alias(c) for c in (x.split()[0] for x in tables.RAW_TAPS.split(", "))]
     tables.write_table(raw.select(*ordered), path, fmt="csv")
-    return tables.read_taps(spark, path).select("card", "o_mode", "o_line", "o_name", "o_lon", "dep")
+    return tables.read_taps(spark, path)
 
 
 @query("read_matched", f"select {KEYS}, mode, match from matched")

@@ -40,6 +40,20 @@ def test_first_stop_of_a_name_wins(spark, tmp_path):
     assert matching.subway_pairs(taps, known.drop("seq"), stops).first()["o_key"] == "subway:S1"
 
 
+def test_taps_go_by_position(spark, tmp_path):
+    """A byte order mark, other names in the header, empty and unreadable fields, and a limit."""
+    header = "\ufeff" + ",".join(f"列{k}" for k in range(17))
+    row = "c1,地铁,地铁1号线,0,3,东门,116.3,39.9,2019-05-13 08:00:00,地铁,地铁1号线,1,9,西门,116.4,39.8,2019-05-13 08:30:00"
+    for k in (1, 2):
+        (tmp_path / f"{k}.csv").write_text("\n".join([header, row, row.replace("c1", f"d{k}").replace(",116.3", ",").replace(",9,", ",x,"), ""]), encoding="utf-8")
+    got = tables.read_taps(spark, str(tmp_path))
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in got.schema] == tables.RAW_TAPS.split(", ")
+    rows = sorted(map(tuple, got.collect()), key=str)
+    assert rows[0] == rows[1] == ("c1", "地铁", "地铁1号线", 0, 3, "东门", 116.3, 39.9, "2019-05-13 08:00:00", "地铁", "地铁1号线", 1, 9, "西门", 116.4, 39.8, "2019-05-13 08:30:00")
+    assert [(r[0], r[6], r[12], r[16]) for r in rows[2:]] == [(f"d{k}", None, None, "2019-05-13 08:30:00") for k in (1, 2)]
+    assert tables.read_taps(spark, str(tmp_path), limit=3).count() == 3
+
+
 def _at(seconds):
     return dt.datetime(2019, 5, 13, 6, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=seconds)
 
