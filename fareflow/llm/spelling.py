@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,15 @@ LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
 #: The levels of the trie: frequent letters first, one each; all other code points share the last groups.
 SINGLE, OTHERS = "etaoinshrdlcumwfgypb", 6
 LEVELS = len(SINGLE) + OTHERS
-#: Words of a node of the upper levels at most, where MOST_UPPER levels can do that; word pairs that end a descent;
-#: word pairs that are verified at once; code points of a word that are compared in blocks; entries of partial counts.
-NODE, MOST_UPPER, FEW, BLOCK, WIDTH, HELD = 20_000, 12, 16, 1 << 18, 64, 300_000
+#: Words of a node of the upper levels at most, where MOST_UPPER levels can do that, and the share of all words, if that is less,
+#: but for small tables; word pairs that end a descent; word pairs that are verified at once; code points of a word that are
+#: compared in blocks; entries of partial counts; code points of a text whose runs are listed at once.
+NODE, SHARE, SMALL, MOST_UPPER, FEW, BLOCK, WIDTH, HELD, LISTED = 20_000, 50, 2_000, 12, 16, 1 << 18, 64, 300_000, 1 << 20
+
+
+def runs(text: str) -> Iterable[str]:
+    """The runs of letters of a text; those of a long one aren't held at once."""
+    return LETTERS.findall(text) if len(text) < LISTED else map(re.Match.group, LETTERS.finditer(text))
 
 
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", one_in: int = 97) -> DataFrame:
@@ -57,7 +63,7 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", one
             for part in slices(batch, 1):
                 for key, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     # only A-Z have an other case among bytes
-                    for word, n in Counter(LETTERS.findall(content.encode().lower().decode()) if content else ()).items():
+                    for word, n in Counter(runs(content.encode().lower().decode()) if content else ()).items():
                         if one_in and (h := zlib.crc32(f"{key}:{word}".encode())) % one_in == 0:
                             at = h % len(word)
                             word = word[:at] + word[at + 1 :]
@@ -238,10 +244,10 @@ def _later(levels: int) -> list[list[int]]:
 
 
 def upper_levels(words: DataFrame, node: int = NODE) -> int:
-    """The fewest levels of which no node has more than so many words, or MOST_UPPER."""
+    """The fewest levels of which no node has more than so many words, nor more than its share, or MOST_UPPER."""
     for levels in range(3, MOST_UPPER, 3):
-        most = words.groupBy(*_upper(levels)).count().agg(F.max("count")).first()[0]
-        if most is None or most <= node:
+        most, total = words.groupBy(*_upper(levels)).count().agg(F.max("count"), F.sum("count")).first()
+        if most is None or most <= min(node, max(SMALL, total // SHARE)):
             return levels
     return MOST_UPPER
 

@@ -94,6 +94,7 @@ def test_long_words_and_repeated_rows(spark):
 
 def test_counts_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(spelling, "HELD", 3)
+    monkeypatch.setattr(spelling, "LISTED", 20)
     docs = [(1, "ÉCOLE École école"), (1, "a b c d e f g"), (None, "Word word"), (2, None), (2, ""), (3, "x×y÷z ŒUVRE naïve 日本"), *((k, f"q w{'e' * (k % 3)}") for k in range(200))]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("word", F.lit(1)).withColumn("_id", F.lit(2))
     got = {r["word"]: r["n"] for r in spelling.word_counts(df).collect()}
