@@ -38,8 +38,10 @@ def subway_pairs(taps: DataFrame, known: DataFrame, stops: DataFrame, rides: Dat
 def bus_groups(taps: DataFrame) -> DataFrame:
     """Each bus line and pair of stop names with the median place of both ends."""
     # taps without a name or a place were left out in cleaning, so each group has a row; bins of some 50 metres
-    wanted = {c: {0.5: c} for c in ("o_lon", "o_lat", "d_lon", "d_lat")}
-    return quantile_columns(taps.where("mode = 'bus'"), ["line_raw", "o_name", "d_name"], wanted, width=0.0005)
+    wanted, keys = {c: {0.5: c} for c in ("o_lon", "o_lat", "d_lon", "d_lat")}, ["line_raw", "o_name", "d_name"]
+    # a stop's places repeat, so equal taps are counted first
+    counted = taps.where("mode = 'bus'").groupBy(*keys, *wanted).agg(F.count("*").alias("_n"))
+    return quantile_columns(counted, keys, wanted, width=0.0005, weight="_n")
 
 
 def bus_candidates(groups: DataFrame, stops: DataFrame) -> DataFrame:

@@ -39,12 +39,13 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float,
     return found.groupBy(*keys, "share").agg(F.sum(F.col("_x") * part).alias(value))
 
 
-def quantile_columns(rows: DataFrame, keys: list[str], wanted: dict[str, dict[float, str]], width: float = 1.0) -> DataFrame:
+def quantile_columns(rows: DataFrame, keys: list[str], wanted: dict[str, dict[float, str]], width: float = 1.0, weight: str | None = None) -> DataFrame:
     """keys and, for each column and share in `wanted`, the quantile by the name given there. All columns and groups go through one pass.
 
     A group without any value has no row; a column without values is null.
     """
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_v")) for c in wanted])).alias("_e")
-    long = rows.select(*keys, each).select(*keys, "_e.*")
-    found = quantiles(long, [*keys, "_of"], "_v", tuple(sorted({q for at in wanted.values() for q in at})), width)
+    times = [] if weight is None else [F.col(weight).alias("_times")]
+    long = rows.select(*keys, *times, each).select(*keys, *(["_times"] if times else []), "_e.*")
+    found = quantiles(long, [*keys, "_of"], "_v", tuple(sorted({q for at in wanted.values() for q in at})), width, "_times" if times else None)
     return found.groupBy(*keys).agg(*[F.max(F.when((F.col("_of") == c) & (F.col("share") == q), F.col("_v"))).alias(name) for c, at in wanted.items() for q, name in at.items()])

@@ -128,6 +128,9 @@ def test_quantiles_of_several_columns(spark):
             own = got[r["k"] if keys else ""]
             assert np.allclose([own["mid"], own["high"], own["y"]], [*r["x"], r["y"]]) and own["low"] == r["z"]
     assert quantile_columns(frame.limit(0), ["k"], wanted).count() == 0
+    counted = frame.groupBy("k", "x", "y", "z").agg(F.count("*").alias("n"))
+    plain, weighted = ({r["k"]: [r["mid"], r["high"], r["y"]] for r in quantile_columns(f, ["k"], wanted, 0.3, w).collect()} for f, w in ((frame, None), (counted, "n")))
+    assert plain.keys() == weighted.keys() and all(np.allclose(plain[k], weighted[k]) for k in plain)
 
 
 def test_standard_errors(spark, tmp_path):
