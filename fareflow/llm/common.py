@@ -19,22 +19,31 @@ BLANKS = "".join(SPACES)
 OTHERS = [c for c in SPACES if c not in " \n"]
 
 
-def words_of(text: str) -> tuple[str, list[str], str] | None:
-    """A text cut before each space and line feed: the first word, the rest, and the white space at the end.
+def body_of(text: str) -> tuple[str, str] | None:
+    """A text with a space before each of its words but the first, and the white space at the end.
 
-    A byte-level pattern always begins a new match there, as long as no other white space is next to it. A word of
-    the rest begins with its line feed, or else follows a space. Where a text has other white space, or three line feeds in a row,
-    it is cut at spaces only. None where a space is next to white space.
+    A byte-level pattern always begins a new match at a space or line feed, as long as no other white space is next to it. A
+    word that begins with a line feed gets a space before that. Where a text has other white space, or three line feeds in a
+    row, only its own spaces count. None where a space is next to white space.
     """
     if any(f" {c}" in text or f"{c} " in text for c in SPACES if c in text):
         return None
     body = text.rstrip(BLANKS)
+    tail = text[len(body) :]
     if "\n" in body and "\n\n\n" not in body and not any(c in body for c in OTHERS):
-        body, tail = body.replace("\n", " \n"), text[len(body) :]
-    else:
-        tail = text[len(body) :]
-    first, *rest = body.split(" ")
-    return first, rest, tail
+        body = body.replace("\n", " \n")
+    return body, tail
+
+
+def words_of(text: str) -> tuple[str, list[str], str] | None:
+    """A text cut at the spaces of `body_of`: the first word, the rest, and the white space at the end.
+
+    A word of the rest begins with its line feed, or else follows a space. None where a space is next to white space.
+    """
+    if (cut := body_of(text)) is None:
+        return None
+    first, *rest = cut[0].split(" ")
+    return first, rest, cut[1]
 
 
 #: Entries in a generation of a memo.

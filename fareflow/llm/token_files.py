@@ -23,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.llm.common import OTHERS, shared_dir, slices, words_of
+from fareflow.llm.common import OTHERS, body_of, shared_dir, slices
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
-#: Words in a generation of the memo.
-CACHE = 500_000
+#: Words in the memo, and rows and bytes of text that are encoded together.
+CACHE, ROWS_AT_ONCE, BYTES_AT_ONCE = 500_000, 4096, 1 << 23
 #: Ends of words that are never in one piece with a letter.
 MARKS = ".,;:!?$&%#*)]"
 MANIFEST = "part int, path string, first_ids long, n_ids long, n_docs long"
@@ -44,9 +45,9 @@ class Encoder:
     """The tokenizers library, with a memo of words.
 
     The byte-level pre-tokenizer always begins a new piece at a space or a line feed that stands between two
-    characters other than white space; so texts are cut there. The words that are not known yet are
-    encoded together, as one text: a word's ids are those from one token that begins with a space or
-    line feed to the next. White space at a text's end is a piece of its own, and so are the marks that end
+    characters other than white space; so texts are cut there. The words of many texts are numbered by Arrow, and the
+    distinct ones looked up in the memo, which is Arrow too. Those that are not known yet are encoded together, as one
+    text: a word's ids are those from one token that begins with a space or line feed to the next. White space at a text's end is a piece of its own, and so are the marks that end
     a word. Texts that hold an added token (such as an end mark) go to the library whole.
     """
 
@@ -58,8 +59,8 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         heads = tuple(self.tokenizer.id_to_token(self._ids(c)[0]) for c in " \n")
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(heads) for i in range(self.tokenizer.get_vocab_size())])
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        # the memo: words, where the ids of each begin, how many it has, and all ids
+        self.known, self.starts, self.sizes, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         self.marks: dict[str, bytes] = {}
 
     def _all_ids(self, texts: list[str]) -> list[bytes]:
@@ -75,46 +76,72 @@ class Encoder:
             self.marks[mark] = self._all_ids([mark])[0]
         return self.marks[mark]
 
-    def _learn(self, words: set[str], odd: set[str]) -> None:
-        """Adds words to the memo; odd ones hold white space. When it is full, those that weren't used since it was last full are forgotten."""
-        if len(self.words) + len(words) > CACHE:
-            self.before, self.words = self.words, {}
-        new = [w for w in words if w not in self.words]
-        if self.before:
-            self.words.update((w, self.before[w]) for w in new if w in self.before)
-            new = [w for w in new if w not in self.words]
+    def _encoded(self, words: list[str], odd: set[str]) -> list[bytes]:
+        """The ids of distinct words; odd ones hold white space."""
         # marks after a letter are a piece of their own
-        stems = [w.rstrip(MARKS) for w in new]
-        stems = [s if s[-1:].isalpha() else w for w, s in zip(new, stems, strict=True)]
-        asked = set(stems).difference(self.words)
+        stems = [w.rstrip(MARKS) for w in words]
+        stems = [s if s[-1:].isalpha() else w for w, s in zip(words, stems, strict=True)]
+        found, asked = {}, set(stems)
         plain = [*asked.difference(odd)]
         if plain:
             ids = self._ids("".join([w if w[:1] == "\n" else f" {w}" for w in plain]))
             starts = np.flatnonzero(self.begins[ids])
             if len(starts) == len(plain):
                 raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                self.words.update((w, raw[s:e]) for w, s, e in zip(plain, at[:-1], at[1:], strict=True))
+                found.update((w, raw[s:e]) for w, s, e in zip(plain, at[:-1], at[1:], strict=True))
             else:
                 odd = odd.union(plain)
         alone = [*asked.intersection(odd)]
         if alone:
-            self.words.update(zip(alone, self._all_ids([w if w[:1] == "\n" else f" {w}" for w in alone]), strict=True))
-        self.words.update((w, self.words[s] + self._mark(w[len(s) :])) for w, s in zip(new, stems, strict=True) if len(s) < len(w))
+            found.update(zip(alone, self._all_ids([w if w[:1] == "\n" else f" {w}" for w in alone]), strict=True))
+        return [found[w] if w == s else found[s] + self._mark(w[len(s) :]) for w, s in zip(words, stems, strict=True)]
+
+    def _places(self, words: pa.Array, spaced: bool) -> np.ndarray:
+        """The places of distinct words in the memo, after those that it lacks are added. When it is full, only these words stay."""
+        at = pc.index_in(words, value_set=self.known)
+        new, at = words.filter(at.is_null()), at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        met = at >= 0
+        if len(self.known) + len(new) > CACHE:
+            used, at[met] = np.unique(at[met], return_inverse=True)
+            self.known, sizes = self.known.take(pa.array(used)), self.sizes[used]
+            self.ids = self.ids[_spans(self.starts[used], sizes)]
+            self.starts, self.sizes = np.cumsum(sizes) - sizes, sizes
+        at[~met] = len(self.known) + np.arange(len(new))
+        texts = new.to_pylist()
+        encoded = self._encoded(texts, {w for w in texts if len(w.split()) > 1} if spaced else set())
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        self.known = pa.concat_arrays([self.known, new])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(encoded), "<u4")])
+        return at
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        firsts, rests, tails, odd = [], [], [], set()
+        firsts, rests, tails, spaced = [], [], [], False
         for t in texts:
-            cut = None if any(a in t for a in self.added) else words_of(t)
-            first, rest, tail = cut or (t, [], "")
-            if any(c in t for c in OTHERS) or "\n\n\n" in t:
-                odd.update(w for w in rest if len(w.split()) > 1)
+            cut = None if any(a in t for a in self.added) else body_of(t)
+            first, _, rest = cut[0].partition(" ") if cut else (t, "", "")
+            spaced = spaced or any(c in rest for c in OTHERS) or "\n\n\n" in rest
             firsts.append(first)
-            rests.append(rest)
-            tails.append(tail)
-        self._learn(set().union(*rests), odd)
-        get = self.words.__getitem__
+            rests.append(rest or None)
+            tails.append(cut[1] if cut else "")
+        # the words of all texts as numbers of the distinct ones
+        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        at = self._places(coded.dictionary, spaced)[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.sizes[at]
+        ids = self.ids[_spans(self.starts[at], sizes)]
+        # the number of ids before each text's words
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        cuts = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))].tolist()
         ends = map(self._all_ids, (firsts, tails))
-        return [b"".join([a, *map(get, rest), z]) for a, rest, z in zip(next(ends), rests, next(ends), strict=True)]
+        return [b"".join([a, ids[s:e].tobytes(), z]) for a, s, e, z in zip(next(ends), cuts[:-1], cuts[1:], next(ends), strict=True)]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(sizes.sum())
 
 
 @functools.lru_cache(maxsize=2)
@@ -204,7 +231,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
         part, out, n_docs = TaskContext.get().partitionId(), None, 0
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, ROWS_AT_ONCE, BYTES_AT_ONCE):
                 out = out or SequenceFile(path, dtype, length)
                 out.add(some.column(0), [ids + last for ids in own.encode(some.column(1).to_pylist())])
                 n_docs += some.num_rows
