@@ -56,14 +56,15 @@ def next_vehicle(ready: DataFrame, times: DataFrame, max_wait_s: float = 1500) -
     hour = lambda c: F.floor(F.col(c) / 3600)
     keys = ["node", "line"]
     first = times.groupBy(*keys, hour("arrive").alias("h")).agg(F.min("arrive").alias("a"))
-    ahead = Window.partitionBy(*keys).orderBy("h").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("h")).rowsBetween(Window.unboundedPreceding, -1)
     hours = first.unionByName(ready.select(*keys, hour("ready").alias("h"), F.lit(None).cast("double").alias("a"))).groupBy(*keys, "h").agg(F.min("a").alias("a"))
     later = hours.select(*keys, "h", F.min("a").over(ahead).alias("arrive")).where("arrive is not null")
     empty = F.lit(None).cast("long")
     rows = times.select(*keys, hour("arrive").alias("h"), F.col("arrive").alias("at"), "arrive", empty.alias("id"))
     rows = rows.unionByName(later.select(*keys, "h", F.lit(float("inf")).alias("at"), "arrive", empty.alias("id")))
     rows = rows.unionByName(ready.select(*keys, hour("ready").alias("h"), F.col("ready").alias("at"), F.lit(None).cast("double").alias("arrive"), F.col("id").cast("long").alias("id")))
-    onward = Window.partitionBy(*keys, "h").orderBy("at", F.col("id").desc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    found = rows.withColumn("vehicle", F.first("arrive", ignorenulls=True).over(onward)).where("id is not null")
+    # from the latest row back: a frame that grows takes one step a row, one that shrinks is read anew for each
+    back = Window.partitionBy(*keys, "h").orderBy(F.desc("at"), F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("vehicle", F.last("arrive", ignorenulls=True).over(back)).where("id is not null")
     wait = F.col("vehicle") - F.col("at")
     return found.select("id", *keys, F.col("at").alias("ready"), "vehicle", wait.alias("wait"), F.coalesce(wait > max_wait_s, F.lit(True)).alias("timed_out"))
