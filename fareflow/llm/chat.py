@@ -6,9 +6,10 @@ output begins with the one before, the rest is the new turn's span; if not, the
 history and the conversation is marked. Inside a span, the place of the text is found by rendering
 the turn with two one-letter texts: the outputs differ at the first character of the text.
 
-For long conversations each prefix is rendered from a few turns back only, and the whole conversation
-once: the spans hold only if their concatenation is that whole rendering, else all prefixes are
-rendered. So the work is linear for templates that only add.
+Every prefix is rendered, in conversations of any length, which takes work with the square of their turns. Of a template whose turns look
+no more than `back` turns behind, each prefix is rendered from there only, and the whole conversation once: the spans hold only if their
+concatenation is that whole rendering, else all prefixes are rendered. So the work is linear for templates that only add. Which way is
+taken is the caller's word on the template and never follows from a conversation's length.
 
 Turns are ordered by turn, role and text, nulls first. A null text or role counts as empty; a null
 conv_id is an id like any other: all rows without one are one conversation. Repeated rows are turns of their own. One conversation makes
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turns rendered whole; beyond, prefixes are rendered from BACK turns before.
-WHOLE, BACK = 32, 2
+#: More turns than `template` looks behind.
+BACK = 2
 _SPECIAL, _ESCAPED = re.compile(r"\\|(?<=<)\|"), re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -81,9 +82,10 @@ def spans(turns: list[Turn], render: Callable[[list[Turn]], str], back: int | No
     return whole, out
 
 
-def located(turns: list[Turn], render: Callable[[list[Turn]], str] = template) -> tuple[str, list[tuple[int, int]] | None]:
-    if len(turns) > WHOLE:
-        whole, found = spans(turns, render, BACK)
+def located(turns: list[Turn], render: Callable[[list[Turn]], str] = template, back: int | None = BACK) -> tuple[str, list[tuple[int, int]] | None]:
+    """The rendering and spans, from prefixes of `back` turns and one more; None: from whole prefixes."""
+    if back is not None:
+        whole, found = spans(turns, render, back)
         if found is not None:
             return whole, found
     return spans(turns, render)
@@ -107,11 +109,11 @@ def conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     return rows.select(F.col(conv_id).cast("long").alias("conv_id"), one.alias("_turn")).groupBy("conv_id").agg(turns.alias("turns"))
 
 
-def formatted(grouped: DataFrame, render: Callable[[list[Turn]], str] = template, learns: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def formatted(grouped: DataFrame, render: Callable[[list[Turn]], str] = template, learns: tuple[str, ...] = ("assistant",), back: int | None = None) -> DataFrame:
     """Per conversation: its text, the turns' spans, and the spans under the loss mask (code points).
 
-    A conversation for which the template rewrites history has its text, but no spans. Beyond WHOLE turns, `rewrites` is
-    false as soon as the spans from short prefixes add up to the whole text, also where a template differs on some long prefixes only.
+    A conversation for which the template rewrites history has its text, but no spans. With `back`, for templates known to look no
+    further behind, `rewrites` is false as soon as the spans from short prefixes add up to the whole text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,7 @@ def formatted(grouped: DataFrame, render: Callable[[list[Turn]], str] = template
                 out = []
                 for row in batch.slice(at, 64).to_pylist():
                     turns = [(t["role"], t["text"]) for t in row["turns"]]
-                    whole, found = located(turns, render)
+                    whole, found = located(turns, render, back)
                     loss = [text_span(t, s, render) for t, s in zip(turns, found or [], strict=bool(found)) if t[0] in learns] if found else []
                     out.append({"conv_id": row["conv_id"], "formatted": whole, "starts": [s for s, _ in found or []], "ends": [e for _, e in found or []], "loss_starts": [s for s, _ in loss], "loss_ends": [e for _, e in loss], "rewrites": found is None})
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)

@@ -54,7 +54,7 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the probe stays a conversation of its own, also where the table has one of its id
     both = chat.conversations(table(spark, sf_dir, "conversations")).unionByName(chat.conversations(chat.probe(spark)))
-    return chat.digests(chat.formatted(both))
+    return chat.digests(chat.formatted(both, back=chat.BACK))
 
 
 def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,11 @@ def test_given_conversation_of_the_probes_id(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((r["conv_id"] or 0, r["n_turns"]) for r in queries.chat_query(spark, str(tmp_path)).collect())
     assert got == [(-1, 1), (-1, 2), (0, 2)]
+
+
+def test_the_length_of_a_conversation_does_not_choose_the_rule(spark):
+    tenth = lambda turns: "" if len(turns) == 10 else chat.template(turns)
+    rows = [(n, i, "user", f"t{i}") for n in (9, 20, 60) for i in range(n)]
+    grouped = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["conv_id"]: r["rewrites"] for r in chat.formatted(grouped, tenth).collect()} == {9: False, 20: True, 60: True}
+    assert {r["conv_id"]: r["rewrites"] for r in chat.formatted(grouped, tenth, back=chat.BACK).collect()} == {9: False, 20: False, 60: False}
