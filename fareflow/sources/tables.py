@@ -76,9 +76,22 @@ def read_demand(spark: SparkSession, path: str, time_column: str = "time") -> Da
     return df.withColumn("time", F.expr("try_cast(time as double)"))
 
 
+#: Files that a task keeps open; one that meets more partitions sorts its other rows first.
+OPEN = 32
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
-    writer = df.write.mode("overwrite").option("header", True)
-    (writer.partitionBy(*partition_by) if partition_by else writer).format(fmt).save(path)
+    """With partitions, rows go to their files as they come: without open files for all, Spark sorts every task's rows, and spills them."""
+    writer, conf, name = df.write.mode("overwrite").option("header", True).format(fmt), df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    if not partition_by:
+        writer.save(path)
+        return
+    given = conf.get(name, None)
+    conf.set(name, max(OPEN, int(given or 0)))
+    try:
+        writer.partitionBy(*partition_by).save(path)
+    finally:
+        conf.unset(name) if given is None else conf.set(name, given)
 
 
 def write_report(df: DataFrame, path: str) -> None:
