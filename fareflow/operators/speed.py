@@ -158,11 +158,11 @@ def fit(prepared: DataFrame, cut: Callable[[DataFrame], DataFrame], min_mode: in
 
 
 def predict(prepared: DataFrame, fits: DataFrame) -> DataFrame:
-    """prepared rides with their mode's all-day prediction and residual."""
+    """prepared rides with their mode's all-day prediction and residual. A fit per mode goes to every task, so a mode's rides stay in many."""
     p = fits.where("scope = 'mode' and period = 'all'").select("mode", F.col("dwell_s").alias("_c"), F.col("fitted_hold_s").alias("_h"), F.col("intercept_s").alias("_a"), F.col("b").alias("_b"))
     stops = F.col("n_intermediate") + F.when(F.col("mode") == "bus", 1).otherwise(0)
     made = F.col("_a") + F.col("_c") * stops + F.col("_h") * F.col("is_terminal") + F.col("_b") * F.col("route_dist_m")
-    return prepared.join(p, "mode").withColumn("pred", made).withColumn("resid", F.col("tt") - F.col("pred")).drop("_a", "_b", "_c", "_h")
+    return prepared.join(F.broadcast(p), "mode").withColumn("pred", made).withColumn("resid", F.col("tt") - F.col("pred")).drop("_a", "_b", "_c", "_h")
 
 
 def _diagonal_of_inverse(s: dict[tuple[int, int], Column]) -> list[Column]:
