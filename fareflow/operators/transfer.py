@@ -42,7 +42,8 @@ def residuals(matched: DataFrame, od: DataFrame, access_egress_s: float, per_sto
         h = headways.select(F.col("line").alias(f"line{k}"), "hour", F.col("headway_s").alias(f"h{k}"))
         trips = trips.join(h, [f"line{k}", "hour"], "left")
     whole = per_stop.where("period = 'all'").select(F.col("c").alias("_c"))
-    trips = trips.join(per_stop, "period", "left").crossJoin(F.broadcast(whole))  # one row
+    # one row, and one for a period: the trips of a period stay in many tasks
+    trips = trips.join(F.broadcast(per_stop), "period", "left").crossJoin(F.broadcast(whole))
     wait = [0.5 * F.coalesce(f"h{k}", F.lit(missing_s)) for k in "12"]
     made = access_egress_s + 2 * F.coalesce("c", "_c") + F.col("ivt") + wait[0] + wait[1]
     return trips.withColumn("resid", F.col("tt_adj_s") - made).where("resid > -900 and resid < 2400").drop("c", "_c")
