@@ -2,9 +2,19 @@
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from fareflow.plans import base, demand
 from fareflow.sources import fixtures
 
+PATH = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def written(monkeypatch):
+    monkeypatch.setattr(base, "_SHARED", {})
+    return lambda: {key[1] for key in base._SHARED}
+
 
 def _table(path, rows, group):
     pq.write_table(pa.table({"event_id": list(range(rows))}), f"{path}/events.parquet", row_group_size=group, compression="none", use_dictionary=False)
@@ -29,3 +39,14 @@ def test_one_row_group_is_dealt_out_by_its_rows(spark, tmp_path, monkeypatch):
 def test_an_empty_table_is_read(spark, tmp_path):
     _table(tmp_path, 0, 1000)
     assert spark.sql(f"select * from {fixtures._source(spark, str(tmp_path), 'events')}").count() == 0
+
+
+def test_matched_taps_are_joined_when_they_are_read(spark, written):
+    plan = base.matched(spark, PATH).select("dep_s", "o_key")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "arr_s" not in plan
+    assert "taps" in written() and "matched" not in written()
+
+
+def test_pairs_of_the_demand_do_not_write_its_trips(spark, written):
+    assert demand.od(spark, PATH).count() > 0
+    assert not {"trips", "matched"} & written()
