@@ -18,8 +18,8 @@ BLOCKS |= {
 }
 
 
-@base.shared
 def prepared(spark, sf):
+    """Not written: fits read it once and write the distinct rides."""
     return speed.prepare(base.matched(spark, sf))
 
 
@@ -66,9 +66,13 @@ BLOCKS |= {
 }
 
 
+@base.shared
+def ride_kinds(spark, sf):
+    return prepared(spark, sf).select("mode", "period", "route_name").distinct()
+
+
 def given_fits(spark, sf):
-    rides = prepared(spark, sf).select("mode", "period", "route_name")
-    return spark.sql(BLOCKS["given_fits"].replace("prepared", "{rides}"), rides=rides)
+    return spark.sql(BLOCKS["given_fits"].replace("prepared", "{rides}"), rides=ride_kinds(spark, sf))
 
 
 @query("speed_fit_quality", """select scope, key, mode, period, n, round(rmse_s, 5) as rmse_s, round(mae_s, 5) as mae_s, round(median_resid_s, 5) as median_resid_s, round(scale_s, 5) as scale_s,

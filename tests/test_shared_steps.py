@@ -4,7 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from fareflow.plans import base, demand
+from fareflow.plans import base, catalog, demand
 from fareflow.sources import fixtures
 
 PATH = "/root/testdata/sf0.001"
@@ -50,3 +50,8 @@ def test_matched_taps_are_joined_when_they_are_read(spark, written):
 def test_pairs_of_the_demand_do_not_write_its_trips(spark, written):
     assert demand.od(spark, PATH).count() > 0
     assert not {"trips", "matched"} & written()
+
+
+def test_quality_of_fits_does_not_write_the_rides(spark, written):
+    assert catalog.queries()["speed_fit_quality"](spark, PATH).count() > 0
+    assert not {"prepared", "matched"} & written()
