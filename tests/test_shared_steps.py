@@ -55,3 +55,10 @@ def test_pairs_of_the_demand_do_not_write_its_trips(spark, written):
 def test_quality_of_fits_does_not_write_the_rides(spark, written):
     assert catalog.queries()["speed_fit_quality"](spark, PATH).count() > 0
     assert not {"prepared", "matched"} & written()
+
+
+def test_the_cache_takes_the_pairs_that_the_routes_were_made_for(spark, written, monkeypatch):
+    trips, calls = demand.trips, []
+    monkeypatch.setattr(demand, "trips", lambda *a: calls.append(a) or trips(*a))
+    assert catalog.queries()["route_cache_merge"](spark, PATH).count() > 0
+    assert len(calls) == 1
