@@ -21,14 +21,15 @@ def top_stops(matched: DataFrame, min_taps: int = 40, n: int = 6) -> DataFrame:
 def tap_clusters(taps: DataFrame, gap_s: float = 90, days: tuple[str, ...] = ()) -> DataFrame:
     """(route_name, o_key, cluster, center, taps): taps with gaps up to gap_s are one vehicle; its time is their median.
 
+    Taps of one second are counted first, so that a stop and day have no more rows to put in order than seconds.
     days: the column of the service day, where taps are of several; clusters are numbered by day then and have it.
     """
     keys = ["route_name", "o_key", *days]
     line = Window.partitionBy(*keys).orderBy("dep_s")
     starts = F.coalesce(F.col("dep_s") - F.lag("dep_s").over(line) > gap_s, F.lit(True))
-    marked = taps.select(*keys, "dep_s").withColumn("first", starts.cast("int"))
+    marked = taps.groupBy(*keys, "dep_s").agg(F.count("*").alias("n")).withColumn("first", starts.cast("int"))
     numbered = marked.withColumn("cluster", F.sum("first").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "cluster").agg(F.percentile("dep_s", F.lit(0.5)).alias("center"), F.count("*").alias("taps"))
+    return numbered.groupBy(*keys, "cluster").agg(F.percentile("dep_s", F.lit(0.5), F.col("n")).alias("center"), F.sum("n").alias("taps"))
 
 
 def cluster_gaps(clusters: DataFrame, min_clusters: int = 3, lo: float = 60, hi: float = 3600, days: tuple[str, ...] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from fareflow.operators import headway
 from fareflow.plans import base, catalog, demand
 from fareflow.sources import fixtures
 
@@ -62,3 +63,10 @@ def test_the_cache_takes_the_pairs_that_the_routes_were_made_for(spark, written,
     monkeypatch.setattr(demand, "trips", lambda *a: calls.append(a) or trips(*a))
     assert catalog.queries()["route_cache_merge"](spark, PATH).count() > 0
     assert len(calls) == 1
+
+
+def test_taps_of_one_second_are_counted_before_they_are_put_in_order(spark):
+    taps = spark.createDataFrame([("r", "s", float(t)) for t in (0, 0, 0, 60, 500, 500)], "route_name string, o_key string, dep_s double")
+    found = headway.tap_clusters(taps)
+    assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString().rpartition("Window")[2]
+    assert sorted(tuple(r) for r in found.select("cluster", "center", "taps").collect()) == [(1, 0.0, 4), (2, 500.0, 2)]
